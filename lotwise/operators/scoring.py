@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.scalar import col
 from lotwise.operators.splits import from_log
 from lotwise.schema import REQUEST_ALIASES, REQUEST_DEFAULTS, REQUEST_RANGES, REQUEST_REQUIRED, request_schema
+from lotwise.session import via_table
 
 INTERVAL_WIDTH = 1.5
 
@@ -75,7 +76,11 @@ def validated(df: DataFrame) -> DataFrame:
 
 
 def split_valid(checked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Valid requests, and the quarantine ``key, errors``."""
+    """Valid requests, and the quarantine ``key, errors``.
+
+    Hand in a stored or cached table: both parts read it, so the rules run once, and the optimizer
+    does not carry some 45 rules through every later filter and join.
+    """
     good = checked.where(F.size("errors") == 0).drop("errors")
     bad = checked.where(F.size("errors") > 0).select(col(key), "errors")
     return good, bad
@@ -109,6 +114,14 @@ def score(requests: DataFrame, pipeline: Transformer, model_name: str, rmse: flo
     )
 
 
+def score_requests(
+    requests: DataFrame, pipeline: Transformer, model_name: str, rmse: float, key: str
+) -> tuple[DataFrame, DataFrame]:
+    """Check, then score: prices of the valid requests and the quarantine of the others."""
+    good, bad = split_valid(via_table(validated(requests), "checked"), key)
+    return score(good, pipeline, model_name, rmse, key), bad
+
+
 def best_rmse(board: DataFrame, name: str) -> float:
     """Test error of a model on the leaderboard; 0 if it is not there."""
     row = board.where(F.col("name") == name).select("rmse").first()

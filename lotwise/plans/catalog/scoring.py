@@ -12,7 +12,7 @@ from lotwise.operators.features import FeatureBuilder
 from lotwise.operators.splits import align
 from lotwise.plans.catalog.registry import query, r, with_listing
 from lotwise.schema import REQUEST_RANGES, REQUEST_REQUIRED, request_schema
-from lotwise.session import work_path
+from lotwise.session import via_table, work_path
 from lotwise.sources.files import parse_batches, parse_requests
 from lotwise.sources.listing import listing
 from lotwise.streaming.scoring import read_request_stream, score_stream
@@ -63,7 +63,7 @@ def validate_requests(spark, sf):
     with_listing("SELECT unnest(errors) AS error, count(*) AS requests FROM checked WHERE len(errors) > 0 GROUP BY 1", REQUEST_CTE),
 )
 def quarantine(spark, sf):
-    _, bad = ops.split_valid(ops.validated(requests(spark, sf)), "Id")
+    _, bad = ops.split_valid(via_table(ops.validated(requests(spark, sf)), "checked"), "Id")
     return bad.select(F.explode("errors").alias("error")).groupBy("error").agg(F.count(F.lit(1)).alias("requests"))
 
 
@@ -102,8 +102,7 @@ round(p + 1.5 * 40000.0, 2) AS confidence_interval_high"""
 
 @query("score_batch", with_listing(f"SELECT Id, {PRICES}, 'formula' AS model_name FROM priced", REQUEST_CTE, PRICED_CTE))
 def score_batch(spark, sf):
-    good, _ = ops.split_valid(ops.validated(requests(spark, sf)), "Id")
-    return ops.score(good, formula(spark, sf), "formula", 40000.0, "Id")
+    return ops.score_requests(requests(spark, sf), formula(spark, sf), "formula", 40000.0, "Id")[0]
 
 
 @query(

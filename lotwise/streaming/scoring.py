@@ -7,6 +7,7 @@ nor repeats a row.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -37,9 +38,13 @@ def score_stream(
     """Start the stream. ``once`` works off what is there and stops."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = split_valid(validated(batch), key)
-        score(good, pipeline, model_name, rmse, key).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        checked = validated(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            good, bad = split_valid(checked, key)
+            score(good, pipeline, model_name, rmse, key).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
+        finally:
+            checked.unpersist()
 
     writer = requests.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
