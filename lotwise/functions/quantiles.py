@@ -1,8 +1,9 @@
 """Exact quantiles that stay bounded in memory at any size.
 
 ``percentile`` keeps one counter per distinct value of a group in one task. That is fine for
-ratings and years and fatal for prices of 10^12 rows. So the number of distinct values is checked
-first (a mergeable sketch, one pass):
+ratings and years and fatal for prices of 10^12 rows. So the number of distinct values is bounded
+first: by the row count, by the range of a whole-number column, and only where neither is small
+enough by a mergeable sketch:
 
 * at most ``max_distinct``: plain ``percentile`` - exact, partially aggregated, no shuffle of rows;
 * above: *bracketing*. A quantile sketch names two values that enclose the wanted rank, one pass
@@ -19,6 +20,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col
 from lotwise.session import cut_lineage
@@ -33,8 +35,7 @@ def exact_quantiles(
     """``{column: [quantile, ...]}`` with linear interpolation, missing cells skipped."""
     if not columns:
         return {}
-    sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in columns]).first()
-    small = [c for c in columns if sizes[c] <= max_distinct]
+    small = _few_distinct(df, columns, max_distinct)
     out: dict[str, list[float | None]] = {}
     if small:
         wanted = F.array(*[F.lit(float(p)) for p in probs])
@@ -61,6 +62,23 @@ def exact_quantiles(
     return {c: out[c] for c in columns}
 
 
+def _few_distinct(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
+    """The columns with at most ``limit`` distinct values."""
+    if df.count() <= limit:
+        return list(columns)
+    kinds = {f.name: f.dataType for f in df.schema}
+    whole = [c for c in columns if isinstance(kinds[c], T.IntegralType)]
+    few = set()
+    if whole:
+        span = df.agg(*[(F.max(col(c)).cast("double") - F.min(col(c)).cast("double")).alias(c) for c in whole]).first()
+        few = {c for c in whole if (span[c] or 0) < limit}
+    rest = [c for c in columns if c not in few]
+    if rest:
+        sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in rest]).first()
+        few |= {c for c in rest if sizes[c] <= limit}
+    return [c for c in columns if c in few]
+
+
 def grouped_quantiles(
     df: DataFrame,
     by: Sequence[str],
@@ -71,9 +89,12 @@ def grouped_quantiles(
     """One row per group with one exact quantile column per entry of ``probs``."""
     value = col(value) if isinstance(value, str) else value
     rows = df.select(*[col(b) for b in by], value.cast("double").alias("value"))
-    widest = rows.groupBy(*by).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
     names, levels = list(probs), [float(p) for p in probs.values()]
-    if widest is None or widest <= max_distinct:
+    fits = df.count() <= max_distinct
+    if not fits:
+        widest = rows.groupBy(*by).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
+        fits = widest is None or widest <= max_distinct
+    if fits:
         wanted = F.array(*[F.lit(p) for p in levels])
         return (
             rows.groupBy(*by)

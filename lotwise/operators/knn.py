@@ -11,7 +11,7 @@ row, never all pairs; the final top-k keeps k rows per query before the shuffle.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,7 +23,6 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col, hash_number
 from lotwise.operators.persist import WithTable
@@ -32,6 +31,7 @@ from lotwise.session import via_table
 
 MAX_PIVOTS = 64
 BLOCK = 512
+SPREAD = 256
 
 
 def nearest_neighbors(
@@ -50,7 +50,7 @@ def nearest_neighbors(
         raise ValueError("no reference rows")
     cell = _cell_udf(pivots)
     q = via_table(q.withColumn("at", cell("x")).select("key", "x", "at.*"), "knn_q")
-    r = via_table(r.withColumn("at", cell("x")).select("key", "x", "payload", "at.*"), "knn_r")
+    r = via_table(r.withColumn("at", cell("x")).select("key", "x", *[col(c) for c in payload], "at.*"), "knn_r")
     # One row per cell on either side.
     q_cells = {c["cell"]: c for c in q.groupBy("cell").agg(F.max("d").alias("radius"), F.count("d").alias("n")).collect()}
     r_cells = {c["cell"]: c for c in r.groupBy("cell").agg(F.max("d").alias("radius"), F.count("d").alias("n")).collect()}
@@ -58,30 +58,43 @@ def nearest_neighbors(
     spark = queries.sparkSession
     if not meet:
         raise ValueError("no query rows")
-    pairs = spark.createDataFrame(meet, "cell int, ref_cell int")  # at most MAX_PIVOTS ** 2 rows
-    q_blocks = _blocks(q, q_cells, ()).join(F.broadcast(pairs), "cell").drop("cell", "block")
-    r_blocks = _blocks(r, r_cells, ("payload",)).withColumnRenamed("cell", "ref_cell").drop("block")
-    r_blocks = r_blocks.select("ref_cell", *[F.col(c).alias(f"r_{c}") for c in r_blocks.columns if c != "ref_cell"])
-    found = q_blocks.join(r_blocks, "ref_cell").select(
-        F.explode(_block_udf(k)("keys", "xs", "r_keys", "r_xs")).alias("hit"), "r_keys", "r_payload"
+    # At most MAX_PIVOTS ** 2 rows. A reference cell of many blocks is met under many salts.
+    pairs = spark.createDataFrame(
+        [(a, b, bound, min(SPREAD, _block_count(r_cells[b]["n"]))) for a, b, bound in meet],
+        "cell int, ref_cell int, bound double, salts int",
     )
-    hits = found.select(
-        F.col("hit.q").alias("query_key"),
-        F.col("r_keys")[F.col("hit.at")].alias("neighbor_key"),
-        F.col("hit.d").alias("distance"),
-        F.col("r_payload")[F.col("hit.at")].alias("payload"),
+    # The search is heavy for its bytes, so the number of tasks is stated, not left to their size.
+    tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    q_blocks = (
+        _blocks(q, q_cells, ())
+        .join(F.broadcast(pairs), "cell")
+        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+        .drop("cell", "block", "salts")
+        .repartition(tasks, "ref_cell", "salt")
+    )
+    r_blocks = _blocks(r, r_cells, payload).select(
+        F.col("cell").alias("ref_cell"),
+        F.pmod("block", F.lit(SPREAD)).cast("int").alias("salt"),
+        *[col(c).alias(f"r_{c}") for c in ("key", "x", *payload)],
+    )
+    r_blocks = r_blocks.repartition(tasks, "ref_cell", "salt")
+    hits = (
+        q_blocks.join(r_blocks, ["ref_cell", "salt"])
+        .drop("ref_cell", "salt")
+        .mapInPandas(
+            _block_search(k, list(payload)),
+            ", ".join(["query_key long, neighbor_key long, distance double", *[f"`{c}` double" for c in payload]]),
+        )
     )
     order = Window.partitionBy("query_key").orderBy("distance", "neighbor_key")
     top = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    extra = [F.col("payload")[c].alias(c) for c in payload]
-    return top.select("query_key", "neighbor_key", "distance", "rank", *extra)
+    return top.select("query_key", "neighbor_key", "distance", "rank", *[col(c) for c in payload])
 
 
 def _as_arrays(df: DataFrame, key: str, vector: str, payload: Sequence[str]) -> DataFrame:
     kind = df.schema[vector].dataType
     x = vector_to_array(vector) if isinstance(kind, VectorUDT) else col(vector).cast("array<double>")
-    inside = F.struct(*[col(c).alias(c) for c in payload]) if payload else F.struct(F.lit(0).alias("none"))
-    return df.select(col(key).cast("long").alias("key"), x.alias("x"), inside.alias("payload"))
+    return df.select(col(key).cast("long").alias("key"), x.alias("x"), *[col(c).cast("double").alias(c) for c in payload])
 
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -106,8 +119,9 @@ def _cell_udf(pivots: np.ndarray):
     return nearest
 
 
-def _cell_pairs(pivots: np.ndarray, q_cells: dict, r_cells: dict, k: int) -> list[tuple[int, int]]:
-    """Cell pairs that can hold a neighbour: lower bound of the pair <= upper bound of the k-th."""
+def _cell_pairs(pivots: np.ndarray, q_cells: dict, r_cells: dict, k: int) -> list[tuple[int, int, float]]:
+    """Cell pairs that can hold a neighbour (lower bound of the pair <= upper bound of the k-th), and
+    that upper bound."""
     gap = _distances(pivots, pivots)
     out = []
     for a, qc in q_cells.items():
@@ -118,54 +132,58 @@ def _cell_pairs(pivots: np.ndarray, q_cells: dict, r_cells: dict, k: int) -> lis
             if seen >= k:
                 bound = far
                 break
+        bound *= 1 + 1e-9  # room for rounding
         for b, rc in r_cells.items():
-            if gap[a, b] - qc["radius"] - rc["radius"] <= bound * (1 + 1e-12):
-                out.append((int(a), int(b)))
+            if gap[a, b] - qc["radius"] - rc["radius"] <= bound:
+                out.append((int(a), int(b), float(bound)))
     return out
 
 
+def _block_count(n: int) -> int:
+    return max(1, math.ceil(n / BLOCK))
+
+
 def _blocks(rows: DataFrame, cells: dict, more: Sequence[str]) -> DataFrame:
     """Rows of a cell in hash blocks of about BLOCK rows, packed into arrays."""
-    counts = F.create_map(*[F.lit(v) for c, s in cells.items() for v in (int(c), max(1, math.ceil(s["n"] / BLOCK)))])
+    counts = F.create_map(*[F.lit(v) for c, s in cells.items() for v in (int(c), _block_count(s["n"]))])
     block = F.pmod(F.xxhash64("key"), F.try_element_at(counts, F.col("cell")))
-    packed = F.collect_list(F.struct("key", "x", *more))
+    packed = F.array_sort(F.collect_list(F.struct("key", "x", *[col(c) for c in more])))
     return (
         rows.groupBy("cell", block.alias("block"))
         .agg(packed.alias("rows"))
         .select(
             "cell",
             "block",
-            F.col("rows.key").alias("keys"),
-            F.col("rows.x").alias("xs"),
-            *[F.col(f"rows.{c}").alias(c) for c in more],
+            F.col("rows.key").alias("key"),
+            F.flatten("rows.x").alias("x"),
+            *[F.col("rows")[c].alias(c) for c in more],
         )
     )
 
 
-def _block_udf(k: int):
-    hit = T.ArrayType(
-        T.StructType(
-            [T.StructField("q", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("d", T.DoubleType())]
-        )
-    )
+def _block_search(k: int, payload: list[str]):
+    """Nearest rows of a reference block for each row of a query block, as flat numpy work.
+
+    Rows of a block come in key order, so a stable sort by distance breaks ties by key.
+    """
 
-    @F.pandas_udf(hit)
-    def best(keys: pd.Series, xs: pd.Series, r_keys: pd.Series, r_xs: pd.Series) -> pd.Series:
-        out = []
-        for qk, qx, rk, rx in zip(keys, xs, r_keys, r_xs):
-            qk, rk = np.asarray(qk), np.asarray(rk)
-            d = _distances(np.stack(qx), np.stack(rx))
-            hits = []
-            for i in range(len(qk)):
-                # Everything up to the k-th distance, ties included, then cut by (distance, key).
-                edge = np.partition(d[i], k - 1)[k - 1] if len(rk) > k else np.inf
-                near = np.flatnonzero(d[i] <= edge)
-                near = near[np.lexsort((rk[near], d[i, near]))][:k]
-                hits += [{"q": int(qk[i]), "at": int(j), "d": float(d[i, j])} for j in near]
-            out.append(hits)
-        return pd.Series(out)
-
-    return best
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                q_keys, r_keys = np.asarray(row.key), np.asarray(row.r_key)
+                qx = np.asarray(row.x).reshape(len(q_keys), -1)
+                rx = np.asarray(row.r_x).reshape(len(r_keys), -1)
+                d = _distances(qx, rx)
+                at = np.argsort(d, axis=1, kind="stable")[:, :k]
+                near = np.take_along_axis(d, at, axis=1)
+                keep = near <= row.bound
+                at, q_at = at[keep], np.repeat(np.arange(len(q_keys)), keep.sum(axis=1))
+                out = {"query_key": q_keys[q_at], "neighbor_key": r_keys[at], "distance": near[keep]}
+                for c in payload:
+                    out[c] = np.asarray(getattr(row, f"r_{c}"))[at]
+                yield pd.DataFrame(out)
+
+    return search
 
 
 def weighted_mean(neighbors: DataFrame, label: str, weights: str = "distance") -> DataFrame:

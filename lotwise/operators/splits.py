@@ -13,6 +13,7 @@ from lotwise.functions.scalar import col, hash_bucket
 from lotwise.operators.cleaning import HouseCleaner, HouseCleanerModel
 from lotwise.operators.features import FeatureBuilder, FeatureBuilderModel, add_features
 from lotwise.schema import ID, TARGET
+from lotwise.session import via_table
 
 SPLIT_SEED = 42
 FOLD_SEED = 4242
@@ -60,7 +61,8 @@ def prepare_train_test(
     train_raw, test_raw = train_test_split(raw, seed=seed)
     cleaner = HouseCleaner(targetCol=target).fit(train_raw)
     train = cleaner.transform(train_raw)
-    test = cleaner.copy({cleaner.capOutliers: False}).transform(test_raw)
+    # The statistics of the derived columns read each part several times: clean it once.
+    test = via_table(cleaner.copy({cleaner.capOutliers: False}).transform(test_raw), "test_clean")
     builder = None
     if stats == "fitted":
         builder = FeatureBuilder().fit(train)

@@ -8,7 +8,8 @@ from lotwise.functions.scalar import col
 from lotwise.operators import cleaning as ops
 from lotwise.operators import profile
 from lotwise.plans.catalog.registry import query, r, with_clean, with_listing
-from lotwise.sources.listing import listing, listing_with_copies, table
+from lotwise.session import via_table
+from lotwise.sources.listing import listing, listing_with_copies, stored_listing, table
 
 NUMBERS = """Id LotFrontage LotArea OverallQual OverallCond YearBuilt YearRemodAdd MasVnrArea TotalBsmtSF 1stFlrSF
 2ndFlrSF GrLivArea BsmtFullBath FullBath HalfBath BedroomAbvGr TotRmsAbvGrd Fireplaces GarageCars GarageArea
@@ -231,7 +232,7 @@ def iqr_cap(spark, sf):
 )
 def clean_report(spark, sf):
     """Note: the SQL fills from the rows without copies; no fill differs (see the tests)."""
-    raw = listing_with_copies(spark, sf)
+    raw = via_table(listing_with_copies(spark, sf), "copies")
     return ops.cleaning_report(raw, ops.HouseCleaner().fit(raw))
 
 
@@ -260,7 +261,8 @@ def missing_profile(spark, sf):
     ),
 )
 def clean_dataset(spark, sf):
-    cleaned = ops.HouseCleaner().fit(listing(spark, sf)).transform(listing(spark, sf))
+    rows = stored_listing(spark, sf)
+    cleaned = ops.HouseCleaner().fit(rows).transform(rows)
     return cleaned.select(
         "Id", "MSSubClass", "KitchenQual", "Fence", r("LotFrontage").alias("LotFrontage"),
         r("GarageArea").alias("GarageArea"), r("LotArea").alias("LotArea"), r("SalePrice", 4).alias("SalePrice"),

@@ -16,7 +16,7 @@ from lotwise.plans.catalog.deriving import cleaned
 from lotwise.plans.catalog.registry import bucket, query, r, with_listing
 from lotwise.plans.training import prepare, run_training, train_and_evaluate
 from lotwise.session import via_table, work_path
-from lotwise.sources.listing import listing, table
+from lotwise.sources.listing import listing, stored_listing, table
 
 TEST_ROWS = f"{bucket('Id', 100, SPLIT_SEED)} < 20"
 
@@ -379,7 +379,7 @@ def error_limits(spark, sf):
 @query("compare_models")
 def compare_models(spark, sf):
     """The whole comparison on the encoded table with the quick models."""
-    data = prepare(listing(spark, sf))
+    data = prepare(stored_listing(spark, sf))
     quick = ("linear_regression", "ridge", "lasso", "elasticnet", "decision_tree")
     _, board, failures = train_and_evaluate(data, {n: models.build_model(n) for n in quick}, folds=3)
     assert not failures, failures
@@ -392,7 +392,7 @@ def train_and_save(spark, sf):
     from lotwise.sources.files import read_feature_list, read_leaderboard
 
     path = work_path(spark, "training")
-    run_training(listing(spark, sf), path, {n: models.build_model(n) for n in ("ridge", "elasticnet")}, folds=2)
+    run_training(stored_listing(spark, sf), path, {n: models.build_model(n) for n in ("ridge", "elasticnet")}, folds=2)
     names = read_feature_list(spark, f"{path}/feature_names")
     board = read_leaderboard(spark, f"{path}/leaderboard")
     listed = spark.createDataFrame([(n,) for n in names], "name string")

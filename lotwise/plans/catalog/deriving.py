@@ -9,14 +9,12 @@ from lotwise.functions.scalar import col
 from lotwise.operators import encoding, features, selection, splits
 from lotwise.operators.cleaning import HouseCleaner
 from lotwise.plans.catalog.registry import bucket, query, r, with_clean, with_derived, with_listing
-from lotwise.sources.listing import listing, table
+from lotwise.sources.listing import listing, stored_listing, table
 
 
 def cleaned(spark, sf, *columns):
     """Filled rows (nothing capped, no copies in the table); ``columns`` keeps the scan narrow."""
-    rows = listing(spark, sf)
-    if columns:
-        rows = rows.select(*[col(c) for c in columns])
+    rows = listing(spark, sf).select(*[col(c) for c in columns]) if columns else stored_listing(spark, sf)
     return HouseCleaner(dedupe=False, capOutliers=False).fit(rows).transform(rows)
 
 
@@ -374,7 +372,7 @@ def log_target(spark, sf):
     "prepare_train_test",
     with_listing(
         f"""SELECT part, count(*) AS n, round(avg(LotFrontage), 4) AS LotFrontage, round(sum(GarageArea), 2) AS GarageArea,
-        round(avg(place), 4) AS NeighborhoodQualityScore, sum(porch_point) AS porch_points FROM (
+        round(avg(place), 4) AS NeighborhoodQualityScore, CAST(sum(porch_point) AS BIGINT) AS porch_points FROM (
           SELECT part, LotFrontage, place, CASE WHEN porch > median(porch) OVER (PARTITION BY part) THEN 1 ELSE 0 END AS porch_point,
             CASE WHEN part = 'train' THEN least(GarageArea, hi) ELSE GarageArea END AS GarageArea FROM (
               SELECT CASE WHEN {TEST_ROWS} THEN 'test' ELSE 'train' END AS part,
@@ -388,7 +386,7 @@ def log_target(spark, sf):
     ),
 )
 def prepare_train_test(spark, sf):
-    train, test, _, _ = splits.prepare_train_test(listing(spark, sf))
+    train, test, _, _ = splits.prepare_train_test(stored_listing(spark, sf))
 
     def summary(df, part):
         porch_point = (

@@ -14,7 +14,7 @@ from lotwise.plans.catalog.registry import query, r, with_listing
 from lotwise.schema import REQUEST_RANGES, REQUEST_REQUIRED, request_schema
 from lotwise.session import via_table, work_path
 from lotwise.sources.files import parse_batches, parse_requests
-from lotwise.sources.listing import listing
+from lotwise.sources.listing import listing, stored_listing
 from lotwise.streaming.scoring import read_request_stream, score_stream
 
 
@@ -82,7 +82,7 @@ def request_defaults(spark, sf):
 
 def formula(spark, sf) -> PipelineModel:
     """A stand-in model that SQL can repeat: fills and derived columns are the real stages."""
-    rows = listing(spark, sf)
+    rows = stored_listing(spark, sf)
     cleaner = HouseCleaner().fit(rows).for_scoring()
     builder = FeatureBuilder().fit(cleaner.transform(rows))
     line = SQLTransformer(

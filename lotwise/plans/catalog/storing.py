@@ -12,7 +12,7 @@ from lotwise.plans.catalog.scoring import formula
 from lotwise.plans.training import run_training
 from lotwise.session import work_path
 from lotwise.sources import files
-from lotwise.sources.listing import listing
+from lotwise.sources.listing import listing, stored_listing
 
 COLUMNS = "Id LotFrontage LotArea GarageCars GarageYrBlt Fence BsmtQual KitchenQual SalePrice".split()
 
@@ -118,6 +118,6 @@ def saved_winner_scores(spark, sf):
     from lotwise.plans.training import load_scorer
 
     path = work_path(spark, "winner")
-    best, _ = run_training(listing(spark, sf), path, {"ridge": models.build_model("ridge")}, folds=2)
+    best, _ = run_training(stored_listing(spark, sf), path, {"ridge": models.build_model("ridge")}, folds=2)
     pipeline, board = load_scorer(spark, path)
     return score(listing(spark, sf).drop("SalePrice"), pipeline, best, best_rmse(board, best), "Id")

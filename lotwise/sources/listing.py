@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.session import via_table
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -98,6 +100,11 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing as a table of its own, for plans that read it several times: one join, then scans."""
+    return via_table(listing(spark, sf_dir), "listing")
+
+
 def listing_with_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The listing plus copies of every 50th house under new ids (for duplicate removal)."""
     rows = listing(spark, sf_dir)
