@@ -52,7 +52,7 @@ def exact_quantiles(
                     ]
                 )
             ).alias("cell")
-        ).select("cell.column", "cell.value")
+        ).select(F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
         found = _bracketed(long, ["column"], probs, max_distinct)
         for c in large:
             out[c] = [None] * len(probs)
@@ -88,23 +88,28 @@ def grouped_quantiles(
 ) -> DataFrame:
     """One row per group with one exact quantile column per entry of ``probs``."""
     value = col(value) if isinstance(value, str) else value
-    rows = df.select(*[col(b) for b in by], value.cast("double").alias("value"))
+    rows = df.select(*[col(b) for b in by], value.cast("double").alias("_value"))
     names, levels = list(probs), [float(p) for p in probs.values()]
     fits = df.count() <= max_distinct
     if not fits:
-        widest = rows.groupBy(*by).agg(F.approx_count_distinct("value").alias("d")).agg(F.max("d")).first()[0]
+        widest = rows.groupBy(*by).agg(F.approx_count_distinct("_value").alias("d")).agg(F.max("d")).first()[0]
         fits = widest is None or widest <= max_distinct
     if fits:
         wanted = F.array(*[F.lit(p) for p in levels])
         return (
             rows.groupBy(*by)
-            .agg(F.percentile("value", wanted).alias("q"))
-            .select(*by, *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+            .agg(F.percentile("_value", wanted).alias("_q"))
+            .select(*[col(b) for b in by], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
         )
-    found = _bracketed(rows, list(by), levels, max_distinct)
-    return found.groupBy(*by).agg(
+    # As a struct, a missing group is a key like any other.
+    keyed = rows.select(F.struct(*[col(b) for b in by]).alias("_key"), F.col("_value").alias("value"))
+    found = _bracketed(keyed, ["_key"], levels, max_distinct)
+    picked = found.groupBy("_key").agg(
         *[F.max(F.when(F.col("slot") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
     )
+    # Groups without a value have no quantile but stay in the result.
+    groups = keyed.groupBy("_key").agg(F.count("value").alias("n")).select("_key")
+    return groups.join(picked, "_key", "left").select("_key.*", *names)
 
 
 def _bracketed(long: DataFrame, keys: list[str], probs: Sequence[float], max_distinct: int) -> DataFrame:
