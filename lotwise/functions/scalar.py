@@ -10,9 +10,13 @@ from lotwise.schema import QUALITY_POINTS, SIZE_CLASSES
 WHITESPACE = " \t\n\r\f\v"
 
 
+def quoted(name: str) -> str:
+    """The exact name of a top-level column, as text (names may hold dots or blanks)."""
+    return name if name.replace("_", "").isalnum() else "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """A top-level column by its exact name (names may hold dots or start with a digit)."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def strip(c: Column) -> Column:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.quantiles import exact_quantiles
-from lotwise.functions.scalar import col, no_nan, strip
+from lotwise.functions.scalar import col, no_nan, quoted, strip
 from lotwise.schema import (
     ABSENT_IS_NONE,
     ABSENT_IS_ZERO,
@@ -39,34 +39,30 @@ UNKNOWN = "Unknown"
 
 # ------------------------------------------------------------------ single steps
 def strip_names(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.strip() for c in df.columns])
+    return df.withColumnsRenamed({c: c.strip() for c in df.columns if c != c.strip()})
 
 
 def standardize(df: DataFrame) -> DataFrame:
     """Trimmed names and strings; NaN becomes NULL."""
     df = strip_names(df)
-    out = []
+    new = {}
     for f in df.schema:
-        c = col(f.name)
         if isinstance(f.dataType, T.StringType):
-            c = strip(c)
+            new[f.name] = strip(col(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = no_nan(c)
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            new[f.name] = no_nan(col(f.name))
+    return df.withColumns(new) if new else df
 
 
 def fix_types(df: DataFrame) -> DataFrame:
     """Numeric codes become strings; year columns become numbers, unreadable text becomes NULL."""
-    out = []
+    new = {}
     for f in df.schema:
-        c = col(f.name)
         if f.name in CODE_COLUMNS and not isinstance(f.dataType, T.StringType):
-            c = c.cast("string")
+            new[f.name] = col(f.name).cast("string")
         elif f.name in YEAR_COLUMNS and not isinstance(f.dataType, T.NumericType):
-            c = c.try_cast("double")
-        out.append(c.alias(f.name))
-    return df.select(*out)
+            new[f.name] = col(f.name).try_cast("double")
+    return df.withColumns(new) if new else df
 
 
 def drop_copies(df: DataFrame, key: str = ID) -> DataFrame:
@@ -78,17 +74,15 @@ def drop_copies(df: DataFrame, key: str = ID) -> DataFrame:
     if key not in df.columns:
         return df.dropDuplicates()
     rest = [c for c in df.columns if c != key]
-    return df.groupBy(*[col(c) for c in rest]).agg(F.min(col(key)).alias(key)).select(*[col(c) for c in df.columns])
+    return df.groupBy(*[quoted(c) for c in rest]).agg(F.min(col(key)).alias(key)).select(*[quoted(c) for c in df.columns])
 
 
 def fill_absent(df: DataFrame) -> DataFrame:
     """Missing codes that mean "no such part" become ``None``, such numbers become 0."""
     kinds = {f.name: f.dataType for f in df.schema}
-    text = [c for c in ABSENT_IS_NONE if isinstance(kinds.get(c), T.StringType)]
-    numbers = [c for c in ABSENT_IS_ZERO if isinstance(kinds.get(c), T.NumericType)]
-    fills = {c: F.lit("None") for c in text}
-    fills.update({c: F.lit(0).cast(kinds[c]) for c in numbers})
-    return _fill(df, fills)
+    fills: dict = {c: "None" for c in ABSENT_IS_NONE if isinstance(kinds.get(c), T.StringType)}
+    fills.update({c: 0 for c in ABSENT_IS_ZERO if isinstance(kinds.get(c), T.NumericType)})
+    return df.fillna(fills) if fills else df
 
 
 def fill_learned(
@@ -98,23 +92,19 @@ def fill_learned(
 
     An integer column whose median has a fraction becomes double; the row key keeps its type.
     """
-    fills = {}
+    fills: dict = {}
+    wider = {}
     for f in df.schema:
         if isinstance(f.dataType, T.NumericType):
-            value = medians.get(f.name)
-            if value is None or f.name == key:
-                fills[f.name] = F.lit(value or 0).cast(f.dataType)
-            elif isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType)) or float(value).is_integer():
-                fills[f.name] = F.lit(value).cast(f.dataType)
-            else:
-                fills[f.name] = F.lit(float(value))
+            value = medians.get(f.name) or 0
+            whole = isinstance(f.dataType, T.IntegralType)
+            if whole and f.name != key and not float(value).is_integer():
+                wider[f.name] = col(f.name).cast("double")
+            fills[quoted(f.name)] = int(value) if whole and f.name not in wider else float(value)
         elif isinstance(f.dataType, T.StringType):
-            fills[f.name] = F.lit(modes.get(f.name, UNKNOWN))
-    return _fill(df, fills)
-
-
-def _fill(df: DataFrame, fills: dict) -> DataFrame:
-    return df.select(*[F.coalesce(col(c), fills[c]).alias(c) if c in fills else col(c) for c in df.columns])
+            fills[quoted(f.name)] = modes.get(f.name, UNKNOWN)
+    df = df.withColumns(wider) if wider else df
+    return df.fillna(fills) if fills else df
 
 
 # ---------------------------------------------------------------- learned values
@@ -163,15 +153,11 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], k: float) -> dict[str, tup
 
 
 def apply_bounds(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
-    out = []
-    for name in df.columns:
-        c = col(name)
-        if name in bounds:
-            low, high = (F.lit(float(b)) for b in bounds[name])
-            c = c.cast("double")
-            c = F.when(c < low, low).when(c > high, high).otherwise(c).alias(name)
-        out.append(c)
-    return df.select(*out)
+    new = {}
+    for name, (low, high) in bounds.items():
+        c = col(name).cast("double")
+        new[name] = F.when(c < low, float(low)).when(c > high, float(high)).otherwise(c)
+    return df.withColumns(new) if new else df
 
 
 def outlier_counts(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.joins import MAX_BROADCAST_ROWS, lookup_join
 from lotwise.functions.quantiles import exact_quantiles
-from lotwise.functions.scalar import clip_high, clip_low, col, quality_points, safe_ratio, size_class
+from lotwise.functions.scalar import clip_high, clip_low, col, quality_points, quoted, safe_ratio, size_class
 from lotwise.operators.persist import WithTable
 from lotwise.schema import QUALITY_COLUMNS
 from lotwise.session import cut_lineage
@@ -48,8 +48,7 @@ def _or_zero(df: DataFrame, name: str) -> Column:
 
 
 def _add(df: DataFrame, new: dict[str, Column]) -> DataFrame:
-    kept = [col(c) for c in df.columns if c not in new]
-    return df.select(*kept, *[c.alias(n) for n, c in new.items()])
+    return df.withColumns(new) if new else df
 
 
 def age_features(df: DataFrame, current_year: int | None = None, absent_garage_age: int | None = None) -> DataFrame:
@@ -186,7 +185,7 @@ def add_features(
         if not own:
             out = _own_quality_if_unseen(out)
     order = [c for c in df.columns if c not in DERIVED] + [c for c in DERIVED if c in out.columns]
-    return out.select(*[col(c) for c in order])
+    return out.select(*[quoted(c) for c in order])
 
 
 def _own_quality_if_unseen(df: DataFrame) -> DataFrame:
@@ -248,4 +247,4 @@ class FeatureBuilderModel(Model, _FeatureParams, WithTable):
             places = F.broadcast(self.table) if known <= MAX_BROADCAST_ROWS else self.table
             out = _own_quality_if_unseen(out.join(places, "Neighborhood", "left"))
         order = [c for c in df.columns if c not in DERIVED] + [c for c in DERIVED if c in out.columns]
-        return out.select(*[col(c) for c in order])
+        return out.select(*[quoted(c) for c in order])

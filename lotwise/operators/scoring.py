@@ -40,14 +40,7 @@ def to_request(df: DataFrame) -> DataFrame:
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
-    out = []
-    for f in df.schema:
-        if f.name in REQUEST_DEFAULTS:
-            default = F.lit(REQUEST_DEFAULTS[f.name]).cast(f.dataType)
-            out.append(F.coalesce(col(f.name), default).alias(f.name))
-        else:
-            out.append(col(f.name))
-    return df.select(*out)
+    return df.fillna({c: v for c, v in REQUEST_DEFAULTS.items() if c in df.columns})
 
 
 def rule_errors() -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.scalar import col, hash_bucket
+from lotwise.functions.scalar import col, hash_bucket, quoted
 from lotwise.operators.cleaning import HouseCleaner, HouseCleanerModel
 from lotwise.operators.features import FeatureBuilder, FeatureBuilderModel, add_features
 from lotwise.schema import ID, TARGET
@@ -44,7 +44,8 @@ def from_log(c):
 
 def align(df: DataFrame, names: list[str]) -> DataFrame:
     """Exactly ``names`` in order; absent columns become 0, nulls in present columns stay."""
-    return df.select(*[col(n) if n in df.columns else F.lit(0).alias(n) for n in names])
+    have = set(df.columns)
+    return df.select(*[quoted(n) if n in have else F.lit(0).alias(n) for n in names])
 
 
 def feature_names(df: DataFrame, target: str = TARGET, key: str = ID) -> list[str]:
@@ -70,4 +71,4 @@ def prepare_train_test(
     else:
         train, test = add_features(train), add_features(test)
     keep = [c for c in (ID, target) if c in train.columns]
-    return train, align(test, keep + feature_names(train, target)).select(*[col(c) for c in train.columns]), cleaner, builder
+    return train, align(test, keep + feature_names(train, target)).select(*[quoted(c) for c in train.columns]), cleaner, builder

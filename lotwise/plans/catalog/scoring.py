@@ -18,10 +18,10 @@ from lotwise.sources.listing import listing, stored_listing
 from lotwise.streaming.scoring import read_request_stream, score_stream
 
 
-def requests(spark, sf):
-    """The listing as clients would send it: alias names, no target, a style for every house."""
+def requests(spark, sf, rows=None):
+    """The listing as clients would send it: alias names, no target, a style for most houses."""
     return (
-        listing(spark, sf)
+        (listing(spark, sf) if rows is None else rows)
         .drop("SalePrice")
         .withColumnRenamed("1stFlrSF", "FirstFlrSF")
         .withColumnRenamed("2ndFlrSF", "SecondFlrSF")
@@ -80,9 +80,8 @@ def request_defaults(spark, sf):
     return filled.select("Id", "Street", "BldgType", "GarageType", "GarageCars", "BsmtQual", "`1stFlrSF`")
 
 
-def formula(spark, sf) -> PipelineModel:
+def formula(rows) -> PipelineModel:
     """A stand-in model that SQL can repeat: fills and derived columns are the real stages."""
-    rows = stored_listing(spark, sf)
     cleaner = HouseCleaner().fit(rows).for_scoring()
     builder = FeatureBuilder().fit(cleaner.transform(rows))
     line = SQLTransformer(
@@ -102,7 +101,8 @@ round(p + 1.5 * 40000.0, 2) AS confidence_interval_high"""
 
 @query("score_batch", with_listing(f"SELECT Id, {PRICES}, 'formula' AS model_name FROM priced", REQUEST_CTE, PRICED_CTE))
 def score_batch(spark, sf):
-    return ops.score_requests(requests(spark, sf), formula(spark, sf), "formula", 40000.0, "Id")[0]
+    rows = stored_listing(spark, sf)
+    return ops.score_requests(requests(spark, sf, rows), formula(rows), "formula", 40000.0, "Id")[0]
 
 
 @query(
@@ -127,8 +127,8 @@ def score_gauge(spark, sf):
 )
 def request_row(spark, sf):
     """Clean (nothing capped, equal rows kept), derive, align."""
-    stages = formula(spark, sf).stages[:2]
-    out = PipelineModel(stages).transform(listing(spark, sf).drop("SalePrice"))
+    rows = stored_listing(spark, sf)
+    out = PipelineModel(formula(rows).stages[:2]).transform(rows.drop("SalePrice"))
     out = align(out, ["Id", "TotalSF", "BsmtQual", "NotThere", "LotFrontage"])
     return out.withColumn("LotFrontage", r("LotFrontage"))
 
@@ -180,10 +180,11 @@ def batch_failed_rows(spark, sf):
 def score_as_stream(spark, sf):
     """JSON request files through the stream; prices must equal those of the batch."""
     arriving, out = work_path(spark, "requests"), work_path(spark, "scored")
-    requests(spark, sf).repartition(3).write.json(arriving)
+    rows = stored_listing(spark, sf)
+    requests(spark, sf, rows).repartition(3).write.json(arriving)
     stream = score_stream(
         read_request_stream(spark, arriving, files_per_trigger=2),
-        formula(spark, sf),
+        formula(rows),
         "formula",
         40000.0,
         out,

@@ -88,10 +88,11 @@ def leaderboard_round_trip(spark, sf):
 def model_round_trip(spark, sf):
     """Saved and loaded, the pipeline (fills, lookup table, model) gives the same predictions."""
     path = work_path(spark, "pipeline")
-    before = formula(spark, sf)
+    houses = stored_listing(spark, sf)
+    before = formula(houses)
     before.write().overwrite().save(path)
     after = PipelineModel.load(path)
-    rows = listing(spark, sf).drop("SalePrice")
+    rows = houses.drop("SalePrice")
     a = before.transform(rows).select("Id", F.col("prediction").alias("a"))
     b = after.transform(rows).select("Id", F.col("prediction").alias("b"))
     joined = a.join(b, "Id")

@@ -18,6 +18,7 @@ def local_session(cpus: int = 8, app: str = "lotwise", memory: str = "12g") -> S
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", memory)
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
@@ -32,7 +33,7 @@ def shared_dir(spark: SparkSession) -> str:
     machine-local folder would be lost with its machine, so there we refuse.
     """
     context = spark.sparkContext
-    configured = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if context.getCheckpointDir() is None:
             context.setCheckpointDir(configured)
