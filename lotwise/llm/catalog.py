@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import find_items, hit_words
 from lotwise.llm.mixing import mix_sources
+from lotwise.llm.simhash import simhash_classes
+from lotwise.llm.substrings import remove_repeats, removed_words
 from lotwise.llm.text import word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +96,31 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.concat_ws(",", f["items"]), 256).alias("items_sha256"),
         (F.size(f["items"]) > 0).alias("contaminated"),
     )
+
+
+@query("op5_simhash")
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+REPEATS_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, hash(list_slice(w, i, i + 49)) AS a, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS b
+        FROM (SELECT *, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+late AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY a, b) AS first FROM win) WHERE doc_id > first),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM late),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t FROM words ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n.n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+
+@query("op8_remove_repeats", REPEATS_SQL)
+def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    unique = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    u = F.col("unique")
+    return unique.select(
+        "doc_id", u["n_words"].alias("n_words"), removed_words(u).alias("n_removed"), F.sha2(u["kept"], 256).alias("kept_sha256")
+    )
