@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import find_items, hit_words
+from lotwise.llm.lines import remove_repeated_lines, removed_lines
 from lotwise.llm.mixing import mix_sources
 from lotwise.llm.simhash import simhash_classes
 from lotwise.llm.substrings import remove_repeats, removed_words
@@ -124,3 +125,30 @@ def op8_remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unique.select(
         "doc_id", u["n_words"].alias("n_words"), removed_words(u).alias("n_removed"), F.sha2(u["kept"], 256).alias("kept_sha256")
     )
+
+
+LINES_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, line, p, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
+      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i FROM l WHERE body <> ''),
+w AS (SELECT a.doc_id, a.i, row_number() OVER (PARTITION BY a.body, b.body, z.body ORDER BY a.doc_id, a.i) AS nth
+      FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN c z ON z.doc_id = a.doc_id AND z.i = a.i + 2),
+gone AS (SELECT DISTINCT doc_id, unnest([i, i + 1, i + 2]) AS i FROM w WHERE nth > 1),
+dead AS (SELECT c.doc_id, c.p FROM c JOIN gone USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN dead USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM dead GROUP BY doc_id),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_lines FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed,
+  CASE WHEN d.ls IS NULL THEN NULL ELSE sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@query("op9_repeated_lines", LINES_SQL)
+def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = remove_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    c = F.col("lines")
+    return cut.select(
+        "doc_id", c["n_lines"].alias("n_lines"), removed_lines(c).alias("n_removed"), F.sha2(c["kept"], 256).alias("kept_sha256")
+    )
