@@ -13,6 +13,7 @@ from lotwise.llm.mixing import mix_sources
 from lotwise.llm.simhash import simhash_classes
 from lotwise.llm.substrings import remove_repeats, removed_words
 from lotwise.llm.text import word_count
+from lotwise.llm.toxicity import fit_toxicity, judge_toxicity, training_part
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,3 +153,19 @@ def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.select(
         "doc_id", c["n_lines"].alias("n_lines"), removed_lines(c).alias("n_removed"), F.sha2(c["kept"], 256).alias("kept_sha256")
     )
+
+
+@query("op7_toxicity")
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    learn = training_part(F.col("doc_id"))
+    model = fit_toxicity(docs.where(learn), table(spark, sf_dir, "labels"))
+    judged = judge_toxicity(docs, model)
+    score = F.col("toxicity")["score"]
+    return judged.select(
+        "doc_id",
+        (~learn).alias("held_out"),
+        score.alias("score"),
+        (score >= 0.5).cast("int").alias("predicted"),
+        F.size(F.col("toxicity")["passages"]).cast("long").alias("n_passages"),
+    )

@@ -28,6 +28,7 @@ from lotwise.llm.text import LOWER, text_hash
 from lotwise.session import via_table
 
 SEED = 42
+SPREAD = 20_000
 _STEP = 1 << 14
 
 
@@ -81,7 +82,9 @@ def _signatures(fps: DataFrame, max_bits: int) -> DataFrame:
             for code, (low, mask, bit) in enumerate(shapes)
         ]
     )
-    return fps.select("fp", F.inline(wanted)).select(
+    # A row becomes one per shape: spread the rows first, so that no task holds many.
+    spread = fps.repartition(1 + fps.count() // SPREAD, "fp")
+    return spread.select("fp", F.inline(wanted)).select(
         (F.shiftleft("code", 32) + F.expr("shiftrightunsigned(fp, low)").bitwiseAND(F.col("mask"))).alias("sig"),
         F.expr("shiftright(fp, at) & 1").alias("bit"),
         "fp",
