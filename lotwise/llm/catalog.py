@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import find_items, hit_words
+from lotwise.llm.language import fit_languages, identify
 from lotwise.llm.lines import remove_repeated_lines, removed_lines
 from lotwise.llm.mixing import mix_sources
 from lotwise.llm.simhash import simhash_classes
 from lotwise.llm.substrings import remove_repeats, removed_words
-from lotwise.llm.text import word_count
-from lotwise.llm.toxicity import fit_toxicity, judge_toxicity, training_part
+from lotwise.llm.text import training_part, word_count
+from lotwise.llm.toxicity import fit_toxicity, judge_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -169,3 +170,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (score >= 0.5).cast("int").alias("predicted"),
         F.size(F.col("toxicity")["passages"]).cast("long").alias("n_passages"),
     )
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = training_part(F.col("doc_id"))
+    model = fit_languages(docs.where(learn))
+    found = identify(docs.select("doc_id", "text"), model)
+    of = F.col("language")
+    return found.select(
+        "doc_id", (~learn).alias("held_out"), of["lang"].alias("lang_pred"), of["score"].alias("score"), of["bits"].alias("bits")
+    )
