@@ -28,7 +28,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.text import FIRST, SECOND, Words, keep_columns, mixed, rolling, slices, text_hash
-from lotwise.session import via_table
 
 LAST = (1 << 63) - 1
 PAGE = 1 << 15
@@ -150,8 +149,8 @@ def _probes(block: int, blocks):
 
 
 def _windows(block: int, window: int, live):
-    """Windows around live hits. Of equal windows in a batch only those of the smallest document go on
-    (with their hash); the others are known to repeat and come out as runs (without a hash)."""
+    """Windows around live hits. Of equal windows in a batch only those of the smallest document stay open;
+    the others are known to repeat and come out as runs, spread by document and without a second hash."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +183,7 @@ def _windows(block: int, window: int, live):
             settled = np.append(np.zeros(len(open_), bool), np.ones(len(heads), bool))
             yield pa.RecordBatch.from_pydict(
                 {
-                    "h": pa.array(h[at].view(np.int64), mask=settled),
+                    "h": pa.array(np.where(settled, key[row[at]], h[at].view(np.int64))),
                     "g": pa.array(g[at].view(np.int32), mask=settled),
                     "o": pa.array(o[at]),
                     "k": pa.array(key[row[at]]),
@@ -213,16 +212,10 @@ def repeated_runs(
     )
     live = context.broadcast(bitmap(joined, "h", filter_bits))
     blocks.unpersist()
-    found = via_table(
-        source.mapInArrow(_windows(block, window, live), "h bigint, g int, o bigint, k bigint, start int, end int"), "windows"
-    )
-    live.unpersist()
-    same = Window.partitionBy("h", "g")
-    late = found.where("h IS NOT NULL").withColumn("least", F.min("o").over(same)).where("o > least")
-    settled = found.where("h IS NULL").select("o", "k", "start", "end")
     return (
-        late.select("o", "k", "start", "end")
-        .unionByName(settled)
+        source.mapInArrow(_windows(block, window, live), "h bigint, g int, o bigint, k bigint, start int, end int")
+        .withColumn("least", F.min("o").over(Window.partitionBy("h", "g")))
+        .where("g IS NULL OR o > least")
         .groupBy("o", "k")
         .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     )
