@@ -14,6 +14,7 @@ from lotwise.llm.mixing import mix_sources
 from lotwise.llm.simhash import simhash_classes
 from lotwise.llm.substrings import remove_repeats, removed_words
 from lotwise.llm.text import training_part, word_count
+from lotwise.llm.tokens import attribute_tokens
 from lotwise.llm.toxicity import fit_toxicity, judge_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +183,18 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", (~learn).alias("held_out"), of["lang"].alias("lang_pred"), of["score"].alias("score"), of["bits"].alias("bits")
     )
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token that crosses a line end goes to the line it starts in."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = attribute_tokens(docs, F.col("text"))
+    t = F.col("tokens")
+    return counted.select(
+        "doc_id",
+        t["n_tokens"].alias("n_tokens"),
+        t["n_crossing"].alias("n_crossing"),
+        F.size(t["sections"]).cast("long").alias("n_lines"),
+        F.transform(t["sections"], lambda s: s["tokens"].cast("long")).alias("line_tokens"),
+    )
