@@ -11,6 +11,7 @@ from lotwise.llm.decontamination import find_items, hit_words
 from lotwise.llm.language import fit_languages, identify
 from lotwise.llm.lines import remove_repeated_lines, removed_lines
 from lotwise.llm.mixing import mix_sources
+from lotwise.llm.private import count_kind, protect, span_text
 from lotwise.llm.simhash import simhash_classes
 from lotwise.llm.substrings import remove_repeats, removed_words
 from lotwise.llm.text import training_part, word_count
@@ -198,3 +199,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(t["sections"]).cast("long").alias("n_lines"),
         F.transform(t["sections"], lambda s: s["tokens"].cast("long")).alias("line_tokens"),
     )
+
+
+@query("op4_private")
+def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = protect(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base, terms = F.col("private")["base"], F.col("private")["terms"]
+    listed = span_text(base)
+    return found.select(
+        "doc_id",
+        *[count_kind(base, k).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(listed, 256).alias("base_sha256"),
+        F.concat_ws(",", *[F.when(x != "", x) for x in (listed, span_text(terms, F.lit("term")))]).alias("spans"),
+    )
