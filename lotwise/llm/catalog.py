@@ -17,6 +17,7 @@ from lotwise.llm.substrings import remove_repeats, removed_words
 from lotwise.llm.text import training_part, word_count
 from lotwise.llm.tokens import attribute_tokens
 from lotwise.llm.toxicity import fit_toxicity, judge_toxicity
+from lotwise.llm.vectors import top_inner_products
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,3 +213,18 @@ def op4_private(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(listed, 256).alias("base_sha256"),
         F.concat_ws(",", *[F.when(x != "", x) for x in (listed, span_text(terms, F.lit("term")))]).alias("spans"),
     )
+
+
+TOP_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op3_top_inner_products", TOP_SQL)
+def op3_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
