@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.llm.substrings import LAST, bitmap
-from lotwise.llm.text import FIRST, SECOND, SEPARATORS, keep_columns, mixed, rolling, text_hash
+from lotwise.llm.text import SECOND, SEPARATORS, keep_columns, mixed, rolling, text_hash
 from lotwise.session import via_table
 
 RUN = 3

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.llm.text import FIRST, SECOND, Words, keep_columns, mixed, rolling, slices, text_hash
+from lotwise.llm.text import SECOND, Words, keep_columns, mixed, rolling, slices, text_hash
 
 LAST = (1 << 63) - 1
 PAGE = 1 << 15
