@@ -1,202 +1,214 @@
-"""Exact quantiles that stay bounded in memory at any size.
+"""Exact quantiles by counting, with one plan for every size.
 
-``percentile`` keeps one counter per distinct value of a group in one task. That is fine for
-ratings and years and fatal for prices of 10^12 rows. So the number of distinct values is bounded
-first: by the row count, by the range of a whole-number column, and only where neither is small
-enough by a mergeable sketch:
+A quantile asks for the values at one or two ranks. Each search keeps a bracket that holds the value. A
+pass counts the rows of the bracket in at most ``BINS`` bins, with the smallest and largest value of each,
+and the bin that holds the rank becomes the next bracket. It is settled when the bracket is a single value
+or the rank is its first or last row. Bins are cut in equal widths; where such a pass hardly divides the
+rows (values over many magnitudes) the next one cuts by magnitude. The largest value of a bracket always
+gets a bin of its own, so every pass shrinks the bracket and the search ends by itself.
 
-* at most ``max_distinct``: plain ``percentile`` - exact, partially aggregated, no shuffle of rows;
-* above: *bracketing*. A quantile sketch names two values that enclose the wanted rank, one pass
-  counts what lies below and inside, and only the values inside are looked at. A bracket that
-  still holds too many distinct values is narrowed again (each pass divides it by ~500); a bracket
-  that misses the rank is widened. The sketch only steers the search, so the result is exact.
-
-Hot groups are harmless: every pass is a partially aggregated ``groupBy``.
+What a task holds is a counter per search and bin. Counters are combined before they move, so a hot value,
+a hot group and a column of distinct values cost the same.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from lotwise.functions.joins import lookup_join
 from lotwise.functions.scalar import col
-from lotwise.session import cut_lineage
+from lotwise.session import cut_lineage, via_table
 
-MAX_DISTINCT = 1_000_000
-GRID = 500
+BINS = 256
+_LARGEST = 1.7976931348623157e308
+_MAGNITUDES = 1100.0  # above the largest binary exponent of a double
 
 
-def exact_quantiles(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], max_distinct: int = MAX_DISTINCT
-) -> dict[str, list[float | None]]:
-    """``{column: [quantile, ...]}`` with linear interpolation, missing cells skipped."""
-    if not columns:
-        return {}
-    small = _few_distinct(df, columns, max_distinct)
-    out: dict[str, list[float | None]] = {}
-    if small:
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(col(c).cast("double"), wanted).alias(c) for c in small]).first()
-        out.update({c: list(row[c]) if row[c] is not None else [None] * len(probs) for c in small})
-    large = [c for c in columns if c not in small]
-    if large:
-        long = df.select(
-            F.explode(
-                F.array(
-                    *[
-                        F.struct(F.lit(c).alias("column"), col(c).cast("double").alias("value"))
-                        for c in large
-                    ]
-                )
-            ).alias("cell")
-        ).select(F.col("cell.column").alias("column"), F.col("cell.value").alias("value"))
-        found = _bracketed(long, ["column"], probs, max_distinct)
-        for c in large:
-            out[c] = [None] * len(probs)
-        # At most (columns x probs) rows.
-        for r in found.collect():
-            out[r["column"]][r["slot"]] = r["quantile"]
-    return {c: out[c] for c in columns}
-
-
-def _few_distinct(df: DataFrame, columns: Sequence[str], limit: int) -> list[str]:
-    """The columns with at most ``limit`` distinct values."""
-    if df.count() <= limit:
-        return list(columns)
-    kinds = {f.name: f.dataType for f in df.schema}
-    whole = [c for c in columns if isinstance(kinds[c], T.IntegralType)]
-    few = set()
-    if whole:
-        span = df.agg(*[(F.max(col(c)).cast("double") - F.min(col(c)).cast("double")).alias(c) for c in whole]).first()
-        few = {c for c in whole if (span[c] or 0) < limit}
-    rest = [c for c in columns if c not in few]
-    if rest:
-        sizes = df.agg(*[F.approx_count_distinct(col(c)).alias(c) for c in rest]).first()
-        few |= {c for c in rest if sizes[c] <= limit}
-    return [c for c in columns if c in few]
-
-
-def grouped_quantiles(
-    df: DataFrame,
-    by: Sequence[str],
-    value: str | Column,
-    probs: dict[str, float],
-    max_distinct: int = MAX_DISTINCT,
-) -> DataFrame:
-    """One row per group with one exact quantile column per entry of ``probs``."""
-    value = col(value) if isinstance(value, str) else value
-    rows = df.select(*[col(b) for b in by], value.cast("double").alias("_value"))
-    names, levels = list(probs), [float(p) for p in probs.values()]
-    fits = df.count() <= max_distinct
-    if not fits:
-        widest = rows.groupBy(*by).agg(F.approx_count_distinct("_value").alias("d")).agg(F.max("d")).first()[0]
-        fits = widest is None or widest <= max_distinct
-    if fits:
-        wanted = F.array(*[F.lit(p) for p in levels])
-        return (
-            rows.groupBy(*by)
-            .agg(F.percentile("_value", wanted).alias("_q"))
-            .select(*[col(b) for b in by], *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-        )
-    # As a struct, a missing group is a key like any other.
-    keyed = rows.select(F.struct(*[col(b) for b in by]).alias("_key"), F.col("_value").alias("value"))
-    found = _bracketed(keyed, ["_key"], levels, max_distinct)
-    picked = found.groupBy("_key").agg(
-        *[F.max(F.when(F.col("slot") == i, F.col("quantile"))).alias(n) for i, n in enumerate(names)]
-    )
-    # Groups without a value have no quantile but stay in the result.
-    groups = keyed.groupBy("_key").agg(F.count("value").alias("n")).select("_key")
-    return groups.join(picked, "_key", "left").select("_key.*", *names)
+def _number(value: Column) -> Column:
+    """As a double; NaN counts as missing, and negative zero is zero."""
+    value = value.cast("double")
+    return F.when(~F.isnan(value), value + F.lit(0.0))
+
 
+def _magnitude(v: Column) -> Column:
+    """A monotone scale on which equal steps are equal ratios."""
+    size = F.log2(F.greatest(F.abs(v), F.lit(5e-324))) + _MAGNITUDES
+    return F.when(v == 0, F.lit(0.0)).otherwise(F.signum(v) * size)
 
-def _bracketed(long: DataFrame, keys: list[str], probs: Sequence[float], max_distinct: int) -> DataFrame:
-    """``keys, slot, quantile`` for rows of ``keys, value`` (see the module text)."""
-    long = long.where(F.col("value").isNotNull())
-    grid = F.array(*[F.lit(i / GRID) for i in range(GRID + 1)])
-    slots = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(p).alias("p")) for i, p in enumerate(probs)])
 
-    def pick(position: Column) -> tuple[Column, Column]:
-        """The two grid values around a relative position, one cell wider on both sides."""
-        cell = F.floor(position * GRID).cast("int")
-        low = F.when(cell > 1, F.element_at("g", cell)).otherwise(F.lit(float("-inf")))
-        high = F.when(cell + 3 <= GRID, F.element_at("g", cell + 3)).otherwise(F.lit(float("inf")))
-        return low, high
+def bin_of(v: Column, low: Column, high: Column, by_magnitude: Column | bool) -> Column:
+    """The bin of a value inside ``[low, high]``: never falls as the value grows, and only the largest
+    value is in the last one."""
 
-    sketch = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.percentile_approx("value", grid, F.lit(20 * GRID)).alias("g")
+    def equal(a: Column, b: Column, c: Column) -> Column:
+        # Halves, so that the widest bracket does not overflow.
+        return F.floor(F.try_divide(a / 2 - b / 2, c / 2 - b / 2) * (BINS - 1))
+
+    a, b, c = (F.least(F.greatest(x, F.lit(-_LARGEST)), F.lit(_LARGEST)) for x in (v, low, high))
+    plain, magnitude = equal(a, b, c), equal(_magnitude(a), _magnitude(b), _magnitude(c))
+    if isinstance(by_magnitude, Column):
+        place = F.when(by_magnitude, magnitude).otherwise(plain)
+    else:
+        place = magnitude if by_magnitude else plain
+    inside = F.least(F.greatest(F.coalesce(place, F.lit(0)), F.lit(0)), F.lit(BINS - 2))
+    return F.when(v >= high, F.lit(BINS - 1)).otherwise(inside).cast("int")
+
+
+def ranks(n: int, p: float) -> tuple[int, int, float]:
+    """The two ranks around a quantile with linear interpolation, and the weight of the second."""
+    h = (n - 1) * p
+    low = math.floor(h)
+    return low, min(math.ceil(h), n - 1), h - low
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, list[float | None]]:
+    """``{column: [quantile, ...]}`` with linear interpolation, missing cells skipped.
+
+    All columns share each pass over the data. The driver holds a bracket per column and rank.
+    """
+    if not columns:
+        return {}
+    value = {c: _number(col(c)) for c in columns}
+    first = df.agg(
+        *[f(value[c]).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("n", F.count), ("a", F.min), ("b", F.max))]
+    ).first()
+    sizes = {c: first[f"n{i}"] for i, c in enumerate(columns)}
+    settled: dict[tuple[str, int], float] = {}
+    # (column, low, high, by magnitude) -> {rank: rows below the bracket}, and the rows inside.
+    open_: dict[tuple[str, float, float, bool], dict[int, int]] = {}
+
+    def place(c: str, rank: int, below: int, n: int, low: float, high: float, by_magnitude: bool) -> None:
+        if low == high or rank == below:
+            settled[c, rank] = low
+        elif rank == below + n - 1:
+            settled[c, rank] = high
+        else:
+            open_.setdefault((c, low, high, by_magnitude), {})[rank] = below
+
+    for i, c in enumerate(columns):
+        for rank in {r for p in probs if sizes[c] for r in ranks(sizes[c], p)[:2]}:
+            place(c, rank, 0, sizes[c], first[f"a{i}"], first[f"b{i}"], False)
+    while open_:
+        searches, wanted = list(open_), list(open_.values())
+        open_ = {}
+        cells = [
+            F.when(
+                value[c].between(low, high),
+                F.struct(F.lit(s).alias("s"), bin_of(value[c], F.lit(low), F.lit(high), m).alias("bin"), value[c].alias("v")),
+            )
+            for s, (c, low, high, m) in enumerate(searches)
+        ]
+        counted = (
+            df.select(F.inline(F.filter(F.array(*cells), lambda x: x.isNotNull())))
+            .groupBy("s", "bin")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .collect()  # at most BINS rows per search
+        )
+        bins: dict[int, list] = {}
+        for r in sorted(counted, key=lambda r: (r["s"], r["bin"])):
+            bins.setdefault(r["s"], []).append(r)
+        for s, (c, _, _, by_magnitude) in enumerate(searches):
+            total = sum(r["n"] for r in bins[s])
+            for rank, below in wanted[s].items():
+                for r in bins[s]:
+                    if rank < below + r["n"]:
+                        turned = by_magnitude != (4 * r["n"] > total)
+                        place(c, rank, below, r["n"], r["low"], r["high"], turned)
+                        break
+                    below += r["n"]
+
+    def quantile(c: str, p: float) -> float | None:
+        if not sizes[c]:
+            return None
+        low, high, part = ranks(sizes[c], p)
+        a, b = settled[c, low], settled[c, high]
+        return a if a == b else a + (b - a) * part
+
+    return {c: [quantile(c, p) for p in probs] for c in columns}
+
+
+def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, probs: dict[str, float]) -> DataFrame:
+    """One row per group with one exact quantile column per entry of ``probs``.
+
+    The searches are a table with a row per group and rank; each pass joins it to the rows (broadcast
+    only below a bound in bytes, else salted by the measured size of hot groups) and counts bins.
+    """
+    value = col(value) if isinstance(value, str) else value
+    # As a struct, a missing group is a key like any other.
+    rows = df.select(F.struct(*[col(b) for b in by]).alias("key"), _number(value).alias("v"))
+    groups = via_table(
+        rows.groupBy("key").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "groups"
     )
-    low, high = pick(F.col("p"))
-    target = (
-        sketch.select(*keys, "n", "g", F.inline(slots))
+    names = list(probs)
+    levels = F.array(*[F.struct(F.lit(i).alias("slot"), F.lit(float(p)).alias("p")) for i, p in enumerate(probs.values())])
+    asked = (
+        groups.where("n > 0")
+        .select("*", F.inline(levels))
         .withColumn("h", (F.col("n") - 1) * F.col("p"))
-        .select(*keys, "slot", "n", "h", low.alias("lo"), high.alias("hi"))
+        .select("key", "slot", "h", "n", "low", "high")
     )
-    for _ in range(12):
-        target = cut_lineage(target)
-        inside = F.col("value").between(F.col("lo"), F.col("hi"))
-        looked = long.join(_sized(target), keys)
-        state = cut_lineage(
-            looked.groupBy(*keys, "slot", "n", "h", "lo", "hi").agg(
-                F.count_if(F.col("value") < F.col("lo")).alias("below"),
-                F.count_if(inside).alias("m"),
-                F.approx_count_distinct(F.when(inside, F.col("value"))).alias("d"),
-                F.percentile_approx(F.when(inside, F.col("value")), grid, F.lit(20 * GRID)).alias("g"),
-            )
-        )
-        first, last = F.floor("h"), F.ceil("h")
-        missed_low = first < F.col("below")
-        missed_high = last >= F.col("below") + F.col("m")
-        wide = (F.col("d") > max_distinct) & (F.col("lo") < F.col("hi"))
-        todo = state.agg(
-            F.max((missed_low | missed_high).cast("int")).alias("missed"), F.max(wide.cast("int")).alias("wide")
-        ).first()
-        if not todo["missed"] and not todo["wide"]:
+    found = (
+        asked.select("*", F.explode(F.array_distinct(F.array(F.floor("h"), F.ceil("h")))).alias("rank"))
+        .select("key", "rank", F.lit(0).cast("long").alias("below"), "n", "low", "high", F.lit(False).alias("m"))
+        .distinct()
+    )
+    last = F.col("below") + F.col("n") - 1
+    known = (
+        F.when((F.col("low") == F.col("high")) | (F.col("rank") == F.col("below")), F.col("low"))
+        .when(F.col("rank") == last, F.col("high"))
+    )
+    present = rows.where(F.col("v").isNotNull())
+    results = []
+    while True:
+        state = cut_lineage(found.withColumn("value", known))
+        results.append(state.where(F.col("value").isNotNull()).select("key", "rank", "value"))
+        todo = state.where(F.col("value").isNull()).drop("value")
+        if todo.isEmpty():
             break
-        low, high = pick(F.try_divide(F.col("h") - F.col("below"), (F.col("m") - 1).cast("double")))
-        low = F.greatest(low, F.col("lo"))
-        high = F.least(high, F.col("hi"))
-        target = state.select(
-            *keys,
-            "slot",
-            "n",
-            "h",
-            F.when(missed_low, F.lit(float("-inf")))
-            .when(missed_high, F.col("lo"))
-            .when(wide, low)
-            .otherwise(F.col("lo"))
-            .alias("lo"),
-            F.when(missed_high, F.lit(float("inf")))
-            .when(missed_low, F.col("hi"))
-            .when(wide, high)
-            .otherwise(F.col("hi"))
-            .alias("hi"),
+        search = F.struct("low", "high", "m")
+        brackets = todo.groupBy("key").agg(F.collect_set(search).alias("brackets"))  # at most two per level
+        met = (
+            lookup_join(present, brackets, ["key"], "inner")
+            .select("key", "v", F.explode("brackets").alias("s"))
+            .where(F.col("v").between(F.col("s.low"), F.col("s.high")))
         )
-    # Values inside a bracket: counted per distinct value first, so ties cost nothing.
-    inner = (
-        long.join(_sized(state.drop("g", "d", "m", "n")), keys)
-        .where(F.col("value").between(F.col("lo"), F.col("hi")))
-        .groupBy(*keys, "slot", "h", "below", "value")
-        .agg(F.count(F.lit(1)).alias("c"))
-    )
-    up_to = F.sum("c").over(
-        Window.partitionBy(*keys, "slot").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        up_to = Window.partitionBy("key", "s").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        bins = (
+            met.groupBy("key", "s", bin_of(F.col("v"), F.col("s.low"), F.col("s.high"), F.col("s.m")).alias("bin"))
+            .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+            .withColumn("end", F.sum("c").over(up_to))
+        )
+        inside = (F.col("rank") < F.col("below") + F.col("end")) & (F.col("rank") >= F.col("below") + F.col("end") - F.col("c"))
+        found = (
+            todo.withColumn("s", search)
+            .drop("low", "high", "m")
+            .join(bins, ["key", "s"])
+            .where(inside)
+            .select(
+                "key",
+                "rank",
+                (F.col("below") + F.col("end") - F.col("c")).alias("below"),
+                F.col("c").alias("n"),
+                F.col("a").alias("low"),
+                F.col("b").alias("high"),
+                (F.col("s.m") != (4 * F.col("c") > F.col("n"))).alias("m"),
+            )
+        )
+    values = results[0]
+    for more in results[1:]:
+        values = values.unionByName(more)
+    pairs = asked.select("key", "slot", "h").join(
+        values.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("at")), "key"
     )
-    ranked = inner.withColumn("end", F.col("below") + up_to).withColumn("start", F.col("end") - F.col("c"))
-
-    def holds(rank: Column) -> Column:
-        return (rank >= F.col("start")) & (rank < F.col("end"))
-
-    picked = ranked.groupBy(*keys, "slot", "h").agg(
-        F.max(F.when(holds(F.floor("h")), F.col("value"))).alias("a"),
-        F.max(F.when(holds(F.ceil("h")), F.col("value"))).alias("b"),
+    a, b = F.element_at("at", F.floor("h")), F.element_at("at", F.ceil("h"))
+    picked = (
+        pairs.select("key", "slot", F.when(a == b, a).otherwise(a + (b - a) * (F.col("h") - F.floor("h"))).alias("q"))
+        .groupBy("key")
+        .agg(*[F.max(F.when(F.col("slot") == i, F.col("q"))).alias(f"q{i}") for i in range(len(names))])
     )
-    part = F.col("h") - F.floor("h")
-    return picked.select(*keys, "slot", (F.col("a") + (F.col("b") - F.col("a")) * part).alias("quantile"))
-
-
-def _sized(small: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Broadcast hint only behind a row count; otherwise the join shuffles and AQE splits skew."""
-    return F.broadcast(small) if small.count() <= max_rows else small
+    # Groups without a value have no quantile but stay in the result.
+    return groups.select("key").join(picked, "key", "left").select("key.*", *[F.col(f"q{i}").alias(n) for i, n in enumerate(names)])

@@ -15,7 +15,7 @@ from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.joins import MAX_BROADCAST_ROWS, lookup_join
+from lotwise.functions.joins import lookup_join
 from lotwise.functions.quantiles import exact_quantiles
 from lotwise.functions.scalar import clip_high, clip_low, col, quality_points, quoted, safe_ratio, size_class
 from lotwise.operators.persist import WithTable
@@ -243,8 +243,6 @@ class FeatureBuilderModel(Model, _FeatureParams, WithTable):
         porch = self.getOrDefault(self.porchMedian) if self.isSet(self.porchMedian) else None
         out = row_features(df, porch, **self._options())
         if self.table is not None and _known(df, "Neighborhood", "OverallQual"):
-            known = self.getOrDefault(self.placeCount)
-            places = F.broadcast(self.table) if known <= MAX_BROADCAST_ROWS else self.table
-            out = _own_quality_if_unseen(out.join(places, "Neighborhood", "left"))
+            out = _own_quality_if_unseen(lookup_join(out, self.table, ["Neighborhood"]))
         order = [c for c in df.columns if c not in DERIVED] + [c for c in DERIVED if c in out.columns]
         return out.select(*[quoted(c) for c in order])

@@ -66,5 +66,5 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
     rows = spark.range(1000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
     lookup = rows.groupBy("k").agg(F.count("*").alias("n"))
     a = lookup_join(rows, lookup, ["k"]).orderBy("id").collect()
-    b = lookup_join(rows, lookup, ["k"], max_rows=10, salts=4).orderBy("id").collect()
+    b = lookup_join(rows, lookup, ["k"], max_bytes=0).orderBy("id").collect()
     assert a == b and len(a) == 1000
