@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.ml import Transformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lotwise.functions.scalar import col
+from lotwise.functions.scalar import col, no_nan
 from lotwise.operators.splits import from_log
-from lotwise.schema import REQUEST_ALIASES, REQUEST_DEFAULTS, REQUEST_RANGES, REQUEST_REQUIRED, request_schema
+from lotwise.schema import (
+    CORRUPT,
+    GIVEN,
+    REQUEST_ALIASES,
+    REQUEST_DEFAULTS,
+    REQUEST_RANGES,
+    REQUEST_REQUIRED,
+    request_schema,
+)
 from lotwise.session import via_table
 
 INTERVAL_WIDTH = 1.5
+FAULTS = "_faults"
 
 
 def apply_aliases(df: DataFrame) -> DataFrame:
@@ -25,31 +35,66 @@ def apply_aliases(df: DataFrame) -> DataFrame:
     return out
 
 
+def _converted(df: DataFrame, field: T.StructField) -> tuple[Column, Column]:
+    """A field in its type, and why its cell cannot be read (NULL if it can)."""
+    ok = F.lit(None).cast("string")
+    if field.name not in df.columns:
+        return F.lit(None).cast(field.dataType), ok
+    cell = col(field.name)
+    if isinstance(field.dataType, T.StringType):
+        return cell.cast("string"), ok
+    if isinstance(df.schema[field.name].dataType, (T.DoubleType, T.FloatType)):
+        cell = no_nan(cell)  # a missing number, not a wrong one
+    number = no_nan(cell.try_cast("double"))
+    wrong = F.when(cell.isNotNull() & number.isNull(), F.lit("not a number"))
+    if not isinstance(field.dataType, T.IntegralType):
+        return number, wrong
+    whole = F.when(number == F.floor(number), number).try_cast(field.dataType)
+    return whole, F.coalesce(
+        wrong,
+        F.when(number != F.floor(number), F.lit("not a whole number")),
+        F.when(number.isNotNull() & whole.isNull(), F.lit("out of range")),
+    )
+
+
 def to_request(df: DataFrame) -> DataFrame:
-    """Other columns first, then the 48 request fields in their types; absent ones are NULL."""
+    """Other columns first, then the 48 request fields in their types; absent ones are NULL.
+
+    A cell that cannot be read becomes NULL; ``_faults`` says why, field by field.
+    """
     out = apply_aliases(df)
     fields = request_schema()
     rest = [col(c) for c in out.columns if c not in fields.names]
+    cells = {f.name: _converted(out, f) for f in fields}
     return out.select(
         *rest,
-        *[
-            (col(f.name).cast(f.dataType) if f.name in out.columns else F.lit(None).cast(f.dataType)).alias(f.name)
-            for f in fields
-        ],
+        *[cell.alias(name) for name, (cell, _) in cells.items()],
+        F.struct(*[fault.alias(name) for name, (_, fault) in cells.items()]).alias(FAULTS),
     )
 
 
 def fill_defaults(df: DataFrame) -> DataFrame:
-    return df.fillna({c: v for c, v in REQUEST_DEFAULTS.items() if c in df.columns})
+    """Defaults of absent fields. Where the request names its fields (``_given``), an explicit null stays."""
+    names = {name: [name, *(a for a, n in REQUEST_ALIASES.items() if n == name)] for name in REQUEST_DEFAULTS}
+    if GIVEN not in df.columns:
+        return df.fillna({c: v for c, v in REQUEST_DEFAULTS.items() if c in df.columns})
+    filled = {}
+    for name, value in REQUEST_DEFAULTS.items():
+        if name in df.columns:
+            absent = ~F.coalesce(F.arrays_overlap(GIVEN, F.array(*map(F.lit, names[name]))), F.lit(False))
+            filled[name] = F.when(col(name).isNull() & absent, F.lit(value)).otherwise(col(name))
+    return df.withColumns(filled)
 
 
 def rule_errors() -> Column:
-    """Names of the broken rules, in field order: missing, out of range, remodelled before built."""
+    """Names of the broken rules, in field order: unreadable, missing, out of range, remodelled before built."""
     checks = []
     fields = request_schema().names
     for name in fields:
+        fault = col(FAULTS)[name]
+        checks.append(F.when(fault.isNotNull(), F.concat(F.lit(f"{name}: "), fault)))
         if name in REQUEST_REQUIRED:
-            checks.append(F.when(col(name).isNull(), F.lit(f"{name}: missing")))
+            checks.append(F.when(col(name).isNull() & fault.isNull(), F.lit(f"{name}: missing")))
         if name in REQUEST_RANGES:
             low, high = REQUEST_RANGES[name]
             bad = F.lit(False)
@@ -64,18 +109,29 @@ def rule_errors() -> Column:
 
 
 def validated(df: DataFrame) -> DataFrame:
-    """Requests with defaults filled and an ``errors`` array."""
-    return fill_defaults(to_request(df)).withColumn("errors", rule_errors())
+    """Requests with defaults filled and an ``errors`` array. A body that could not be read
+    (``corrupt``) has that one error."""
+    typed = to_request(df)
+    # A default never stands in for a cell that was given but cannot be read.
+    unread = {c: col(FAULTS)[c] for c in REQUEST_DEFAULTS}
+    filled = fill_defaults(typed)
+    filled = filled.withColumns({c: F.when(fault.isNull(), col(c)) for c, fault in unread.items()})
+    errors = rule_errors()
+    if CORRUPT in df.columns:
+        errors = F.when(col(CORRUPT).isNotNull(), F.array(F.lit("body: not readable"))).otherwise(errors)
+    return filled.withColumn("errors", errors).drop(FAULTS)
 
 
 def split_valid(checked: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """Valid requests, and the quarantine ``key, errors``.
+    """Valid requests, and the quarantine: ``key, errors`` and what the request came with of its
+    ``row_index``, its ``file`` and its unreadable text (``corrupt``).
 
     Hand in a stored or cached table: both parts read it, so the rules run once, and the optimizer
     does not carry some 45 rules through every later filter and join.
     """
-    good = checked.where(F.size("errors") == 0).drop("errors")
-    bad = checked.where(F.size("errors") > 0).select(col(key), "errors")
+    source = [c for c in ("row_index", "file", CORRUPT) if c in checked.columns and c != key]
+    good = checked.where(F.size("errors") == 0).drop("errors", "file", CORRUPT, GIVEN)
+    bad = checked.where(F.size("errors") > 0).select(col(key), "errors", *source)
     return good, bad
 
 

@@ -29,12 +29,16 @@ def requests(spark, sf, rows=None):
     )
 
 
-def _rules_sql() -> str:
-    checks = []
+def _rules_sql(faults: dict[str, str] | None = None) -> str:
+    """``faults``: SQL that says why a cell of a field cannot be read, NULL if it can."""
+    checks, faults = [], faults or {}
     for name in request_schema().names:
         known = name not in ("Street", "LotShape", "LandContour", "Utilities", "BldgType", "RoofStyle", "Exterior1st")
+        fault = faults.get(name, "NULL")
+        if name in faults:
+            checks.append(f"CASE WHEN ({fault}) IS NOT NULL THEN '{name}: ' || ({fault}) END")
         if name in REQUEST_REQUIRED:
-            checks.append(f"""CASE WHEN "{name}" IS NULL THEN '{name}: missing' END""")
+            checks.append(f"""CASE WHEN "{name}" IS NULL AND ({fault}) IS NULL THEN '{name}: missing' END""")
         if name in REQUEST_RANGES and known:
             low, high = REQUEST_RANGES[name]
             bad = " OR ".join([f'"{name}" < {low}'] * (low is not None) + [f'"{name}" > {high}'] * (high is not None))
@@ -58,6 +62,65 @@ def validate_requests(spark, sf):
     return checked.select("Id", F.array_join("errors", "|").alias("errors"), (F.size("errors") == 0).alias("valid"))
 
 
+BROKEN = {
+    "OverallQual": "CASE Id % 31 WHEN 0 THEN 'not a number' WHEN 1 THEN 'not a whole number' END",
+    "LotArea": "CASE WHEN Id % 37 = 0 THEN 'out of range' END",
+}
+BROKEN_CTE = f""", req AS (SELECT * REPLACE (CASE WHEN Id % 31 > 1 THEN OverallQual END AS OverallQual,
+    CASE WHEN Id % 37 > 0 THEN LotArea END AS LotArea), CASE WHEN Id % 23 <> 0 THEN '2Story' END AS HouseStyle FROM listing),
+checked AS (SELECT *, {_rules_sql(BROKEN)} AS errors FROM req)
+"""
+
+
+def with_broken_cells(rows):
+    """A word, a fraction and a number beyond the type in columns of whole numbers."""
+    quality = F.when(F.col("Id") % 31 == 0, "abc").when(F.col("Id") % 31 == 1, "7.9").otherwise(F.col("OverallQual").cast("string"))
+    area = F.when(F.col("Id") % 37 == 0, "3000000000").otherwise(F.col("LotArea").cast("string"))
+    return rows.withColumns({"OverallQual": quality, "LotArea": area})
+
+
+@query(
+    "broken_cells",
+    with_listing("SELECT Id, array_to_string(errors, '|') AS errors, len(errors) = 0 AS valid FROM checked", BROKEN_CTE),
+)
+def broken_cells(spark, sf):
+    """Every request is either valid or in the quarantine, whatever its cells hold."""
+    good, bad = ops.split_valid(via_table(ops.validated(with_broken_cells(requests(spark, sf))), "checked"), "Id")
+    good = good.select("Id", F.lit("").alias("errors"), F.lit(True).alias("valid"))
+    return good.unionByName(bad.select("Id", F.array_join("errors", "|").alias("errors"), F.lit(False).alias("valid")))
+
+
+@query(
+    "broken_json_requests",
+    with_listing(
+        """SELECT Id, Id % 7 = 0 OR Id % 11 = 0 AS unread, CASE WHEN Id % 7 = 0 OR Id % 11 = 0 THEN NULL WHEN Id % 5 = 0 THEN NULL
+           ELSE 'TA' END AS BsmtQual, CASE WHEN Id % 7 = 0 OR Id % 11 = 0 THEN NULL ELSE CAST(OverallQual AS INT) END AS OverallQual,
+           CASE WHEN Id % 7 = 0 OR Id % 11 = 0 THEN '' WHEN Id % 5 = 0 THEN 'GrLivArea: not a number' ELSE '' END AS about_area
+           FROM listing"""
+    ),
+)
+def broken_json_requests(spark, sf):
+    """Broken text, a property that is no object, a list in place of a number, an explicit null for a default."""
+    number = F.col("OverallQual").cast("string")
+    whole = F.concat(F.lit('{"property": {"OverallQual": '), number, F.lit("}}"))
+    odd = F.concat(F.lit('{"property": {"GrLivArea": [1, 2], "BsmtQual": null, "OverallQual": '), number, F.lit("}}"))
+    body = (
+        F.when(F.col("Id") % 7 == 0, F.lit('{"property": {"OverallQual": 7'))
+        .when(F.col("Id") % 11 == 0, F.lit('{"property": 17}'))
+        .when(F.col("Id") % 5 == 0, odd)
+        .otherwise(whole)
+    )
+    checked = ops.validated(parse_requests(listing(spark, sf).select("Id", body.alias("value"))))
+    unread = F.col("corrupt").isNotNull()
+    return checked.select(
+        "Id",
+        unread.alias("unread"),
+        F.when(~unread, F.col("BsmtQual")).alias("BsmtQual"),
+        "OverallQual",
+        F.array_join(F.filter("errors", lambda e: F.startswith(e, F.lit("GrLivArea: not"))), "|").alias("about_area"),
+    )
+
+
 @query(
     "quarantine",
     with_listing("SELECT unnest(errors) AS error, count(*) AS requests FROM checked WHERE len(errors) > 0 GROUP BY 1", REQUEST_CTE),
@@ -173,6 +236,35 @@ def batch_failed_rows(spark, sf):
     return checked.select("batch", "row_index", "OverallQual", failed.alias("failed"))
 
 
+@query(
+    "batch_broken_bodies",
+    with_listing(
+        """SELECT batch, CASE WHEN batch % 5 > 0 THEN row_index END AS row_index, unread FROM (
+           SELECT Id // 10 AS batch, CAST(row_number() OVER (PARTITION BY Id // 10 ORDER BY Id) - 1 + (Id // 10 % 5 = 1)::INT AS INT) AS row_index,
+           Id // 10 % 5 = 0 AS unread FROM listing) t WHERE batch % 5 > 0 OR row_index = 0
+           UNION ALL SELECT DISTINCT Id // 10, 0, true FROM listing WHERE Id // 10 % 5 = 1"""
+    ),
+)
+def batch_broken_bodies(spark, sf):
+    """Some batches are cut off, some begin with an entry that is no property: nothing else is lost."""
+    one = F.struct("Id", F.struct("OverallQual").alias("p"))
+    body = F.to_json(F.struct(F.transform("rows", lambda x: x["p"]).alias("properties")))
+    batches = (
+        listing(spark, sf)
+        .groupBy(F.floor(F.col("Id") / 10).alias("batch"))
+        .agg(F.array_sort(F.collect_list(one)).alias("rows"))
+        .select(
+            "batch",
+            F.when(F.col("batch") % 5 == 0, F.substring(body, 1, 30))
+            .when(F.col("batch") % 5 == 1, F.replace(body, F.lit("["), F.lit("[17,")))
+            .otherwise(body)
+            .alias("value"),
+        )
+    )
+    checked = ops.validated(parse_batches(batches))
+    return checked.select("batch", "row_index", F.array_contains("errors", "body: not readable").alias("unread"))
+
+
 @query(
     "score_stream",
     with_listing(f"SELECT Id, {PRICES}, 'formula' AS model_name FROM priced", REQUEST_CTE, PRICED_CTE),

@@ -21,7 +21,8 @@ SaleType SaleCondition
 """.split()
 
 # Text that stands for a missing cell in delimited files.
-NA_TOKENS = ["", "NA", "N/A", "n/a", "nan", "NaN", "-nan", "-NaN", "NULL", "null", "None", "<NA>", "#N/A", "#NA"]
+NA_TOKENS = ["", "NA", "N/A", "n/a", "nan", "NaN", "-nan", "-NaN", "NULL", "null", "None", "<NA>", "#N/A", "#NA", "#N/A N/A",
+             "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN"]
 
 # A missing code here means that the house has no such part.
 ABSENT_IS_NONE = """
@@ -117,6 +118,9 @@ PoolArea
 """.split()
 # ------------------------------------------------------------ end fixed values
 
+# Columns that go with a request: the text of a body that cannot be read, and the field names it holds.
+CORRUPT, GIVEN = "corrupt", "_given"
+
 
 def house_schema(with_target: bool = True) -> T.StructType:
     """The raw table: 24 integers, 4 doubles, 22 strings."""

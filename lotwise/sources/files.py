@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col, no_nan, strip
-from lotwise.schema import NA_TOKENS, REQUEST_ALIASES, house_schema, leaderboard_schema, request_schema
+from lotwise.schema import CORRUPT, GIVEN, NA_TOKENS, REQUEST_ALIASES, house_schema, leaderboard_schema, request_schema
 
 
 # -------------------------------------------------------------------- house rows
@@ -18,9 +18,13 @@ def read_house_csv(spark: SparkSession, path: str, schema: T.StructType | None =
     """A CSV file with a header. Missing-value tokens become NULL, unreadable numbers too.
 
     Columns are matched by name; those without a declared type stay text. Cells are read as text
-    because Spark knows one missing-value token per reader, then cast in the same projection.
+    because Spark knows one missing-value token per reader, then cast in the same projection. A quote
+    inside a quoted cell is written twice. The files of a folder must have one column order: a file with
+    another header ends the read instead of shifting its cells.
     """
-    raw = spark.read.option("header", True).csv(path)
+    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", False)
+    names = reader.csv(path).columns
+    raw = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names])).option("enforceSchema", False).csv(path)
     kinds = {f.name: f.dataType for f in (schema or house_schema())}
     out = []
     for name in raw.columns:
@@ -77,46 +81,80 @@ def resolve_source(
 
 # ---------------------------------------------------------------------- requests
 def open_request_schema() -> T.StructType:
-    """Request fields plus the alias spellings."""
-    extra = [T.StructField(a, request_schema()[n].dataType) for a, n in REQUEST_ALIASES.items()]
-    return T.StructType([*request_schema().fields, *extra])
+    """Request fields plus the alias spellings, all as text: cells are converted by the request rules, so
+    one that cannot be read is reported and neither ends the job nor looks like an absent one."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*request_schema().names, *REQUEST_ALIASES]])
 
 
 def records(spark: SparkSession, rows: Sequence[dict]) -> DataFrame:
     """A handful of dicts as request rows with their position (for clients, not for tables)."""
-    schema = T.StructType([T.StructField("row_index", T.IntegerType()), *open_request_schema().fields])
+    names = open_request_schema().names
+    kind = T.StructType(
+        [
+            T.StructField("row_index", T.IntegerType()),
+            *open_request_schema().fields,
+            T.StructField(GIVEN, T.ArrayType(T.StringType())),
+            T.StructField("explain", T.BooleanType()),
+        ]
+    )
     cells = []
     for i, row in enumerate(rows):
-        values = [i]
-        for f in schema.fields[1:]:
-            v = row.get(f.name)
-            if v is not None and isinstance(f.dataType, T.DoubleType):
-                v = float(v)
-            elif v is not None and isinstance(f.dataType, T.StringType):
-                v = str(v)
-            values.append(v)
-        cells.append(values)
-    return spark.createDataFrame(cells, schema)
+        values = [None if row.get(n) is None else str(row[n]) for n in names]
+        cells.append([i, *values, list(row), bool(row.get("explain", False))])
+    return spark.createDataFrame(cells, kind)
+
+
+_READ = {"columnNameOfCorruptRecord": CORRUPT}
+
+
+def _body(value: Column, name: str) -> Column:
+    """The JSON text of one field of a body, with ``explain``; a broken body has ``corrupt``."""
+    return F.from_json(value, f"{name} string, explain string, {CORRUPT} string", _READ)
+
+
+def _properties(df: DataFrame, kept: Sequence[str], text: Column, broken: Column, body: Column) -> DataFrame:
+    """The fields of a property given as JSON text; ``body`` is kept where it cannot be read."""
+    schema = T.StructType([*open_request_schema().fields, T.StructField(CORRUPT, T.StringType())])
+    read = df.withColumn("_p", F.from_json(text, schema, _READ))
+    names = F.json_object_keys(text)
+    unread = broken | text.isNull() | F.col("_p").isNull() | F.col(f"_p.{CORRUPT}").isNotNull() | names.isNull()
+    return read.select(
+        *[col(c) for c in kept],
+        *[F.col("_p")[n].alias(n) for n in open_request_schema().names],
+        names.alias(GIVEN),
+        F.when(unread, F.coalesce(body, F.lit(""))).alias(CORRUPT),
+    )
 
 
 def parse_requests(df: DataFrame, value: str = "value") -> DataFrame:
-    """JSON bodies ``{"property": {...}, "explain": ...}`` as flat rows."""
-    body = T.StructType([T.StructField("property", open_request_schema()), T.StructField("explain", T.BooleanType())])
-    parsed = df.withColumn("_body", F.from_json(col(value), body))
-    kept = [col(c) for c in df.columns if c != value]
-    return parsed.select(*kept, "_body.property.*", F.coalesce("_body.explain", F.lit(False)).alias("explain"))
+    """JSON bodies ``{"property": {...}, "explain": ...}`` as flat rows; none is lost."""
+    kept = [c for c in df.columns if c != value]
+    parsed = df.withColumn("_b", _body(col(value), "property")).withColumn("explain", _asked("_b.explain"))
+    broken = F.col(f"_b.{CORRUPT}").isNotNull()
+    return _properties(parsed, [*kept, "explain"], F.col("_b.property"), broken, col(value))
 
 
 def parse_batches(df: DataFrame, value: str = "value") -> DataFrame:
-    """JSON bodies ``{"properties": [...], "explain": ...}`` as rows with their position."""
-    body = T.StructType(
-        [T.StructField("properties", T.ArrayType(open_request_schema())), T.StructField("explain", T.BooleanType())]
+    """JSON bodies ``{"properties": [...], "explain": ...}`` as rows with their position.
+
+    Entries are read one by one, so a broken one spoils no other. A body without a list of properties is
+    one row without a position.
+    """
+    kept = [c for c in df.columns if c != value]
+    parsed = df.withColumn("_b", _body(col(value), "properties")).withColumn("explain", _asked("_b.explain"))
+    listed = F.when(F.startswith(F.trim(F.col("_b.properties")), F.lit("[")), F.from_json("_b.properties", "array<string>"))
+    rows = (
+        parsed.withColumn("_list", listed)
+        .select("*", F.posexplode_outer("_list").alias("row_index", "_entry"))
+        .where(F.col("_list").isNull() | F.col("row_index").isNotNull())
     )
-    parsed = df.withColumn("_body", F.from_json(col(value), body))
-    kept = [col(c) for c in df.columns if c != value]
-    explain = F.coalesce("_body.explain", F.lit(False)).alias("explain")
-    rows = parsed.select(*kept, explain, F.posexplode("_body.properties").alias("row_index", "_p"))
-    return rows.select(*kept, "explain", "row_index", "_p.*")
+    broken = F.col("_list").isNull()
+    body = F.when(broken, col(value)).otherwise(F.col("_entry"))
+    return _properties(rows, [*kept, "explain", "row_index"], F.col("_entry"), broken, body)
+
+
+def _asked(flag: str) -> Column:
+    return F.coalesce(F.lower(F.col(flag)) == "true", F.lit(False))
 
 
 # ----------------------------------------------------------- leaderboard and logs

@@ -10,18 +10,23 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.ml import Transformer
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lotwise.operators.scoring import score, split_valid, validated
+from lotwise.schema import CORRUPT
 from lotwise.sources.files import open_request_schema
 
 
 def read_request_stream(
     spark: SparkSession, path: str, key: str = "Id", key_type: T.DataType | None = None, files_per_trigger: int = 1000
 ) -> DataFrame:
-    schema = T.StructType([T.StructField(key, key_type or T.LongType()), *open_request_schema().fields])
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
+    """One JSON object per line. A line that cannot be read keeps its text and its file."""
+    fields = [T.StructField(key, key_type or T.LongType()), *open_request_schema().fields, T.StructField(CORRUPT, T.StringType())]
+    reader = spark.readStream.schema(T.StructType(fields)).option("maxFilesPerTrigger", files_per_trigger)
+    lines = reader.option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return lines.select("*", F.col("_metadata.file_name").alias("file"))
 
 
 def score_stream(

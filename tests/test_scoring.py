@@ -99,3 +99,44 @@ def test_source_order(spark, tmp_path, houses):
     assert files.resolve_source(spark, cache, [real], force=True).count() == 3
     with pytest.raises(RuntimeError):
         files.resolve_source(spark, str(tmp_path / "c2"), [str(tmp_path / "no")])
+
+
+def test_broken_cells_end_nothing(spark, winner, request_row):
+    rows = [{**request_row, "OverallQual": "abc"}, request_row, {**request_row, "LotArea": 3_000_000_000},
+            {**request_row, "OverallQual": 7.9}, {**request_row, "GrLivArea": float("nan")}, {**request_row, "BsmtQual": None}]
+    good, bad = scores(spark, winner, rows)
+    assert sorted(good) == [1, 5]
+    assert bad == {0: ["OverallQual: not a number"], 2: ["LotArea: out of range"], 3: ["OverallQual: not a whole number"],
+                   4: ["GrLivArea: not a number"]}
+
+
+def test_defaults_only_where_absent(spark, request_row):
+    given = {**request_row, "BsmtQual": None}
+    absent = {k: v for k, v in request_row.items() if k != "BsmtQual"}
+    rows = scoring.validated(files.records(spark, [given, absent])).orderBy("row_index").collect()
+    assert [r["BsmtQual"] for r in rows] == [None, "TA"]
+
+
+def test_broken_lines_keep_their_text(spark, winner, houses):
+    pipeline, best, rmse, _ = winner
+    arriving, out, bad, check = (work_path(spark, n) for n in ("in", "out", "bad", "check"))
+    rows = houses.drop("SalePrice").withColumn("HouseStyle", F.lit("1Story")).limit(20)
+    lines = [*rows.toJSON().collect(), "{ not json", "[1", json.dumps({"Id": "x", "OverallQual": 5})]
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(arriving)
+    score_stream(read_request_stream(spark, arriving), pipeline, best, rmse, out, bad, check, once=True).awaitTermination()
+    lost = spark.read.parquet(bad).where("corrupt IS NOT NULL").collect()
+    assert sorted(r["corrupt"] for r in lost) == sorted(lines[-3:])
+    assert all(r["errors"] == ["body: not readable"] and r["file"].endswith(".txt") for r in lost)
+    assert spark.read.parquet(out).count() + spark.read.parquet(bad).count() == 23
+
+
+def test_csv_quotes_tokens_and_column_order(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('Id,Fence,Alley\n1,"a ""b"", c",x\n2,#N/A N/A,-1.#IND\n')
+    rows = files.read_house_csv(spark, str(tmp_path / "q.csv")).orderBy("Id").collect()
+    assert [tuple(r) for r in rows] == [(1, 'a "b", c', "x"), (2, None, None)]
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("Id,Fence\n1,x\n")
+    (folder / "b.csv").write_text("Fence,Id\ny,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_house_csv(spark, str(folder)).collect()
