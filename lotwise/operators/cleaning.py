@@ -192,7 +192,12 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def cleaning_report(raw: DataFrame, model: "HouseCleanerModel") -> DataFrame:
     """What cleaning does to ``raw`` as rows ``stage, metric, column, value``."""
     filled = via_table(model.fill(raw), "filled")
-    cleaned = model.cap(filled)
+    bounds = model.bounds_for(filled) if model.getOrDefault(model.capOutliers) else {}
+    return _report(raw, model, filled, bounds)
+
+
+def _report(raw: DataFrame, model: "HouseCleanerModel", filled: DataFrame, bounds: dict) -> DataFrame:
+    cleaned = apply_bounds(filled, bounds)
     before = raw.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(len(raw.columns)).alias("columns"), "rows")
     after = cleaned.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(len(cleaned.columns)).alias("columns"), "rows")
 
@@ -225,7 +230,7 @@ def cleaning_report(raw: DataFrame, model: "HouseCleanerModel") -> DataFrame:
         )
         parts.append(named(removed, "clean", "duplicates_removed", "removed"))
     if model.getOrDefault(model.capOutliers):
-        parts.append(named(outlier_counts(filled, model.bounds_for(filled)), "clean", "outliers_capped", "outliers"))
+        parts.append(named(outlier_counts(filled, bounds), "clean", "outliers_capped", "outliers"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -307,4 +312,6 @@ class HouseCleanerModel(Model, _CleanerParams, DefaultParamsReadable, DefaultPar
 def clean_dataset(df: DataFrame, target: str = TARGET) -> tuple[DataFrame, DataFrame]:
     """Fit and transform in one call: the cleaned frame and its report."""
     model = HouseCleaner(targetCol=target).fit(df)
-    return model.transform(df), cleaning_report(df, model)
+    filled = via_table(model.fill(df), "filled")
+    bounds = model.bounds_for(filled)
+    return apply_bounds(filled, bounds), _report(df, model, filled, bounds)

@@ -2,19 +2,52 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
-from pyspark.ml import PipelineModel
+from pyspark import keyword_only
+from pyspark.ml import PipelineModel, Transformer
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.linalg import Vectors
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col
 from lotwise.schema import ID, TARGET, numeric_columns, other_columns
 
 FEATURES = "features"
+MAX_LABELS = 10_000
+
+
+def _check_labels(df: DataFrame, columns: Sequence[str], limit: int) -> None:
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns])
+    counted = df.select(F.inline(cells)).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("n"))
+    wide = [f"{r['column']} ({r['n']})" for r in counted.where(F.col("n") > limit).collect()]  # one row per column
+    if wide:
+        raise ValueError(f"More than {limit} values, which is no code column: {', '.join(sorted(wide))}")
+
+
+class AlignColumns(Transformer, DefaultParamsReadable, DefaultParamsWritable):
+    """Adds the columns of training that a table lacks: 0, as text in text columns."""
+
+    columns = Param(Params._dummy(), "columns", "names and types (JSON)", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, columns="{}"):
+        super().__init__()
+        self._setDefault(columns="{}")
+        self._set(**self._input_kwargs)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        kinds = json.loads(self.getOrDefault(self.columns))
+        missing = {c: F.lit(0).cast(kind) for c, kind in kinds.items() if c not in df.columns}
+        return df.withColumns(missing) if missing else df
+
+
+def align_stage(df: DataFrame, names: Sequence[str]) -> AlignColumns:
+    return AlignColumns(columns=json.dumps({n: df.schema[n].dataType.simpleString() for n in names}))
 
 
 def split_feature_types(df: DataFrame, skip: Sequence[str] = (ID, TARGET)) -> tuple[list[str], list[str]]:
@@ -47,10 +80,17 @@ def onehot_long(df: DataFrame, columns: Sequence[str], fitted_on: DataFrame, key
 
 
 def fit_encoder(
-    df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], scaling: str = "standard"
+    df: DataFrame,
+    numeric: Sequence[str],
+    categorical: Sequence[str],
+    scaling: str = "standard",
+    max_labels: int = MAX_LABELS,
 ) -> PipelineModel:
     """Numeric block, then one-hot block, into ``features``; all other columns stay as they are.
 
+    The label lists live on the driver, so a text column with more than ``max_labels`` values (a key, free
+    text) is an error, found before any list is built.
+
     Spark's scaler divides by the sample deviation; one constant factor turns that into the
     population deviation. Unseen or missing categories give an all-zero block.
     """
@@ -71,6 +111,7 @@ def fit_encoder(
         else:
             blocks.append("num_block")
     if categorical:
+        _check_labels(df, categorical, max_labels)
         indexer = StringIndexer(
             inputCols=list(categorical),
             outputCols=[f"{c}_ix" for c in categorical],
@@ -111,6 +152,3 @@ def encode(encoder: PipelineModel, df: DataFrame, keep: Sequence[str]) -> DataFr
     """``keep`` plus ``features`` only: helper columns do not travel on."""
     return encoder.transform(df).select(*[col(c) for c in keep], FEATURES)
 
-
-def as_double_table(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return df.select(*[col(c).cast(T.DoubleType()).alias(c) for c in columns])

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalar import col, hash_number
 from lotwise.operators.encoding import FEATURES
 from lotwise.operators.profile import sample_rows
 from lotwise.schema import ID
-from lotwise.session import cut_lineage
+from lotwise.session import cut_lineage, via_table
 
 BACKGROUND_ROWS = 100
 EXPLAINED_ROWS = 300
+ROW = "_explained_row"
 
 
 def background(rows: DataFrame, n: int = BACKGROUND_ROWS, key: str = ID) -> DataFrame:
@@ -25,10 +27,8 @@ def background(rows: DataFrame, n: int = BACKGROUND_ROWS, key: str = ID) -> Data
     return sample_rows(rows, n, key)
 
 
-def linear_contributions(
-    rows: DataFrame, weights: dict[str, float], means: dict[str, float], key: str = ID
-) -> DataFrame:
-    """``key, feature, x, contribution`` with ``w * (x - mean)``; the weights are one row per feature."""
+def linear_cells(rows: DataFrame, weights: dict[str, float], means: dict[str, float], key: str = ID) -> DataFrame:
+    """``key, cells``: ``feature, x, contribution`` with ``w * (x - mean)``, all in the row."""
     cells = F.array(
         *[
             F.struct(
@@ -39,7 +39,18 @@ def linear_contributions(
             for f, w in weights.items()
         ]
     )
-    return rows.select(col(key), F.inline(cells))
+    return rows.select(col(key), cells.alias("cells"))
+
+
+def linear_contributions(
+    rows: DataFrame, weights: dict[str, float], means: dict[str, float], key: str = ID
+) -> DataFrame:
+    """The same as one row per feature: ``key, feature, x, contribution``."""
+    return long_form(linear_cells(rows, weights, means, key), key)
+
+
+def long_form(cells: DataFrame, key: str = ID) -> DataFrame:
+    return cells.select(col(key), F.inline("cells"))
 
 
 def background_means(sample: DataFrame, features: Sequence[str]) -> dict[str, float]:
@@ -47,21 +58,23 @@ def background_means(sample: DataFrame, features: Sequence[str]) -> dict[str, fl
     return {f: row[f"m{i}"] for i, f in enumerate(features)}
 
 
-def vector_contributions(rows: DataFrame, model, sample: DataFrame, names: Sequence[str], key: str = ID) -> DataFrame:
-    """The same for a fitted linear model on ``features``: ``key, feature, x, contribution``."""
+def vector_cells(model, sample: DataFrame, names: Sequence[str]) -> Column:
+    """The cells of a fitted linear model on ``features``, as an expression over the row."""
     mean = sample.select(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"].toArray()
     w = F.array(*[F.lit(float(v)) for v in model.coefficients.toArray()])
     m = F.array(*[F.lit(float(v)) for v in mean])
     n = F.array(*[F.lit(str(v)) for v in names])
-    cells = F.posexplode(vector_to_array(FEATURES))
-    return (
-        rows.select(col(key), cells.alias("at", "x"))
-        .select(
-            col(key), n[F.col("at")].alias("feature"), "x", (w[F.col("at")] * (F.col("x") - m[F.col("at")])).alias("contribution")
-        )
+    return F.transform(
+        vector_to_array(FEATURES),
+        lambda x, i: F.struct(n[i].alias("feature"), x.alias("x"), (w[i] * (x - m[i])).alias("contribution")),
     )
 
 
+def vector_contributions(rows: DataFrame, model, sample: DataFrame, names: Sequence[str], key: str = ID) -> DataFrame:
+    """``key, feature, x, contribution`` of a fitted linear model."""
+    return long_form(rows.select(col(key), vector_cells(model, sample, names).alias("cells")), key)
+
+
 def linear_base_value(model, sample: DataFrame) -> float:
     return model.transform(sample).agg(F.avg("prediction")).first()[0]
 
@@ -74,16 +87,17 @@ def sampled_contributions(
     permutations: int = 20,
     key: str = ID,
     seed: int = 42,
+    background_rows: int = BACKGROUND_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
-    """Shapley values of any model by sampled permutations.
+    """Shapley values of any model by sampled permutations; ``key`` must name a row.
 
-    Each (row, permutation) takes one background row (at most ``BACKGROUND_ROWS``, so the lookup is
-    a bounded broadcast), walks from it to the row one feature at a time, and credits each change of
-    the prediction to the feature that moved. Returns ``key, feature, contribution`` and
-    ``key, base_value``; contributions plus base give the prediction exactly.
+    Each (row, permutation) takes one of ``background_rows`` background rows, walks from it to the row one
+    feature at a time, and credits each change of the prediction to the feature that moved. Returns
+    ``key, feature, contribution`` and ``key, base_value``; contributions plus base give the prediction
+    exactly. A walk knows for each feature the step at which it moves, so a step costs one pass over them.
     """
     p = len(names)
-    ranked = sample_rows(sample, BACKGROUND_ROWS, key).select(vector_to_array(FEATURES).alias("z"))
+    ranked = sample_rows(sample, background_rows, key).select(vector_to_array(FEATURES).alias("z"))
     reference = cut_lineage(ranked.select(F.expr("row_number() over (order by z) - 1").alias("slot"), "z"))
     size = reference.count()
     walks = rows.select(col(key), vector_to_array(FEATURES).alias("x")).select(
@@ -91,33 +105,75 @@ def sampled_contributions(
     )
     walks = walks.withColumn(
         "slot", F.pmod(hash_number(F.concat_ws("/", col(key), F.col("walk")), seed), F.lit(size)).cast("int")
-    ).join(F.broadcast(reference), "slot")
-    # The order of the features: a sort of their hashes.
+    ).join(F.broadcast(reference), "slot")  # background_rows rows
+    # The order of the features is a sort of their hashes; ``moves`` is its inverse, the step of each.
     tickets = F.transform(
         F.sequence(F.lit(0), F.lit(p - 1)),
         lambda i: F.struct(F.xxhash64(i, col(key), F.col("walk"), F.lit(seed)).alias("h"), i.alias("i")),
     )
     order = F.transform(F.array_sort(tickets), lambda t: t["i"])
-    walks = walks.withColumn("order", order)
+    moves = F.transform(
+        F.array_sort(F.transform("order", lambda i, at: F.struct(i.alias("i"), at.alias("at")))), lambda t: t["at"]
+    )
+    walks = walks.withColumn("order", order).withColumn("moves", moves)
     steps = walks.select("*", F.explode(F.sequence(F.lit(0), F.lit(p))).alias("step"))
-    moved = F.slice("order", F.lit(1), F.col("step"))
-    mixed = F.transform("x", lambda v, i: F.when(F.array_contains(moved, i), v).otherwise(F.col("z")[i]))
-    probes = steps.select(col(key), "walk", "order", "step", array_to_vector(mixed).alias(FEATURES))
-    priced = model.transform(probes).select(col(key), "order", "step", "prediction")
-    # The prediction at step s counts for the feature that moved at s and against the next one.
-    gain = F.struct(F.try_element_at("order", F.col("step")).alias("at"), F.col("prediction").alias("v"))
-    loss = F.struct(F.try_element_at("order", F.col("step") + 1).alias("at"), (-F.col("prediction")).alias("v"))
-    credit = F.when(F.col("step") == 0, F.array(loss)).when(F.col("step") == p, F.array(gain)).otherwise(F.array(gain, loss))
-    labels = F.array(*[F.lit(str(v)) for v in names])
-    priced = cut_lineage(priced.select(col(key), "step", "prediction", credit.alias("credit")))
-    phi = (
-        priced.select(col(key), F.inline("credit"))
-        .groupBy(col(key), "at")
-        .agg((F.sum("v") / permutations).alias("contribution"))
-        .select(col(key), labels[F.col("at")].alias("feature"), "contribution")
+    mixed = F.transform("x", lambda v, i: F.when(F.col("moves")[i] < F.col("step"), v).otherwise(F.col("z")[i]))
+    # The prediction at a step counts for the feature that moved there and against the next one.
+    probes = steps.select(
+        col(key),
+        "step",
+        F.when(F.col("step") > 0, F.try_element_at("order", F.col("step"))).alias("moved"),
+        F.try_element_at("order", F.col("step") + 1).alias("next"),
+        array_to_vector(mixed).alias(FEATURES),
     )
-    base = priced.where(F.col("step") == 0).groupBy(col(key)).agg(F.avg("prediction").alias("base_value"))
-    return phi, base
+    priced = model.transform(probes)
+    gain = F.struct(F.col("moved").alias("at"), F.col("prediction").alias("v"))
+    loss = F.struct(F.col("next").alias("at"), (-F.col("prediction")).alias("v"))
+    start = F.struct(F.lit(-1).alias("at"), F.col("prediction").alias("v"))
+    credit = F.when(F.col("step") == 0, F.array(start, loss)).when(F.col("step") == p, F.array(gain)).otherwise(F.array(gain, loss))
+    totals = cut_lineage(
+        priced.select(col(key), F.inline(credit)).groupBy(col(key), "at").agg((F.sum("v") / permutations).alias("v"))
+    )
+    labels = F.array(*[F.lit(str(v)) for v in names])
+    phi = totals.where(F.col("at") >= 0).select(col(key), labels[F.col("at")].alias("feature"), F.col("v").alias("contribution"))
+    return phi, totals.where(F.col("at") == -1).select(col(key), F.col("v").alias("base_value"))
+
+
+@dataclass
+class Explainer:
+    """What explains the prices of a winner: its model stages, background rows and slot names."""
+
+    model: Transformer
+    sample: DataFrame
+    names: Sequence[str]
+    permutations: int = 20
+
+    @property
+    def linear(self) -> bool:
+        return getattr(self.model, "coefficients", None) is not None
+
+    def explain(self, priced: DataFrame, wanted: Column) -> DataFrame:
+        """``priced`` (it has ``features``) with ``explanation``: ``base_value`` and the contributions to the
+        prediction, largest first; missing where not wanted."""
+        asked = F.coalesce(wanted, F.lit(False))
+        if self.linear:
+            base = F.lit(linear_base_value(self.model, self.sample))
+            cells = F.transform(
+                vector_cells(self.model, self.sample, self.names),
+                lambda c: F.struct(c["feature"].alias("feature"), c["contribution"].alias("value")),
+            )
+            entry = F.struct(base.alias("base_value"), F.array_sort(cells, _largest_first).alias("contributions"))
+            return priced.withColumn("explanation", F.when(asked, entry))
+        # Rows may share a key: each gets a number of its own, stored so that it stays.
+        rows = via_table(priced.withColumn(ROW, F.monotonically_increasing_id()).withColumn("_asked", asked), "priced")
+        phi, base = sampled_contributions(
+            rows.where("_asked"), self.model, self.sample.withColumn(ROW, F.hash(vector_to_array(FEATURES))), self.names,
+            self.permutations, ROW,
+        )
+        pair = F.struct("feature", F.col("contribution").alias("value"))
+        listed = phi.groupBy(ROW).agg(F.array_sort(F.collect_list(pair), _largest_first).alias("contributions"))
+        found = listed.join(base, ROW).select(ROW, F.struct("base_value", "contributions").alias("explanation"))
+        return rows.join(found, ROW, "left").drop(ROW, "_asked")
 
 
 # ----------------------------------------------------------------- chart tables
@@ -132,13 +188,13 @@ def _largest_first(a: Column, b: Column) -> Column:
     )
 
 
-def explanations(contributions: DataFrame, base: Column, key: str = ID, top: int | None = None) -> DataFrame:
-    """``key, base_value, contributions``: an array, largest first. One entry per model feature."""
-    pair = F.struct(F.col("feature"), F.col("contribution").alias("value"))
-    listed = F.array_sort(F.collect_list(pair), _largest_first)
+def explanations(cells: DataFrame, base: Column, key: str = ID, top: int | None = None) -> DataFrame:
+    """``key, base_value, contributions``: an array, largest first. Everything stays in its row."""
+    pairs = F.transform("cells", lambda c: F.struct(c["feature"].alias("feature"), c["contribution"].alias("value")))
+    listed = F.array_sort(pairs, _largest_first)
     if top is not None:
         listed = F.slice(listed, 1, top)
-    return contributions.groupBy(col(key)).agg(F.first(base).alias("base_value"), listed.alias("contributions"))
+    return cells.select(col(key), base.alias("base_value"), listed.alias("contributions"))
 
 
 def global_summary(contributions: DataFrame) -> DataFrame:
@@ -160,26 +216,37 @@ def widest_feature(contributions: DataFrame) -> str:
     return spread.orderBy(F.desc_nulls_last("v"), "feature").first()["feature"]
 
 
-def waterfall(contributions: DataFrame, base: float, key: str = ID) -> DataFrame:
-    """Ordered contributions with a running total per row (groups of one row's features)."""
-    order = Window.partitionBy(col(key)).orderBy(F.desc(F.abs("contribution")), "feature")
-    running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return contributions.select(
-        col(key),
-        F.row_number().over(order).alias("position"),
-        "feature",
-        "contribution",
-        (F.lit(float(base)) + F.sum("contribution").over(running)).alias("running_total"),
-    )
+def _running(ordered: Column, base: float) -> Column:
+    """Entries ``feature, value`` with their position and the total up to them."""
+    empty = F.array().cast("array<struct<position:int,feature:string,contribution:double,running_total:double>>")
+
+    def step(state: Column, e: Column) -> Column:
+        total = state["total"] + e["value"]
+        entry = F.struct(
+            (F.size(state["out"]) + 1).alias("position"),
+            e["feature"].alias("feature"),
+            e["value"].alias("contribution"),
+            total.alias("running_total"),
+        )
+        return F.struct(total.alias("total"), F.concat(state["out"], F.array(entry)).alias("out"))
+
+    start = F.struct(F.lit(float(base)).alias("total"), empty.alias("out"))
+    return F.aggregate(ordered, start, step, lambda s: s["out"])
+
+
+def waterfall(cells: DataFrame, base: float, key: str = ID) -> DataFrame:
+    """Contributions, largest first, with a running total: one row per feature, no shuffle."""
+    listed = explanations(cells, F.lit(float(base)), key)
+    return listed.select(col(key), F.inline(_running(F.col("contributions"), base)))
 
 
-def decision_paths(contributions: DataFrame, base: float, key: str = ID) -> DataFrame:
+def decision_paths(cells: DataFrame, base: float, key: str = ID) -> DataFrame:
     """Running totals from the base, features in the order of their global importance (least first)."""
-    ranks = global_summary(contributions)
-    ordered = ranks.select(
-        "feature", F.row_number().over(Window.orderBy("importance", F.desc("feature"))).alias("position")
-    )  # one row per feature
-    running = Window.partitionBy(col(key)).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    return contributions.join(F.broadcast(ordered), "feature").select(
-        col(key), "position", "feature", (F.lit(float(base)) + F.sum("contribution").over(running)).alias("running_total")
+    ranks = global_summary(long_form(cells, key)).orderBy("importance", F.desc("feature"))
+    place = F.create_map(*[F.lit(v) for i, r in enumerate(ranks.collect()) for v in (r["feature"], i)])  # one row per feature
+    placed = F.transform(
+        "cells",
+        lambda c: F.struct(place[c["feature"]].alias("at"), c["feature"].alias("feature"), c["contribution"].alias("value")),
     )
+    paths = cells.select(col(key), F.inline(_running(F.array_sort(placed), base)))
+    return paths.drop("contribution")

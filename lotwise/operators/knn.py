@@ -1,8 +1,8 @@
 """Exact nearest neighbours as a pruned block join.
 
-Reference rows are spread over *cells* (nearest of at most ``MAX_PIVOTS`` pivot rows) and each cell
-over hash *blocks* of about ``BLOCK`` rows, so a hot cell becomes many equal blocks and no record
-outgrows one block. Query rows get the same treatment. Cell radii and the triangle inequality say
+Reference rows are spread over *cells* (nearest of some pivot rows, as many as the cube root of the
+rows) and each cell over hash *blocks* of about ``BLOCK`` rows, so a hot cell becomes many equal blocks
+and no record outgrows one block. Query rows get the same treatment. Cell radii and the triangle inequality say
 which cells can hold one of the k nearest of a query cell; only those cells meet, in an equi-join
 on the cell. A block pair is one matrix product in numpy and yields at most k candidates per query
 row, never all pairs; the final top-k keeps k rows per query before the shuffle.
@@ -21,17 +21,18 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col, hash_number
 from lotwise.operators.persist import WithTable
 from lotwise.schema import ID
 from lotwise.session import via_table
 
-MAX_PIVOTS = 64
+LEAST_PIVOTS = 16
 BLOCK = 512
-SPREAD = 256
+BLOCKS_PER_TASK = 16
 
 
 def nearest_neighbors(
@@ -39,12 +40,15 @@ def nearest_neighbors(
 ) -> DataFrame:
     """``query_key, neighbor_key, distance, rank`` (and the neighbours' ``payload`` columns).
 
-    Ties are broken by the neighbour's key. ``vector`` may be an ML vector or an array.
+    Ties are broken by the neighbour's key. ``vector`` may be an ML vector or an array. Keys are whole
+    numbers; without query rows the result is empty.
     """
+    spark = queries.sparkSession
     q = _as_arrays(queries, key, vector, ())
-    r = _as_arrays(references, key, vector, payload)
-    # The pivots: at most MAX_PIVOTS rows, so they travel with the tasks.
-    pivot_rows = r.orderBy(hash_number(F.col("key"), 7), "key").limit(MAX_PIVOTS).select("x").collect()
+    r = via_table(_as_arrays(references, key, vector, payload), "knn_refs")
+    # The pivots travel with the tasks; their pairs, two thirds of a power of the rows, with the driver.
+    count = max(LEAST_PIVOTS, round(r.count() ** (1 / 3)))
+    pivot_rows = r.orderBy(hash_number(F.col("key"), 7), "key").limit(count).select("x").collect()
     pivots = np.array([p["x"] for p in pivot_rows], dtype=float)
     if not len(pivots):
         raise ValueError("no reference rows")
@@ -54,15 +58,18 @@ def nearest_neighbors(
     # One row per cell on either side.
     q_cells = {c["cell"]: c for c in q.groupBy("cell").agg(F.max("d").alias("radius"), F.count("d").alias("n")).collect()}
     r_cells = {c["cell"]: c for c in r.groupBy("cell").agg(F.max("d").alias("radius"), F.count("d").alias("n")).collect()}
+    columns = ["query_key long, neighbor_key long, distance double", *[f"`{c}` double" for c in payload]]
+    if not q_cells:
+        return spark.createDataFrame([], ", ".join(columns)).withColumn("rank", F.lit(1)).select(
+            "query_key", "neighbor_key", "distance", "rank", *[col(c) for c in payload]
+        )
+    # A reference cell of many blocks is met under as many salts as it has tasks' worth of blocks.
+    salts = {b: math.ceil(_block_count(c["n"]) / BLOCKS_PER_TASK) for b, c in r_cells.items()}
     meet = _cell_pairs(pivots, q_cells, r_cells, k)
-    spark = queries.sparkSession
-    if not meet:
-        raise ValueError("no query rows")
-    # At most MAX_PIVOTS ** 2 rows. A reference cell of many blocks is met under many salts.
     pairs = spark.createDataFrame(
-        [(a, b, bound, min(SPREAD, _block_count(r_cells[b]["n"]))) for a, b, bound in meet],
-        "cell int, ref_cell int, bound double, salts int",
+        [(a, b, bound, salts[b]) for a, b, bound in meet], "cell int, ref_cell int, bound double, salts int"
     )
+    salts_of = F.create_map(*[F.lit(int(v)) for pair in salts.items() for v in pair])
     # The search is heavy for its bytes, so the number of tasks is stated, not left to their size.
     tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     q_blocks = (
@@ -74,7 +81,7 @@ def nearest_neighbors(
     )
     r_blocks = _blocks(r, r_cells, payload).select(
         F.col("cell").alias("ref_cell"),
-        F.pmod("block", F.lit(SPREAD)).cast("int").alias("salt"),
+        F.pmod("block", F.try_element_at(salts_of, F.col("cell"))).cast("int").alias("salt"),
         *[col(c).alias(f"r_{c}") for c in ("key", "x", *payload)],
     )
     r_blocks = r_blocks.repartition(tasks, "ref_cell", "salt")
@@ -83,7 +90,7 @@ def nearest_neighbors(
         .drop("ref_cell", "salt")
         .mapInPandas(
             _block_search(k, list(payload)),
-            ", ".join(["query_key long, neighbor_key long, distance double", *[f"`{c}` double" for c in payload]]),
+            ", ".join(columns),
         )
     )
     order = Window.partitionBy("query_key").orderBy("distance", "neighbor_key")
@@ -196,6 +203,18 @@ def weighted_mean(neighbors: DataFrame, label: str, weights: str = "distance") -
     return neighbors.groupBy("query_key").agg(F.coalesce(near, far).alias("prediction"))
 
 
+ROW = "_knn_row"
+
+
+def _tie_key(df: DataFrame, key: str, vector: str) -> Column:
+    """The order of equally near rows: their key if it is a number, else a hash of key or features."""
+    by_features = F.xxhash64(vector_to_array(vector))
+    if key not in df.columns:
+        return by_features.alias(ROW)
+    own = col(key).cast("long") if isinstance(df.schema[key].dataType, T.NumericType) else F.xxhash64(col(key))
+    return F.when(col(key).isNotNull(), own).otherwise(by_features).alias(ROW)
+
+
 class _KnnParams(HasFeaturesCol, HasLabelCol, HasPredictionCol):
     k = Param(Params._dummy(), "k", "neighbours", TypeConverters.toInt)
     weights = Param(Params._dummy(), "weights", "distance or uniform", TypeConverters.toString)
@@ -213,13 +232,17 @@ class KnnRegressor(Estimator, _KnnParams):
         self._set(**self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> "KnnRegressionModel":
-        columns = [self.getOrDefault(self.keyCol), self.getFeaturesCol(), self.getLabelCol()]
-        model = KnnRegressionModel(via_table(df.select(*[col(c) for c in columns]), "knn_train"))
-        return self._copyValues(model)
+        rows = df.select(
+            _tie_key(df, self.getOrDefault(self.keyCol), self.getFeaturesCol()), col(self.getFeaturesCol()), col(self.getLabelCol())
+        )
+        return self._copyValues(KnnRegressionModel(via_table(rows, "knn_train")))
 
 
 class KnnRegressionModel(Model, _KnnParams, WithTable):
-    """Keeps the training rows as a table in the shared folder."""
+    """Keeps the training rows as a table in the shared folder.
+
+    Rows to predict may have any keys or none: each gets a number of its own for the search.
+    """
 
     def __init__(self, rows: DataFrame | None = None):
         super().__init__()
@@ -229,8 +252,10 @@ class KnnRegressionModel(Model, _KnnParams, WithTable):
         return self._copyValues(KnnRegressionModel(self.table), extra)
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        key, label = self.getOrDefault(self.keyCol), self.getLabelCol()
-        near = nearest_neighbors(df, self.table, self.getOrDefault(self.k), key, self.getFeaturesCol(), [label])
+        label = self.getLabelCol()
+        # Stored, so that the numbers are the same on both sides of the join.
+        rows = via_table(df.withColumn(ROW, F.monotonically_increasing_id()), "knn_rows")
+        near = nearest_neighbors(rows, self.table, self.getOrDefault(self.k), ROW, self.getFeaturesCol(), [label])
         predicted = weighted_mean(near, label, self.getOrDefault(self.weights))
-        predicted = predicted.select(F.col("query_key").alias("_key"), F.col("prediction").alias(self.getPredictionCol()))
-        return df.join(predicted, col(key) == F.col("_key")).drop("_key")
+        predicted = predicted.select(F.col("query_key").alias(ROW), F.col("prediction").alias(self.getPredictionCol()))
+        return rows.join(predicted, ROW, "left").drop(ROW)

@@ -22,6 +22,8 @@ BOARD_TITLES = {
 
 
 def metric_columns(y: Column, p: Column, n_features: int) -> list[Column]:
+    # All measures are over the rows that have both values.
+    y = F.when(p.isNotNull(), y)
     error = y - p
     mse = F.avg(error * error)
     n = F.count(F.when(error.isNotNull(), 1))

@@ -230,8 +230,18 @@ ENSEMBLE_PREFERENCE = ["xgboost", "lightgbm", "catboost", "random_forest", "extr
 # ------------------------------------------------------------ end fixed values
 
 
+DEEPEST = 30  # the deepest tree that Spark grows
+
+
+def _depth(s: dict) -> int:
+    depth = s["max_depth"]
+    if depth is None or not 0 <= depth <= DEEPEST:
+        raise ValueError(f"max_depth is {depth}; trees have a depth of 0 to {DEEPEST}, none is unlimited")
+    return depth
+
+
 def _linear(s: dict, seed: int) -> Estimator:
-    return LinearRegression(regParam=0.0, solver="normal")
+    return PenalizedLinear(alpha=0.0)
 
 
 def _ridge(s: dict, seed: int) -> Estimator:
@@ -243,13 +253,13 @@ def _elastic(s: dict, seed: int) -> Estimator:
 
 
 def _tree(s: dict, seed: int) -> Estimator:
-    return DecisionTreeRegressor(maxDepth=s["max_depth"], seed=seed)
+    return DecisionTreeRegressor(maxDepth=_depth(s), seed=seed)
 
 
 def _forest(s: dict, seed: int) -> Estimator:
     return RandomForestRegressor(
         numTrees=s["n_estimators"],
-        maxDepth=s["max_depth"] or 30,
+        maxDepth=_depth(s),
         minInstancesPerNode=s.get("min_samples_leaf", 1),
         featureSubsetStrategy="all",
         seed=seed,
@@ -260,7 +270,7 @@ def _extra(s: dict, seed: int) -> Estimator:
     # Random thresholds are approximated by few bins and a random third of the columns per split.
     return RandomForestRegressor(
         numTrees=s["n_estimators"],
-        maxDepth=s["max_depth"] or 30,
+        maxDepth=_depth(s),
         bootstrap=False,
         featureSubsetStrategy="onethird",
         maxBins=16,
@@ -271,7 +281,7 @@ def _extra(s: dict, seed: int) -> Estimator:
 def _boost(s: dict, seed: int) -> Estimator:
     return GBTRegressor(
         maxIter=s["n_estimators"],
-        maxDepth=s["max_depth"],
+        maxDepth=_depth(s),
         stepSize=s["learning_rate"],
         subsamplingRate=s.get("subsample", 1.0),
         featureSubsetStrategy=str(s.get("colsample", "all")),

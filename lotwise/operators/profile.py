@@ -91,6 +91,8 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
                 F.lit(step).alias("step"),
             )
         )
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, bin int, low double, high double, count bigint")
     return (
         df.select(F.inline(F.array(*cells)))
         .where(F.col("bin").isNotNull())
@@ -109,6 +111,8 @@ def histograms(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
 def group_shapes(df: DataFrame, group: str, value: str, bins: int) -> DataFrame:
     """Equal-width counts of ``value`` per group over the common range (violin data)."""
     ends = df.agg(F.min(col(value)).cast("double").alias("a"), F.max(col(value)).cast("double").alias("b")).first()
+    if ends["a"] is None:
+        return df.where("false").select(col(group).alias("category"), F.lit(0).alias("bin"), F.lit(0).cast("long").alias("count"))
     step = (ends["b"] - ends["a"]) / bins or 1.0
     at = F.least(F.floor((col(value) - F.lit(ends["a"])) / F.lit(step)), F.lit(bins - 1)).cast("int")
     return (
@@ -144,6 +148,10 @@ def box_stats(df: DataFrame, columns: Sequence[str], k: float = 1.5) -> DataFram
                 F.col(f"out{i}").alias("outliers"),
             )
         )
+    if not cells:
+        names = ("q1", "median", "q3", "whisker_low", "whisker_high")
+        kind = f"column string, {', '.join(f'{n} double' for n in names)}, outliers bigint"
+        return df.sparkSession.createDataFrame([], kind)
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 
@@ -238,6 +246,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.col(f"b{i}").alias("max"),
             )
         )
+    if not cells:
+        names = ("q1", "median", "q3", "whisker_low", "whisker_high")
+        kind = f"column string, {', '.join(f'{n} double' for n in names)}, outliers bigint"
+        return df.sparkSession.createDataFrame([], kind)
     return df.agg(*aggs).select(F.inline(F.array(*cells)))
 
 

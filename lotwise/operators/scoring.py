@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col, no_nan
+from lotwise.operators.explain import Explainer
 from lotwise.operators.splits import from_log
 from lotwise.schema import (
     CORRUPT,
@@ -148,27 +149,35 @@ def with_interval(df: DataFrame, price: str, rmse: Column | float) -> DataFrame:
     )
 
 
-def score(requests: DataFrame, pipeline: Transformer, model_name: str, rmse: float, key: str) -> DataFrame:
+def score(
+    requests: DataFrame, pipeline: Transformer, model_name: str, rmse: float, key: str, explainer: Explainer | None = None
+) -> DataFrame:
     """``key, predicted_price, confidence_interval_low, confidence_interval_high, model_name``.
 
-    ``pipeline`` is everything fitted: cleaner (scoring mode), derived columns, encoder, model.
+    ``pipeline`` is everything fitted: cleaner (scoring mode), derived columns, encoder, model. With an
+    ``explainer`` also ``explanation``, for the requests whose ``explain`` is true.
     """
     priced = pipeline.transform(requests).withColumn("_price", from_log(F.col("prediction")))
+    more = []
+    if explainer is not None:
+        wanted = F.col("explain") if "explain" in requests.columns else F.lit(False)
+        priced, more = explainer.explain(priced, wanted), ["explanation"]
     return with_interval(priced, "_price", rmse).select(
         col(key),
         "predicted_price",
         "confidence_interval_low",
         "confidence_interval_high",
         F.lit(model_name).alias("model_name"),
+        *more,
     )
 
 
 def score_requests(
-    requests: DataFrame, pipeline: Transformer, model_name: str, rmse: float, key: str
+    requests: DataFrame, pipeline: Transformer, model_name: str, rmse: float, key: str, explainer: Explainer | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Check, then score: prices of the valid requests and the quarantine of the others."""
     good, bad = split_valid(via_table(validated(requests), "checked"), key)
-    return score(good, pipeline, model_name, rmse, key), bad
+    return score(good, pipeline, model_name, rmse, key, explainer), bad
 
 
 def best_rmse(board: DataFrame, name: str) -> float:

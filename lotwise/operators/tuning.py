@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalar import col, hash_bucket
-from lotwise.operators.models import build_model
+from lotwise.operators.models import DEEPEST, build_model
 from lotwise.operators.splits import FOLD_SEED, LOG_TARGET
 from lotwise.schema import ID
 
@@ -119,21 +119,38 @@ def mean_std(values: Sequence[float]) -> tuple[float, float]:
     return mean, math.sqrt(sum((v - mean) ** 2 for v in values) / len(values))
 
 
+# Settings without a counterpart here: they would repeat the same fit under another name.
+VOID = {"random_forest": ["min_samples_split"], "extra_trees": ["min_samples_split"], "svr": ["epsilon"]}
+
+
+def effective(name: str, point: dict) -> dict:
+    """What a point means here: no void settings, and an unlimited depth is the deepest there is."""
+    known = {k: v for k, v in point.items() if k not in VOID.get(name, ())}
+    if "max_depth" in known and known["max_depth"] is None:
+        known["max_depth"] = DEEPEST
+    return known
+
+
 def grid_points(grid: dict[str, list]) -> list[dict]:
     return [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
 
 
+def distinct_points(name: str, points: Sequence[dict]) -> list[dict]:
+    """The effective points in order, each once."""
+    seen = {tuple(p.items()): p for p in (effective(name, p) for p in points)}
+    return list(seen.values())
+
+
 def _search(name: str, points: list[dict], rows: DataFrame, folds: int, seed: int) -> DataFrame:
     out = []
     for i, point in enumerate(points):
-        known = {k: v for k, v in point.items() if k != "min_samples_split"}  # Spark's trees have no such rule
-        scores = fold_scores(lambda: build_model(name, seed, **known), rows, folds)
+        scores = fold_scores(lambda: build_model(name, seed, **point), rows, folds)
         mean, std = mean_std([s[2] for s in scores])
-        out.append((i, {k: str(v) for k, v in point.items()}, mean, std))
+        out.append((i, {k: str(v) for k, v in point.items()}, VOID.get(name, []), mean, std))
     trials = rows.sparkSession.createDataFrame(
-        out, "trial int, params map<string,string>, cv_rmse_mean double, cv_rmse_std double"
+        out, "trial int, params map<string,string>, void array<string>, cv_rmse_mean double, cv_rmse_std double"
     )
-    best = min(out, key=lambda t: (t[2], t[0]))[0]
+    best = min(out, key=lambda t: (t[3], t[0]))[0]
     return trials.withColumn("is_best", F.col("trial") == best)
 
 
@@ -145,12 +162,15 @@ def random_search(
     seed: int = 42,
     grid: dict[str, list] | None = None,
 ) -> DataFrame:
-    """``trial, params, cv_rmse_mean, cv_rmse_std, is_best`` of a seeded draw from the grid."""
+    """``trial, params, void, cv_rmse_mean, cv_rmse_std, is_best`` of a seeded draw from the grid.
+
+    Points that mean the same fit are one point; ``void`` names the settings that change nothing.
+    """
     if grid is None:
         if name not in GRIDS:
             raise ValueError(f"No grid is defined for '{name}'.")
         grid = GRIDS[name]
-    points = grid_points(grid)
+    points = distinct_points(name, grid_points(grid))
     drawn = random.Random(seed).sample(points, min(n_iter, len(points)))
     return _search(name, drawn, rows, folds, seed)
 
@@ -169,11 +189,20 @@ def draw(ranges: dict[str, tuple], rng: random.Random) -> dict:
 
 
 def range_search(
-    name: str, ranges: dict[str, tuple], rows: DataFrame, n_trials: int = 50, folds: int = 3, seed: int = 42
+    name: str,
+    rows: DataFrame,
+    ranges: dict[str, tuple] | None = None,
+    n_trials: int = 50,
+    folds: int = 3,
+    seed: int = 42,
 ) -> DataFrame:
-    """Like :func:`random_search`, over ranges instead of lists."""
+    """Like :func:`random_search`, over ranges instead of lists (by default those of the boosting models)."""
+    return _search(name, distinct_points(name, drawn_points(ranges or BOOSTING_RANGES, n_trials, seed)), rows, folds, seed)
+
+
+def drawn_points(ranges: dict[str, tuple], n_trials: int, seed: int) -> list[dict]:
     rng = random.Random(seed)
-    return _search(name, [draw(ranges, rng) for _ in range(n_trials)], rows, folds, seed)
+    return [draw(ranges, rng) for _ in range(n_trials)]
 
 
 def learning_curve(

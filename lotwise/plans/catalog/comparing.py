@@ -13,7 +13,7 @@ from lotwise.operators import knn, metrics, models, profile, tuning
 from lotwise.operators.encoding import build_full_preprocessor, encode
 from lotwise.operators.splits import FOLD_SEED, LOG_TARGET, SPLIT_SEED, from_log, to_log_target, train_test_split
 from lotwise.plans.catalog.deriving import cleaned
-from lotwise.plans.catalog.registry import bucket, query, r, with_listing
+from lotwise.plans.catalog.registry import SQL, bucket, query, r, with_listing
 from lotwise.plans.training import prepare, run_training, train_and_evaluate
 from lotwise.session import via_table, work_path
 from lotwise.sources.listing import listing, stored_listing, table
@@ -170,10 +170,48 @@ def random_search(spark, sf):
     )
 
 
-@query("range_search")
+PENALTIES = {"alpha": ("log", 0.01, 100.0)}
+DRAWN = ", ".join(f"({i}, {p['alpha']!r}::DOUBLE)" for i, p in enumerate(tuning.drawn_points(PENALTIES, 50, 42)))
+
+
+@query(
+    "range_search",
+    with_listing(
+        """SELECT trial, cv_rmse_mean, cv_rmse_std FROM (SELECT trial, round(avg(va), 5) AS cv_rmse_mean, round(stddev_pop(va), 5) AS cv_rmse_std
+           FROM (SELECT trial, f, sqrt(avg((y - a - w * x) * (y - a - w * x)) FILTER (WHERE fold = f)) AS va
+           FROM folded, lines GROUP BY trial, f) GROUP BY trial)""",
+        POINTS,
+        f", folded AS (SELECT *, {bucket('Id', 3, FOLD_SEED)} AS fold FROM pts)",
+        f""", lines AS (SELECT trial, f, {SXY} * count(*) / ({SXX} * count(*) + any_value(alpha)) AS w,
+          avg(y) - {SXY} * count(*) / ({SXX} * count(*) + any_value(alpha)) * avg(x) AS a
+          FROM folded, range(3) t(f), (VALUES {DRAWN}) v(trial, alpha) WHERE fold <> f GROUP BY trial, f)""",
+    ),
+)
 def range_search(spark, sf):
-    ranges = {"n_estimators": ("int", 3, 6), "max_depth": ("int", 2, 4), "learning_rate": ("log", 0.05, 0.3)}
-    return tuning.range_search("xgboost", ranges, one_column(spark, sf), n_trials=2, folds=2)
+    """The full budget of trials over a range of penalties, whose fits SQL can repeat."""
+    trials = tuning.range_search("ridge", one_column(spark, sf), PENALTIES)
+    return trials.select(
+        F.col("trial").cast("int").alias("trial"), r("cv_rmse_mean", 5).alias("cv_rmse_mean"), r("cv_rmse_std", 5).alias("cv_rmse_std")
+    )
+
+
+@query(
+    "search_collapses_void",
+    with_listing(
+        """SELECT CAST(alpha AS VARCHAR) AS alpha, round(avg(va), 5) AS cv_rmse_mean FROM (
+           SELECT alpha, f, sqrt(avg((y - a - w * x) * (y - a - w * x)) FILTER (WHERE fold = f)) AS va
+           FROM folded, lines GROUP BY alpha, f) GROUP BY alpha""",
+        POINTS,
+        f", folded AS (SELECT *, {bucket('Id', 3, FOLD_SEED)} AS fold FROM pts)",
+        f""", lines AS (SELECT alpha, f, {SXY} * count(*) / ({SXX} * count(*) + alpha) AS w,
+          avg(y) - {SXY} * count(*) / ({SXX} * count(*) + alpha) * avg(x) AS a
+          FROM folded, range(3) t(f), (VALUES (0.5::DOUBLE), (50.0)) v(alpha) WHERE fold <> f GROUP BY alpha, f)""",
+    ),
+)
+def search_collapses_void(spark, sf):
+    """A grid that names the same fits several times: each is fitted and listed once."""
+    trials = tuning.random_search("ridge", one_column(spark, sf), grid={"alpha": [0.5, 50.0, 0.5, 50.0]})
+    return trials.select(F.col("params")["alpha"].alias("alpha"), r("cv_rmse_mean", 5).alias("cv_rmse_mean"))
 
 
 # ------------------------------------------------------------------- tree models
@@ -260,6 +298,22 @@ def model_knn(spark, sf):
     return model.transform(test).select("Id", r("prediction", 5).alias("prediction"))
 
 
+@query(
+    "model_knn_any_keys",
+    SQL["model_knn"].replace("SELECT Id, round(", "SELECT Id AS house, round("),
+)
+def model_knn_any_keys(spark, sf):
+    """Rows to predict whose keys are missing, repeated or text: the same predictions."""
+    x = F.array(F.col("GrLivArea") / 500.0, F.col("OverallQual") / 3.0, F.col("LotArea") / 7000.0)
+    rows = to_log_target(listing(spark, sf)).select("Id", LOG_TARGET, array_to_vector(x).alias("features"))
+    train, test = train_test_split(rows)
+    model = models.build_model("knn").fit(train)
+    keyless = test.select(
+        F.col("Id").alias("house"), "features", F.when(F.col("Id") % 3 > 0, F.concat(F.lit("k"), F.col("Id") % 7)).alias("Id")
+    )
+    return model.transform(keyless).select("house", r("prediction", 5).alias("prediction"))
+
+
 # ---------------------------------------------------------- errors and leaderboard
 GUESSES = {
     "flat": "185000.0",

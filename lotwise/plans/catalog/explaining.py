@@ -2,21 +2,32 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.operators import explain, models, profile
-from lotwise.plans.catalog.comparing import encoded
+from lotwise.operators.scoring import score
+from lotwise.operators.splits import SPLIT_SEED, train_test_split
+from lotwise.plans import reports
+from lotwise.plans.catalog.comparing import OLS, POINTS, encoded, one_column
 from lotwise.plans.catalog.registry import bucket, query, r, with_listing
+from lotwise.plans.training import Prepared
+from lotwise.session import work_path
 from lotwise.sources.listing import listing
 
 WEIGHTS = {"GrLivArea": 0.0003, "OverallQual": 0.07, "YearBuilt": 0.001, "TotalBsmtSF": -0.0002, "Fireplaces": 0.011}
 BASE = 12.0
 
 
-def contributions(spark, sf):
+def cells(spark, sf):
     rows = listing(spark, sf).select("Id", *WEIGHTS)
     means = explain.background_means(explain.background(rows), list(WEIGHTS))
-    return explain.linear_contributions(rows, WEIGHTS, means)
+    return explain.linear_cells(rows, WEIGHTS, means)
+
+
+def contributions(spark, sf):
+    return explain.long_form(cells(spark, sf))
 
 
 BG = f""", bg AS (SELECT * FROM listing ORDER BY {bucket('Id', 4294967296, 42)}, Id LIMIT 100),
@@ -43,7 +54,7 @@ def linear_contrib(spark, sf):
     ),
 )
 def contrib_rank(spark, sf):
-    top = explain.explanations(contributions(spark, sf), F.lit(BASE), top=3)
+    top = explain.explanations(cells(spark, sf), F.lit(BASE), top=3)
     return top.select(
         "Id",
         "base_value",
@@ -82,7 +93,7 @@ def dependence(spark, sf):
     ),
 )
 def waterfall_running(spark, sf):
-    out = explain.waterfall(contributions(spark, sf), BASE)
+    out = explain.waterfall(cells(spark, sf), BASE)
     return out.select(
         "Id", F.col("position").cast("long").alias("position"), "feature",
         r("contribution").alias("contribution"), r("running_total").alias("running_total"),
@@ -99,7 +110,7 @@ def waterfall_running(spark, sf):
     ),
 )
 def decision_paths(spark, sf):
-    out = explain.decision_paths(contributions(spark, sf), BASE)
+    out = explain.decision_paths(cells(spark, sf), BASE)
     return out.select("Id", F.col("position").cast("long").alias("position"), "feature", r("running_total").alias("running_total"))
 
 
@@ -110,8 +121,8 @@ def explain_fitted_linear(spark, sf):
     model = models.build_model("ridge").fit(train)
     names = [str(i) for i in range(len(model.coefficients))]
     sample = explain.background(train)
-    phi = explain.vector_contributions(test, model, sample, names)
-    return explain.explanations(phi, F.lit(explain.linear_base_value(model, sample)), top=12)
+    own = test.select("Id", explain.vector_cells(model, sample, names).alias("cells"))
+    return explain.explanations(own, F.lit(explain.linear_base_value(model, sample)), top=12)
 
 
 @query("explain_sampled")
@@ -121,5 +132,94 @@ def explain_sampled(spark, sf):
     model = models.build_model("decision_tree").fit(train)
     rows = profile.sample_rows(test, explain.EXPLAINED_ROWS)
     size = model.numFeatures
-    phi, _ = explain.sampled_contributions(rows, model, train, [str(i) for i in range(size)], permutations=5)
+    phi, _ = explain.sampled_contributions(rows, model, train, [str(i) for i in range(size)])
     return explain.global_summary(phi)
+
+
+@query(
+    "score_explained",
+    with_listing(
+        """SELECT Id, round(greatest(exp(a + w * x) - 1, 0), 2) AS predicted_price, CASE WHEN Id % 2 = 0 THEN round(a + w * m, 5) END AS base_value,
+        CASE WHEN Id % 2 = 0 THEN 'area' END AS features, CASE WHEN Id % 2 = 0 THEN round(w * (x - m), 5) END AS contribution
+        FROM pts, line, mean""",
+        POINTS,
+        f", line AS (SELECT {OLS} AS w, avg(y) - ({OLS}) * avg(x) AS a FROM pts)",
+        f""", mean AS (SELECT avg(x) AS m FROM (SELECT x FROM pts ORDER BY {bucket('Id', 4294967296, 42)}, Id LIMIT 100))""",
+    ),
+)
+def score_explained(spark, sf):
+    """Prices with the explanation of the requests that asked for one."""
+    rows = one_column(spark, sf)
+    model = models.build_model("linear_regression").fit(rows)
+    explainer = explain.Explainer(model, explain.background(rows), ["area"])
+    asked = rows.withColumn("explain", F.col("Id") % 2 == 0)
+    out = score(asked, PipelineModel([model]), "line", 40000.0, "Id", explainer)
+    listed = F.col("explanation")["contributions"]
+    return out.select(
+        "Id",
+        "predicted_price",
+        r(F.col("explanation")["base_value"], 5).alias("base_value"),
+        F.array_join(F.transform(listed, lambda c: c["feature"]), ">").alias("features"),
+        r(listed[0]["value"], 5).alias("contribution"),
+    )
+
+
+def _written(spark, tables: dict) -> DataFrame:
+    """Row counts of the tables as they are read back."""
+    path = work_path(spark, "report")
+    reports.write_report(tables, path)
+    counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in tables]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+def one_column_data(spark, sf) -> Prepared:
+    train, test = train_test_split(one_column(spark, sf))
+    return Prepared(train, test, ["area"], ["area"], PipelineModel([]))
+
+
+TEST_SHARE = f"{bucket('Id', 100, SPLIT_SEED)} < 20"
+
+
+@query(
+    "evaluation_report",
+    with_listing(
+        f"""SELECT name, rows FROM (SELECT 'residuals' AS name, count(*) FILTER (WHERE {TEST_SHARE}) AS rows FROM listing
+        UNION ALL SELECT 'learning_curve', 6 UNION ALL SELECT 'validation_curve', 8 UNION ALL SELECT 'error_limits', 1
+        UNION ALL SELECT 'leaderboard', 1)"""
+    ),
+)
+def evaluation_report(spark, sf):
+    """The evaluation tables of a winner, written and read back."""
+    data = one_column_data(spark, sf)
+    board = spark.createDataFrame([("ridge", 1.0)], "name string, rmse double")
+    tables = reports.evaluation_tables(data, models.build_model("ridge").fit(data.train), "ridge", board)
+    return _written(spark, tables).where("name <> 'residual_histogram'")
+
+
+@query(
+    "explanation_report",
+    with_listing(
+        f"""SELECT name, rows FROM (SELECT unnest(['waterfall', 'dependence', 'decision']) AS name,
+        least(300, count(*) FILTER (WHERE {TEST_SHARE})) AS rows FROM listing UNION ALL SELECT 'global_summary', 1)"""
+    ),
+)
+def explanation_report(spark, sf):
+    """The explanation tables of a linear winner, written and read back."""
+    data = one_column_data(spark, sf)
+    return _written(spark, reports.explanation_tables(data, models.build_model("linear_regression").fit(data.train)))
+
+
+@query(
+    "explanation_report_tree",
+    with_listing(
+        f"""SELECT name, rows FROM (SELECT unnest(['waterfall', 'dependence', 'decision']) AS name,
+        least(300, count(*) FILTER (WHERE {TEST_SHARE})) AS rows FROM listing UNION ALL SELECT 'global_summary', 1)"""
+    ),
+)
+def explanation_report_tree(spark, sf):
+    """The same of a winner that is not linear."""
+    data = one_column_data(spark, sf)
+    return _written(spark, reports.explanation_tables(data, models.build_model("decision_tree").fit(data.train)))

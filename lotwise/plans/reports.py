@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from pyspark.ml import Transformer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalar import col
 from lotwise.operators import explain, profile
+from lotwise.operators.encoding import FEATURES
 from lotwise.operators.gram import correlation_matrix
 from lotwise.operators.metrics import error_limits, residual_table
 from lotwise.operators.models import build_model
 from lotwise.operators.tuning import GRIDS, learning_curve, validation_curve
 from lotwise.plans.training import Prepared, predict
 from lotwise.schema import ID, KEY_CATEGORICAL, KEY_NUMERIC, TARGET, numeric_columns
+from lotwise.session import via_table
 
 
 def eda_tables(df: DataFrame, target: str = TARGET) -> dict[str, DataFrame]:
@@ -65,17 +68,30 @@ def evaluation_tables(
     return tables
 
 
-def explanation_tables(data: Prepared, model, explained: int = explain.EXPLAINED_ROWS) -> dict[str, DataFrame]:
-    """Contributions of a linear winner on a sample of the test rows, and their chart tables."""
+def explanation_tables(
+    data: Prepared, model: Transformer, explained: int = explain.EXPLAINED_ROWS, permutations: int = 20
+) -> dict[str, DataFrame]:
+    """Contributions of a winner of any kind on a sample of the test rows, and their chart tables."""
     sample = explain.background(data.train)
     rows = profile.sample_rows(data.test, explained)
-    phi = explain.vector_contributions(rows, model, sample, data.slots)
     base = explain.linear_base_value(model, sample)
+    if getattr(model, "coefficients", None) is not None:
+        cells = rows.select(col(ID), explain.vector_cells(model, sample, data.slots).alias("cells"))
+    else:
+        phi, own_base = explain.sampled_contributions(rows, model, data.train, data.slots, permutations)
+        slots = F.posexplode(vector_to_array(FEATURES)).alias("at", "x")
+        names = F.array(*[F.lit(n) for n in data.slots])
+        values = rows.select(col(ID), slots).select(col(ID), names[F.col("at")].alias("feature"), "x")
+        cells = via_table(
+            phi.join(values, [ID, "feature"]).groupBy(col(ID)).agg(F.collect_list(F.struct("feature", "x", "contribution")).alias("cells")),
+            "cells",
+        )
+    phi = explain.long_form(cells)
     return {
         "global_summary": explain.global_summary(phi),
-        "waterfall": explain.waterfall(phi, base),
+        "waterfall": explain.waterfall(cells, base),
         "dependence": explain.dependence(phi, explain.widest_feature(phi)),
-        "decision": explain.decision_paths(phi, base),
+        "decision": explain.decision_paths(cells, base),
     }
 
 

@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from lotwise.operators import encoding, explain, knn, models, selection, splits, tuning
@@ -81,8 +81,8 @@ def test_stacking_and_voting(prepared):
 @pytest.mark.parametrize("block", [7, 512])
 def test_neighbors_equal_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(knn, "BLOCK", block)
-    monkeypatch.setattr(knn, "MAX_PIVOTS", 8)
-    monkeypatch.setattr(knn, "SPREAD", 3)
+    monkeypatch.setattr(knn, "LEAST_PIVOTS", 8)
+    monkeypatch.setattr(knn, "BLOCKS_PER_TASK", 3)
     rng = np.random.default_rng(3)
     refs = np.concatenate([rng.normal(0, 1, (200, 3)), np.zeros((100, 3)), rng.normal(9, 0.5, (50, 3))])
     queries = np.concatenate([rng.normal(0, 2, (30, 3)), np.zeros((3, 3))])
@@ -151,6 +151,75 @@ def test_linear_contributions_add_up(prepared):
     total = phi.groupBy("Id").agg(F.sum("contribution").alias("s"))
     gap = model.transform(prepared.test).join(total, "Id").select(F.abs(F.col("prediction") - F.col("s") - base).alias("d"))
     assert gap.agg(F.max("d")).first()[0] < 1e-9
-    top = explain.explanations(phi, F.lit(base), top=12).first()["contributions"]
+    cells = prepared.test.select("Id", explain.vector_cells(model, sample, prepared.slots).alias("cells"))
+    top = explain.explanations(cells, F.lit(base), top=12).first()["contributions"]
     sizes = [abs(c["value"]) for c in top]
     assert len(top) == 12 and sizes == sorted(sizes, reverse=True)
+
+
+def test_knn_for_any_keys(spark):
+    """Repeated, missing, text and absent keys, and no rows: every row gets its own prediction."""
+    points = [(i, float(i)) for i in range(8)]
+    as_vector = array_to_vector(F.array("x")).alias("features")
+    train = spark.createDataFrame([(i, x, 10 * x) for i, x in points], "Id long, x double, log_target double").select("Id", as_vector, "log_target")
+    model = models.build_model("knn", n_neighbors=1).fit(train)
+    rows = [(5, 0.0), (5, 4.0), (None, 7.0), (None, 7.0)]
+    for kind, make in (("long", lambda k: k), ("string", lambda k: None if k is None else f"k{k}")):
+        asked = spark.createDataFrame([(make(k), x) for k, x in rows], f"Id {kind}, x double").select("Id", as_vector)
+        out = model.transform(asked)
+        assert out.columns == ["Id", "features", "prediction"]
+        assert sorted((r["features"][0], r["prediction"]) for r in out.collect()) == [(0.0, 0.0), (4.0, 40.0), (7.0, 70.0), (7.0, 70.0)]
+        assert model.transform(asked.drop("Id")).count() == 4
+        assert model.transform(asked.where("false")).count() == 0
+    named = train.withColumn("Id", F.concat(F.lit("k"), "Id"))
+    assert models.build_model("knn", n_neighbors=1).fit(named).transform(asked).agg(F.sum("prediction")).first()[0] == 180.0
+
+
+def test_search_fits_each_meaning_once(prepared):
+    grid = {"C": [1.0, 10.0], "epsilon": [0.001, 0.01, 0.1]}
+    points = tuning.distinct_points("svr", tuning.grid_points(grid))
+    assert points == [{"C": 1.0}, {"C": 10.0}]
+    deep = tuning.distinct_points("lightgbm", tuning.grid_points(tuning.GRIDS["lightgbm"]))
+    assert len(deep) == len(tuning.grid_points(tuning.GRIDS["lightgbm"])) and all(p["max_depth"] > 0 for p in deep)
+    trials = tuning.random_search("random_forest", prepared.train, 30, 2, grid={"n_estimators": [2], "max_depth": [2, 3], "min_samples_split": [2, 5]}).collect()
+    assert len(trials) == 2 and all(t["void"] == ["min_samples_split"] for t in trials)
+
+
+def test_no_tree_without_depth(prepared):
+    with pytest.raises(ValueError, match="max_depth"):
+        models.build_model("lightgbm", max_depth=None)
+    point = tuning.effective("lightgbm", {"max_depth": None, "n_estimators": 1})
+    assert point["max_depth"] == models.DEEPEST
+    model = models.build_model("lightgbm", **{**point, "max_depth": 6}).fit(prepared.train)
+    assert all(t.depth > 0 for t in model.trees)
+
+
+def test_boosting_ranges_are_run(prepared):
+    small = {k: (("int", 1, 2) if k == "n_estimators" else v) for k, v in tuning.BOOSTING_RANGES.items()}
+    trials = tuning.range_search("xgboost", prepared.train, small, n_trials=2, folds=2).collect()
+    assert all(set(t["params"]) == set(tuning.BOOSTING_RANGES) for t in trials)
+
+
+def test_a_tree_is_explained_with_the_score(spark, prepared, houses):
+    from lotwise.operators.explain import Explainer
+    from lotwise.operators.scoring import score
+
+    model = models.build_model("decision_tree", max_depth=3).fit(prepared.train)
+    rows = prepared.test.limit(6).select("Id", "features", (F.col("Id") % 2 == 0).alias("explain"))
+    rows = rows.unionByName(rows.limit(1).withColumn("explain", F.lit(True)))  # a key twice
+    explainer = Explainer(model, explain.background(prepared.train).select("features"), prepared.slots, permutations=4)
+    out = score(rows, model, "tree", 1.0, "Id", explainer).collect()
+    assert len(out) == 7 and any(r["explanation"] for r in out) and any(r["explanation"] is None for r in out)
+    for r in out:
+        if r["explanation"] is not None:
+            sizes = [abs(c["value"]) for c in r["explanation"]["contributions"]]
+            log_price = r["explanation"]["base_value"] + sum(c["value"] for c in r["explanation"]["contributions"])
+            assert sizes == sorted(sizes, reverse=True) and len(sizes) == len(prepared.slots)
+            assert math.isclose(math.expm1(log_price), r["predicted_price"], abs_tol=0.01)
+
+
+def test_too_many_labels_are_refused(houses):
+    from lotwise.operators.encoding import fit_encoder
+
+    with pytest.raises(ValueError, match="Id"):
+        fit_encoder(houses.withColumn("Id", F.col("Id").cast("string")), ["LotArea"], ["Id"], max_labels=10)
