@@ -13,17 +13,25 @@ from lotwise.functions.scalar import col, hash_number, pearson
 from lotwise.operators.cleaning import iqr_bounds, missing_counts, outlier_counts, value_counts
 from lotwise.operators.gram import correlation_matrix
 from lotwise.schema import ID, TARGET, numeric_columns
+from lotwise.session import via_table
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """``metric, value``: rows, columns by type, copies. Copies collapse map-side by their row hash
-    only if all columns agree: the grouping key is the whole row."""
+    """``metric, value``: rows, columns by type, copies.
+
+    A 128-bit digest of each row is counted; whole rows are compared only where a digest repeats.
+    """
     kinds = [f.dataType for f in df.schema]
     ints = sum(isinstance(k, T.IntegralType) for k in kinds)
     floats = sum(isinstance(k, (T.DoubleType, T.FloatType, T.DecimalType)) for k in kinds)
     texts = sum(isinstance(k, T.StringType) for k in kinds)
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias("\u0000n"))
-    sizes = groups.agg(F.sum("\u0000n").alias("rows"), F.sum(col("\u0000n") - 1).alias("copies"))
+    own = [col(c) for c in df.columns]
+    digest = F.struct(F.xxhash64(*own), F.xxhash64(F.lit("second"), *own)).alias("\u0000digest")
+    counted = via_table(df.groupBy(digest).agg(F.count(F.lit(1)).alias("\u0000n")), "digests")
+    total = counted.agg(F.sum("\u0000n").alias("rows"))
+    repeated = df.select("*", digest).join(counted.where(col("\u0000n") > 1).select(col("\u0000digest")), "\u0000digest", "left_semi")
+    groups = repeated.groupBy(*own).agg(F.count(F.lit(1)).alias("\u0000n"))
+    sizes = total.crossJoin(groups.agg(F.sum(col("\u0000n") - 1).alias("copies")))  # one row by one row
     cells = [
         ("rows", F.coalesce("rows", F.lit(0))),
         ("columns", F.lit(len(kinds))),

@@ -93,10 +93,16 @@ def _named_scores(spark, names: Sequence[str], scores: Sequence[float]) -> DataF
 
 
 def tree_importance(
-    df: DataFrame, target: str = TARGET, trees: int = 200, depth: int = 12, seed: int = 42, key: str = ID
+    df: DataFrame,
+    target: str = TARGET,
+    trees: int = 200,
+    depth: int = 12,
+    seed: int = 42,
+    key: str = ID,
+    encoded: tuple[DataFrame, list[str]] | None = None,
 ) -> DataFrame:
     """``feature, score``: impurity importance of a forest on the log target."""
-    rows, names = _encoded(df, target, key)
+    rows, names = encoded or _encoded(df, target, key)
     model = _forest(trees, depth, seed).fit(rows)
     return _named_scores(df.sparkSession, names, model.featureImportances.toArray())
 
@@ -126,9 +132,10 @@ def permutation_importance(
     depth: int = 10,
     seed: int = 42,
     key: str = ID,
+    encoded: tuple[DataFrame, list[str]] | None = None,
 ) -> DataFrame:
     """``feature, score``: mean loss of R² when one column is shuffled."""
-    rows, names = _encoded(df, target, key)
+    rows, names = encoded or _encoded(df, target, key)
     model = _forest(trees, depth, seed).fit(rows)
     x, other = vector_to_array(FEATURES), vector_to_array("other")
     pairs = permuted_pairs(rows, repeats, key, seed).select(
@@ -203,12 +210,14 @@ def agreement(rankings: dict[str, DataFrame], top_k: int = 15) -> DataFrame:
 
 
 def compare_selection_methods(df: DataFrame, target: str = TARGET, top_k: int = 15, seed: int = 42) -> DataFrame:
+    """The four rankings side by side; both forests share one encoding."""
+    data = _encoded(df, target, ID)
     return agreement(
         {
             "correlation": correlation_ranking(df, target, (ID,)),
             "mutual_information": mutual_information_ranking(df, target),
-            "tree_importance": tree_importance(df, target, seed=seed),
-            "permutation_importance": permutation_importance(df, target, repeats=3, seed=seed),
+            "tree_importance": tree_importance(df, target, seed=seed, encoded=data),
+            "permutation_importance": permutation_importance(df, target, repeats=3, seed=seed, encoded=data),
         },
         top_k,
     )

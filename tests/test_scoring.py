@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lotwise.operators import models, scoring
-from lotwise.plans.training import load_scorer, run_training
+from lotwise.plans.training import load_explainer, load_scorer, run_training
 from lotwise.session import work_path
 from lotwise.sources import files
 from lotwise.streaming.scoring import read_request_stream, score_stream
@@ -84,6 +84,21 @@ def test_artifacts(spark, winner):
     assert scoring.best_rmse(board, "nothing") == 0.0
 
 
+def test_a_training_column_that_requests_lack(spark, houses, request_row):
+    path = work_path(spark, "wider")
+    wider = houses.withColumn("Distance", F.col("Id") % 13).withColumn("Zone", F.concat(F.lit("z"), F.col("Id") % 3))
+    best, _ = run_training(wider, path, {"ridge": models.build_model("ridge")}, folds=2)
+    pipeline, board = load_scorer(spark, path)
+    explainer = load_explainer(spark, path, pipeline)
+    asked = files.records(spark, [{**request_row, "explain": True}, request_row])
+    out, bad = scoring.score_requests(asked, pipeline, best, scoring.best_rmse(board, best), "row_index", explainer)
+    rows = {r["row_index"]: r for r in out.collect()}
+    assert bad.count() == 0 and rows[0]["predicted_price"] == rows[1]["predicted_price"] > 0
+    assert rows[1]["explanation"] is None
+    names = [c["feature"] for c in rows[0]["explanation"]["contributions"]]
+    assert "Distance" in names and len(names) == len(set(names)) == len(explainer.names)
+
+
 def test_csv_tokens(spark, tmp_path):
     (tmp_path / "h.csv").write_text("SalePrice,Id,LotFrontage,GarageCars,Fence,extra\n100.5,1,nan,2.0,None,a\nbad,2,7,NA,GdPrv,N/A\n")
     rows = files.read_house_csv(spark, str(tmp_path / "h.csv")).orderBy("Id").collect()
