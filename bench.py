@@ -15,11 +15,11 @@ from lotwise.session import local_session
 from lotwise.sources.listing import stored_listing
 
 HEADLINE = """
-dedupe_line_numbers hist_lines box_lines group_box_lines hash_split log_target group_mean_back
+dedupe_line_numbers hist_lines box_lines group_box_lines hash_split broken_cells batch_broken_bodies score_explained log_target group_mean_back
 clean_medians clean_modes clean_dataset engineer_features cleaned_market_view corr_rank corr_matrix mi_binned
 scale_standard regression_metrics leaderboard linear_contrib waterfall_running validate_requests score_batch
 """.split()
-FITS = ("linear_regression", "ridge", "lasso", "elasticnet", "decision_tree")
+FITS = ("linear_regression", "ridge", "lasso", "elasticnet", "decision_tree", "svr")
 
 
 def main() -> None:
@@ -37,6 +37,7 @@ def main() -> None:
         start = time.perf_counter()
         data = prepare(stored_listing(spark, sf_dir))
         seconds["prepare_encoded"] = round(time.perf_counter() - start, 3)
+        rows = data.train.count()
         for name in FITS:
             start = time.perf_counter()
             models.build_model(name).fit(data.train)
@@ -50,6 +51,8 @@ def main() -> None:
                 "queries": seconds,
                 "sf": os.path.basename(sf_dir.rstrip("/")),
                 "cpus": cpus,
+                "rows_per_fit": rows,
+                "milliseconds_per_1000_rows": {n: round(1e6 * seconds[f"fit_{n}"] / rows, 3) for n in FITS},
             }
         )
     )

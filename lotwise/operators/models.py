@@ -314,10 +314,14 @@ BUILDERS: dict[str, Callable[[dict, int], Estimator]] = {
 }
 
 
+def _no_such(name: str) -> ValueError:
+    return ValueError(f"{name!r} is not in the zoo, which has {', '.join(model_names())}")
+
+
 def build_model(name: str, seed: int = 42, **changes) -> Estimator:
     """A base model by name, with single settings changed (``n_estimators=50``)."""
     if name not in BUILDERS:
-        raise ValueError(f"Unknown model '{name}'. Available: {model_names()}")
+        raise _no_such(name)
     estimator = BUILDERS[name]({**SETTINGS[name], **changes}, seed)
     return estimator._set(featuresCol=FEATURES, labelCol=LOG_TARGET)
 
@@ -348,7 +352,7 @@ def get_model(name: str, seed: int = 42) -> Estimator:
         return build_model(name, seed)
     ensembles = get_ensemble_models(seed)
     if name not in ensembles:
-        raise ValueError(f"Unknown model '{name}'. Available: {model_names()}")
+        raise _no_such(name)
     return ensembles[name]
 
 

@@ -209,15 +209,25 @@ def agreement(rankings: dict[str, DataFrame], top_k: int = 15) -> DataFrame:
     )
 
 
-def compare_selection_methods(df: DataFrame, target: str = TARGET, top_k: int = 15, seed: int = 42) -> DataFrame:
-    """The four rankings side by side; both forests share one encoding."""
+def compare_selection_methods(
+    df: DataFrame,
+    target: str = TARGET,
+    top_k: int = 15,
+    seed: int = 42,
+    importance: dict | None = None,
+    permutation: dict | None = None,
+) -> DataFrame:
+    """The four rankings side by side; both forests share one encoding. The last two arguments change the
+    settings of the forests."""
     data = _encoded(df, target, ID)
     return agreement(
         {
             "correlation": correlation_ranking(df, target, (ID,)),
             "mutual_information": mutual_information_ranking(df, target),
-            "tree_importance": tree_importance(df, target, seed=seed, encoded=data),
-            "permutation_importance": permutation_importance(df, target, repeats=3, seed=seed, encoded=data),
+            "tree_importance": tree_importance(df, target, seed=seed, encoded=data, **(importance or {})),
+            "permutation_importance": permutation_importance(
+                df, target, **{"repeats": 3, "seed": seed, "encoded": data, **(permutation or {})}
+            ),
         },
         top_k,
     )

@@ -5,6 +5,7 @@ Linear models on one column have closed forms, so SQL can check the fitted model
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lotwise.operators.encoding import build_full_preprocessor, encode
 from lotwise.operators.splits import FOLD_SEED, LOG_TARGET, SPLIT_SEED, from_log, to_log_target, train_test_split
 from lotwise.plans.catalog.deriving import cleaned
 from lotwise.plans.catalog.registry import SQL, bucket, query, r, with_listing
-from lotwise.plans.training import prepare, run_training, train_and_evaluate
+from lotwise.plans.training import Prepared, prepare, run_training, train_and_evaluate
 from lotwise.session import via_table, work_path
 from lotwise.sources.listing import listing, stored_listing, table
 
@@ -451,3 +452,35 @@ def train_and_save(spark, sf):
     board = read_leaderboard(spark, f"{path}/leaderboard")
     listed = spark.createDataFrame([(n,) for n in names], "name string")
     return metrics.model_info(board, listed).drop("trained_at")
+
+
+LINES = ("linear_regression", "ridge", "lasso")
+
+
+@query(
+    "compare_lines",
+    with_listing(
+        """SELECT name, mae, rmse, r2, mape, row_number() OVER (ORDER BY e) AS position FROM (SELECT name, sqrt(avg((y - p) * (y - p))) AS e,
+        round(avg(abs(y - p)), 2) AS mae, round(sqrt(avg((y - p) * (y - p))), 2) AS rmse,
+        round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 5) AS r2, round(100 * avg(abs((y - p) / y)), 4) AS mape
+        FROM priced GROUP BY name)""",
+        POINTS,
+        f", tr AS (SELECT * FROM pts WHERE NOT {TEST_ROWS})",
+        ", w AS ("
+        + " UNION ALL ".join(
+            f"SELECT '{n}' AS name, {s} AS w, avg(y) - ({s}) * avg(x) AS a FROM tr" for n, s in zip(LINES, (OLS, RIDGE, LASSO))
+        )
+        + ")",
+        f", priced AS (SELECT name, SalePrice AS y, greatest(exp(a + w * x) - 1, 0) AS p FROM pts, w WHERE {TEST_ROWS})",
+    ),
+)
+def compare_lines(spark, sf):
+    """The comparison of models from fit to leaderboard, on lines whose fits SQL can repeat."""
+    train, test = train_test_split(one_column(spark, sf))
+    data = Prepared(train, test, ["area"], ["area"], PipelineModel([]))
+    _, board, failures = train_and_evaluate(data, {n: models.build_model(n) for n in LINES}, folds=2)
+    assert not failures, failures
+    return board.select(
+        "name", r("mae", 2).alias("mae"), r("rmse", 2).alias("rmse"), r("r2", 5).alias("r2"), r("mape", 4).alias("mape"),
+        F.col("position").cast("long").alias("position"),
+    )

@@ -325,7 +325,7 @@ def tree_importance(spark, sf):
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    return selection.permutation_importance(_tree_rows(spark, sf), repeats=2, trees=10, depth=6)
+    return selection.permutation_importance(_tree_rows(spark, sf), trees=10, depth=6)
 
 
 @query("recursive_elimination")
@@ -335,14 +335,8 @@ def recursive_elimination(spark, sf):
 
 @query("selection_four_methods")
 def selection_four_methods(spark, sf):
-    rows = _tree_rows(spark, sf)
-    return selection.agreement(
-        {
-            "correlation": selection.correlation_ranking(rows, skip=("Id",)),
-            "mutual_information": selection.mutual_information_ranking(rows),
-            "tree_importance": selection.tree_importance(rows, trees=10, depth=6),
-            "permutation_importance": selection.permutation_importance(rows, repeats=1, trees=10, depth=6),
-        }
+    return selection.compare_selection_methods(
+        _tree_rows(spark, sf), importance={"trees": 10, "depth": 6}, permutation={"trees": 10, "depth": 6}
     )
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -29,7 +31,7 @@ def local_session(cpus: int = 8, app: str = "lotwise", memory: str = "12g") -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, taken from ``spark.checkpoint.dir``.
 
-    Only a local session without that setting gets a folder of its own: on a cluster a
+    Only a local session without that setting gets a folder of its own, which goes when it ends: on a cluster a
     machine-local folder would be lost with its machine, so there we refuse.
     """
     context = spark.sparkContext
@@ -41,7 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not context.master.startswith("local"):
         raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share.")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="lotwise-"))
+        folder = tempfile.mkdtemp(prefix="lotwise-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.setCheckpointDir(folder)
     # Spark appends its own sub-folder to the folder that was set.
     return os.path.dirname(context.getCheckpointDir().rstrip("/"))
 

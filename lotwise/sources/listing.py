@@ -31,14 +31,13 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     people = table(spark, sf_dir, "customer").select(
         F.col("c_custkey").alias("c"), F.col("c_acctbal").alias("bal"), F.col("c_mktsegment").alias("seg"), "c_nationkey"
     )
-    # 25 nations: a fixed table, within any broadcast bound.
     places = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("nb"))
     lines = (
         table(spark, sf_dir, "lineitem")
         .groupBy(F.col("l_orderkey").alias("k"))
         .agg(F.count(F.lit(1)).alias("n_lines"), F.sum("l_quantity").alias("qty"))
     )
-    b = orders.join(people, "c").join(F.broadcast(places), "c_nationkey").join(lines, "k", "left")
+    b = orders.join(people, "c").join(places, "c_nationkey").join(lines, "k", "left")
 
     k, c, y, age, n_lines = F.col("k"), F.col("c"), F.col("y"), F.col("age"), F.col("n_lines")
     no_lines = n_lines.isNull()
