@@ -37,7 +37,7 @@ REMOVED = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,kept:str
 
 
 class Bitmap:
-    """A set of hashes with false positives, of fixed size."""
+    """A set of hashes with false positives, of fixed size: two bits per hash."""
 
     def __init__(self, bits: int, pages: list[tuple[int, bytes]]):
         self.shift = np.uint64(64 - bits)
@@ -47,15 +47,24 @@ class Bitmap:
             self.cells[at : at + PAGE // 8] = np.frombuffer(cells, np.uint8)
 
     def has(self, hashes: np.ndarray) -> np.ndarray:
-        slot = hashes >> self.shift
+        out = self._bit(hashes >> self.shift)
+        first = np.flatnonzero(out)
+        turned = (hashes[first] << np.uint64(32)) | (hashes[first] >> np.uint64(32))
+        out[first] = self._bit(turned >> self.shift)
+        return out
+
+    def _bit(self, slot: np.ndarray) -> np.ndarray:
         return (self.cells[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def bitmap(hashes: DataFrame, column: str, bits: int) -> Bitmap:
     """Collects at most ``2 ** bits`` bits, whatever the number of rows."""
-    slot = F.expr(f"shiftrightunsigned(`{column}`, {64 - bits}) + 1")
+    turned = f"(shiftleft(`{column}`, 32) | shiftrightunsigned(`{column}`, 32))"
+    slots = F.explode(F.array(*[F.expr(f"shiftrightunsigned({h}, {64 - bits}) + 1") for h in (f"`{column}`", turned)]))
+    slot = F.col("slot")
     pages = (
-        hashes.select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("at"))
+        hashes.select(slots.alias("slot"))
+        .select(F.bitmap_bucket_number(slot).alias("page"), F.bitmap_bit_position(slot).alias("at"))
         .groupBy("page")
         .agg(F.bitmap_construct_agg("at").alias("cells"))
         .collect()
