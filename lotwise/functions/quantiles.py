@@ -24,6 +24,7 @@ from lotwise.functions.scalar import col
 from lotwise.session import cut_lineage, via_table
 
 BINS = 256
+LAST_ROWS = 2048
 _LARGEST = 1.7976931348623157e308
 _MAGNITUDES = 1100.0  # above the largest binary exponent of a double
 
@@ -80,6 +81,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     settled: dict[tuple[str, int], float] = {}
     # (column, low, high, by magnitude) -> {rank: rows below the bracket}, and the rows inside.
     open_: dict[tuple[str, float, float, bool], dict[int, int]] = {}
+    inside: dict[tuple[str, float, float, bool], int] = {}
 
     def place(c: str, rank: int, below: int, n: int, low: float, high: float, by_magnitude: bool) -> None:
         if low == high or rank == below:
@@ -88,6 +90,7 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             settled[c, rank] = high
         else:
             open_.setdefault((c, low, high, by_magnitude), {})[rank] = below
+            inside[c, low, high, by_magnitude] = n
 
     for i, c in enumerate(columns):
         for rank in {r for p in probs if sizes[c] for r in ranks(sizes[c], p)[:2]}:
@@ -95,6 +98,17 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     while open_:
         searches, wanted = list(open_), list(open_.values())
         open_ = {}
+        if max(inside[x] for x in searches) <= LAST_ROWS:
+            # Every bracket is down to a few rows: count their values, and each rank is settled.
+            values = [F.when(value[c].between(a, b), F.struct(F.lit(s).alias("s"), value[c].alias("v"))) for s, (c, a, b, _) in enumerate(searches)]
+            found = df.select(F.inline(F.filter(F.array(*values), lambda x: x.isNotNull()))).groupBy("s", "v").agg(F.count(F.lit(1)).alias("n"))
+            ends = dict.fromkeys(range(len(searches)), 0)
+            for r in sorted(found.collect(), key=lambda r: (r["s"], r["v"])):  # at most LAST_ROWS per search
+                start, ends[r["s"]] = ends[r["s"]], ends[r["s"]] + r["n"]
+                for rank, below in wanted[r["s"]].items():
+                    if below + start <= rank < below + ends[r["s"]]:
+                        settled[searches[r["s"]][0], rank] = r["v"]
+            break
         cells = [
             F.when(
                 value[c].between(low, high),
