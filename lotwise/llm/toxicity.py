@@ -2,11 +2,12 @@
 
 Training counts in how many toxic and clean training documents each token stands. Its log-odds use a
 Dirichlet prior in proportion to the token's overall frequency. A token scores the lower end of its
-log-odds, ``z`` standard errors down; those that still score more than ``gap`` form the lexicon. Longer words also count under their first
-``stem`` letters, so an unseen compound of a known stem still scores.
+log-odds, ``z`` standard errors down; those that still score more than ``gap`` form the lexicon. Longer words
+also count under their first ``stem`` letters, so an unseen compound of a known stem still scores.
 
-A document is scanned once: lexicon tokens add their log-odds, every token costs ``gap``. The linear-time
-scan keeps all maximal segments. Under the clean background a segment of score ``s`` in ``n`` tokens turns
+Lexicon tokens add their log-odds, every token costs ``gap``, and a linear-time scan keeps all maximal
+segments. Passages come from the scan over every occurrence; the evidence of a document comes from the same
+scan with each token scoring only where it stands first, since training counts documents, not repeats. Under the clean background a segment of score ``s`` in ``n`` tokens turns
 up ``K n exp(-lambda s)`` times (extreme-value statistics): lambda solves the background equation, ``K`` is
 the maximum-likelihood value over the clean training documents. Segments expected less than ``evalue``
 times are passages. The evidence of a document is ``log(1 + x)`` for the sum ``x`` of ``-log P`` over its
@@ -59,40 +60,50 @@ class ToxicityModel:
     intercept: float = -math.inf
     slope: float = 0.0
 
-    def hits(self, text: str) -> tuple[int, list[tuple[int, float]]]:
-        """Number of tokens, and place and log-odds of those that score.
-
-        A token scores where it stands first: training counts documents, not repeats.
-        """
+    def hits(self, text: str) -> tuple[int, list[tuple[int, float]], list[tuple[int, float]]]:
+        """Number of tokens, place and log-odds of all that score, and those of them that stand there first."""
         word, part, n = self.words.get, self.stems.get, self.stem
         tokens = _TOKEN.findall(text.lower())
-        first: dict[str, tuple[int, float]] = {}
-        for i, s, w in [(i, s, w) for i, w in enumerate(tokens) if (s := word(w) or part(w[:n]))]:
-            first.setdefault(w, (i, s))
-        return len(tokens), list(first.values())
+        found = [(i, s) for i, w in enumerate(tokens) if (s := word(w) or part(w[:n]))]
+        seen = {tokens[i]: i for i, _ in reversed(found)}
+        return len(tokens), found, [hit for hit in found if seen[tokens[hit[0]]] == hit[0]]
+
+    def scan(self, text: str) -> tuple[int, list[tuple[int, int, float]], list[tuple[int, int, float]]]:
+        """Number of tokens, the segments over all of them, and those over first occurrences only."""
+        n, found, first = self.hits(text)
+        everywhere = self.segments(found)
+        return n, everywhere, everywhere if len(first) == len(found) else self.segments(first)
 
     def segments(self, hits: list[tuple[int, float]]) -> list[tuple[int, int, float]]:
-        """All maximal scoring segments ``(first token, end, score)`` in one pass.
+        """All maximal scoring segments ``(first token, end, score)`` in one pass of linear time.
 
-        A stack holds the candidate segments with the total before and after each. A new scoring token
-        joins back to the last candidate that starts lower and is not yet passed.
+        Open candidates hold the total before and after them, their tokens, and the number of the last
+        candidate that starts lower. A new scoring token joins back to the last candidate that starts lower
+        and is not yet passed; where none starts lower, no later token can join any of them: they are done.
         """
-        stack: list[list[float]] = []
+        done: list[tuple[float, float, int, int, int]] = []
+        stack: list[tuple[float, float, int, int, int]] = []
         total, at = 0.0, 0
         for place, odds in hits:
             before = total - self.gap * (place - at)
             total, at = before + odds - self.gap, place + 1
             if odds <= self.gap:
                 continue
-            new = [before, total, place, place + 1]
+            first, below = place, len(stack) - 1
             while True:
-                below = next((j for j in range(len(stack) - 1, -1, -1) if stack[j][0] < new[0]), -1)
-                if below < 0 or stack[below][1] >= new[1]:
-                    stack.append(new)
+                while below >= 0 and stack[below][0] >= before:
+                    below = stack[below][4]
+                if below < 0:
+                    done += stack
+                    stack = [(before, total, first, at, -1)]
+                    break
+                if stack[below][1] >= total:
+                    stack.append((before, total, first, at, below))
                     break
-                new = [stack[below][0], new[1], stack[below][2], new[3]]
+                before, first, last = stack[below][0], stack[below][2], stack[below][4]
                 del stack[below:]
-        return [(int(s[2]), int(s[3]), s[1] - s[0]) for s in stack]
+                below = last
+        return [(s[2], s[3], s[1] - s[0]) for s in done + stack]
 
     def expected(self, score: float, tokens: int) -> float:
         return self.scale * tokens * math.exp(-self.rate * score)
@@ -221,11 +232,10 @@ def _calibrated(model: ToxicityModel, marked: DataFrame, bad: int, good: int) ->
             tokens, best, rest = [], [], []
             for i in range(0, batch.num_rows, 256):
                 for t in batch.column("t").slice(i, 256).to_pylist():
-                    n, hits = own.hits(t or "")
-                    found = own.segments(hits)
+                    n, everywhere, first = own.scan(t or "")
                     tokens.append(n)
-                    best.append(max((s[2] for s in found), default=0.0))
-                    rest.append([s[2] for s in found])
+                    best.append(max((s[2] for s in everywhere), default=0.0))
+                    rest.append([s[2] for s in first])
             yield pa.RecordBatch.from_pydict(
                 {
                     "y": batch.column("y").cast(pa.int32()),
@@ -289,9 +299,8 @@ def judge_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
         own, scores, evidence, passages = shared.value, [], [], []
         for i in range(0, len(texts), 256):
             for t in texts.slice(i, 256).to_pylist():
-                n, hits = own.hits(t or "")
-                found = own.segments(hits)
-                x = own.evidence(n, found)
+                n, found, first = own.scan(t or "")
+                x = own.evidence(n, first)
                 evidence.append(x)
                 scores.append(own.score(x))
                 passages.append(spans(t, found, n) if found else [])

@@ -102,6 +102,27 @@ def test_segments_are_maximal():
         assert got == [(a, b, round(s, 6)) for a, b, s in plain_segments(values)]
 
 
+def test_segments_of_a_long_falling_text_and_ties():
+    """Every token starts lower than all before, so each closes the last; equal starts do not join."""
+    model = ToxicityModel(gap=0.25)
+    hits = [(i, 0.5) for i in range(0, 3_000_000, 10)]
+    assert model.segments(hits) == [(i, i + 1, 0.25) for i, _ in hits]
+    # The totals return to the same level: neither joining nor splitting gains, the parts stay apart.
+    assert model.segments([(0, 0.5), (2, 0.5), (4, 0.75)]) == [(0, 1, 0.25), (2, 3, 0.25), (4, 5, 0.5)]
+    assert model.segments([(0, 1.0), (1, 1.0)]) == [(0, 2, 1.5)]
+
+
+def test_passages_of_repeated_words(spark):
+    """A word scores again in a later passage; only the document's evidence counts it once."""
+    model = ToxicityModel(words={"bad": 3.0, "vile": 3.0}, rate=3.0, scale=0.01, intercept=-2, slope=1)
+    far = " ok" * 200
+    docs = spark.createDataFrame([(1, f"bad vile{far} vile bad"), (2, f"bad vile{far} fine fine")], "doc_id long, text string")
+    twice, once = (r.toxicity for r in judge_toxicity(docs, model).orderBy("doc_id").collect())
+    assert [(p.start, p.end) for p in once.passages] == [(0, 8)]
+    assert [(p.start, p.end) for p in twice.passages] == [(0, 8), (609, 617)]
+    assert twice.evidence == once.evidence and twice.score == once.score
+
+
 def toxic_corpus(spark, n=400):
     rng = np.random.default_rng(2)
     rows, labels = [], []
