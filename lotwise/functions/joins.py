@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,15 +23,26 @@ def size_in_bytes(df: DataFrame) -> int:
     return row[0] * (16 + 16 * len(df.columns)) + sum(x or 0 for x in row[1:])
 
 
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all columns that have one: the same when a lost task runs again, unlike a random number."""
+    return F.xxhash64(F.lit(7), *[col(f.name) for f in df.schema if not re.search("map<|variant", f.dataType.simpleString())])
+
+
 def lookup_join(
-    rows: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "left", max_bytes: int = MAX_BROADCAST_BYTES
+    rows: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    max_bytes: int = MAX_BROADCAST_BYTES,
+    spread_by: Column | None = None,
 ) -> DataFrame:
     """Join ``rows`` with an aggregated ``lookup`` (unique on ``on``).
 
     The lookup is cut to a checkpoint and measured. Up to ``max_bytes`` it is broadcast, and the big
     side never moves. Beyond, both sides shuffle by key, and a key with more than a ``PARTS``-th of the
     rows is dealt into as many parts as it has such shares; its lookup row is repeated for each. At most
-    ``PARTS`` keys are that hot, so the table of them is always small.
+    ``PARTS`` keys are that hot, so the table of them is always small. The part of a row follows from its
+    content (``spread_by``, a hash; of all columns if not given), so a task that runs again deals the same.
     """
     lookup = cut_lineage(lookup)
     if size_in_bytes(lookup) <= max_bytes:
@@ -41,6 +53,7 @@ def lookup_join(
         counts.where(F.col("_n") > share).select(*[col(c) for c in on], F.ceil(F.col("_n") / share).cast("int").alias("_parts"))
     )
     parts = F.coalesce(F.col("_parts"), F.lit(1))
-    spread = rows.join(hot, list(on), "left").withColumn("_part", F.floor(F.rand(7) * parts).cast("int"))
+    salt = row_hash(rows) if spread_by is None else spread_by
+    spread = rows.join(hot, list(on), "left").withColumn("_part", F.pmod(salt, parts).cast("int"))
     repeated = lookup.join(hot, list(on), "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
     return spread.drop("_parts").join(repeated.drop("_parts"), [*on, "_part"], how).drop("_part")

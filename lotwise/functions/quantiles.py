@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lotwise.functions.joins import lookup_join
+from lotwise.functions.joins import lookup_join, row_hash
 from lotwise.functions.scalar import col
 from lotwise.session import cut_lineage, via_table
 
@@ -153,7 +153,8 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, pro
     """
     value = col(value) if isinstance(value, str) else value
     # As a struct, a missing group is a key like any other.
-    rows = df.select(F.struct(*[col(b) for b in by]).alias("key"), _number(value).alias("v"))
+    # The hash of the whole row is read only where a hot group must be dealt into parts.
+    rows = df.select(F.struct(*[col(b) for b in by]).alias("key"), _number(value).alias("v"), row_hash(df).alias("_row"))
     groups = via_table(
         rows.groupBy("key").agg(F.count("v").alias("n"), F.min("v").alias("low"), F.max("v").alias("high")), "groups"
     )
@@ -186,7 +187,7 @@ def grouped_quantiles(df: DataFrame, by: Sequence[str], value: str | Column, pro
         search = F.struct("low", "high", "m")
         brackets = todo.groupBy("key").agg(F.collect_set(search).alias("brackets"))  # at most two per level
         met = (
-            lookup_join(present, brackets, ["key"], "inner")
+            lookup_join(present, brackets, ["key"], "inner", spread_by=F.col("_row"))
             .select("key", "v", F.explode("brackets").alias("s"))
             .where(F.col("v").between(F.col("s.low"), F.col("s.high")))
         )
