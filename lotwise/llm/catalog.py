@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import find_items, hit_words
 from lotwise.llm.language import fit_languages, identify
-from lotwise.llm.lines import remove_repeated_lines, removed_lines
+from lotwise.llm.lines import COMMON_WORDS, OFTEN, WORDS, remove_repeated_lines, removed_lines
 from lotwise.llm.mixing import mix_sources
 from lotwise.llm.private import count_kind, protect, span_text
 from lotwise.llm.simhash import simhash_classes
@@ -159,6 +159,41 @@ def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+LINES_CONTENT_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, line, p, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS body
+      FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS p FROM d)),
+c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY p) AS i, len(regexp_extract_all(body, '[^\x20\x09-\x0D]+')) AS n
+      FROM l WHERE body <> ''),
+often AS (SELECT body FROM c GROUP BY body HAVING count(DISTINCT doc_id) >= 100),
+r AS (SELECT doc_id, i, 1 AS size, [body] AS k FROM c WHERE n >= 50 OR (n >= 5 AND body IN (SELECT body FROM often))
+      UNION ALL SELECT a.doc_id, a.i, 2, [a.body, b.body]
+      FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i = a.i + 1 WHERE a.n + b.n >= 50
+      UNION ALL SELECT a.doc_id, a.i, 3, [a.body, b.body, z.body]
+      FROM c a JOIN c b ON b.doc_id = a.doc_id AND b.i = a.i + 1 JOIN c z ON z.doc_id = a.doc_id AND z.i = a.i + 2),
+w AS (SELECT doc_id, i, size, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS nth FROM r),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + size)) AS i FROM w WHERE nth > 1),
+dead AS (SELECT c.doc_id, c.p FROM c JOIN gone USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY p) AS t FROM l ANTI JOIN dead USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*)::BIGINT AS n_removed FROM dead GROUP BY doc_id),
+t AS (SELECT doc_id, count(*)::BIGINT AS n_lines FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n_lines, 0) AS n_lines, coalesce(n.n_removed, 0) AS n_removed,
+  CASE WHEN d.ls IS NULL THEN NULL ELSE sha256(coalesce(kept.t, '')) END AS kept_sha256
+FROM d LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
+
+
+@query("op9_repeated_content", LINES_CONTENT_SQL)
+def op9_repeated_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``op9_repeated_lines``, and runs of one or two lines with enough words, and common lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = remove_repeated_lines(docs, words=WORDS, common_words=COMMON_WORDS, often=OFTEN)
+    c = F.col("lines")
+    return cut.select(
+        "doc_id", c["n_lines"].alias("n_lines"), removed_lines(c).alias("n_removed"), F.sha2(c["kept"], 256).alias("kept_sha256")
+    )
+
+
 @query("op7_toxicity")
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")

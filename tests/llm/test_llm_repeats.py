@@ -1,4 +1,5 @@
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -121,6 +122,64 @@ def test_repeated_lines(hard, spark, sf):
         assert any(g[1] for g in same_lines(docs, run, filter_bits=bits))
 
 
+def cut_content(rows, run, words, common_words, often):
+    """Lines in windows that stood earlier, where short windows need words and single lines may be common."""
+    def key(r):
+        return (LAST if r.doc_id is None else r.doc_id, r.h)
+
+    def own(text):
+        lines = enumerate((text or "").encode().split(b"\n"))
+        return [(n, y) for n, x in lines if (y := x.strip(b" \t\n\v\f\r"))]
+
+    rows_with = Counter(y for r in rows for y in {y for _, y in own(r.text)})
+    lines = {key(r): (r.text, own(r.text)) for r in rows}
+
+    def windows(k):
+        found = lines[k][1]
+        for size in range(1, run + 1):
+            for i in range(len(found) - size + 1):
+                body = tuple(y for _, y in found[i : i + size])
+                n = sum(len(y.split()) for y in body)
+                if size == run or n >= words or (size == 1 and n >= common_words and rows_with[body[0]] >= often):
+                    yield i, body
+
+    first, out = {}, {}
+    for k in sorted(lines):
+        for i, body in windows(k):
+            first.setdefault(body, (k, i))
+    for k, (text, found) in lines.items():
+        gone = {n for i, body in windows(k) if first[body] != (k, i) for n, _ in found[i : i + len(body)]}
+        kept = None if text is None else b"\n".join(x for n, x in enumerate(text.encode().split(b"\n")) if n not in gone).decode()
+        out[k] = (len(found), len(gone), kept)
+    return [out[key(r)] for r in rows]
+
+
+def same_content(frame, run, words, common_words, often, **options):
+    frame = frame.withColumn("h", F.xxhash64("text"))
+    rows = remove_repeated_lines(frame, run=run, words=words, common_words=common_words, often=often, **options).collect()
+    got = [(r.lines.n_lines, sum(s.end - s.start for s in r.lines.spans), r.lines.kept) for r in rows]
+    assert got == cut_content(rows, run, words, common_words, often)
+    return sum(g[1] for g in got)
+
+
+def test_runs_by_content(hard, spark, sf):
+    assert same_content(hard, 3, 50, 2, 2) > sum(g[1] for g in same_lines(hard, 3))
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for run, words, common_words, often, bits in ((3, 50, 5, 5, 26), (3, 20, 3, 4, 15), (2, 30, 4, 6, 26), (1, 50, 5, 2, 26)):
+        assert same_content(docs, run, words, common_words, often, filter_bits=bits)
+
+
+def test_long_line_and_boilerplate_are_found(spark):
+    passage, notice = " ".join(f"p{i}" for i in range(60)), "all rights reserved by the owners"
+    rows = [(i, f"head {i}\n{notice}\nown {i}") for i in range(100)] + [(200, passage), (201, passage), (202, f"x\n{passage}\ny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert not sum(len(r.lines.spans) for r in remove_repeated_lines(docs).collect())
+    cut = remove_repeated_lines(docs, words=50, common_words=5, often=100).collect()
+    kept = {r.doc_id: r.lines.kept for r in cut}
+    assert sum(notice in t for t in kept.values()) == 1 and notice in kept[0]
+    assert (kept[200], kept[201], kept[202]) == (passage, "", "x\ny")
+
+
 def test_line_stage_keeps_columns(hard):
     out = deduplicate_lines(hard)
     assert out.columns == hard.columns and out.count() == hard.count()
