@@ -7,8 +7,9 @@ corpus says how much a term ``t`` reveals of an entity ``e``:
     disclosure = log(p(e | t) / p(e)) / log(1 / p(e))
 
 the share of the entity's information that the term carries: 1 if the term occurs only with the entity,
-0 if it tells nothing. Counted are different surroundings of the entity (copies of a text count once) and
-different documents with the term; an estimate needs ``support`` surroundings. A term whose disclosure
+0 if it tells nothing. Counted are different surroundings of the entity and different texts with the term, so
+copies of a text count once on both sides; an estimate needs ``support`` surroundings. The size of the corpus
+is that of all its rows: copies make an entity look rarer, which only raises a disclosure below 1. A term whose disclosure
 reaches ``generalise`` is replaced by its class wherever it occurs, from ``remove`` on it is taken out.
 The spans of the patterns always stay.
 
@@ -150,16 +151,29 @@ def _known(tokens: list[str], filter_: Bitmap) -> np.ndarray:
     return filter_.has(np.fromiter(map(term_hash, tokens), np.uint64, len(tokens)))
 
 
-def _frequencies(shared):
+def _frequencies(shared, copied):
+    """Texts with a term, summed; those of a text that may have copies elsewhere are rows with its hash."""
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            total: dict[str, int] = {}
-            for text in _texts(batch.column(0)):
+            total: dict[tuple[str, int | None], int] = {}
+            hashes = batch.column("k").to_numpy(zero_copy_only=False).astype(np.int64)
+            again, done = copied.value.has(hashes.view(np.uint64)).tolist(), set()
+            for text, k, repeats in zip(_texts(batch.column("t")), hashes.tolist(), again):
+                if repeats and k in done:
+                    continue
+                done.add(k)
                 tokens = list(set(_TOKEN.findall(text.lower())))
                 for i in np.flatnonzero(_known(tokens, shared.value)).tolist():
-                    total[tokens[i]] = total.get(tokens[i], 0) + 1
+                    key = tokens[i], k if repeats else None
+                    total[key] = total.get(key, 0) + 1
+            term, k = zip(*total) if total else ((), ())
             yield pa.RecordBatch.from_pydict(
-                {"term": pa.array(list(total), pa.string()), "n": pa.array(list(total.values()), pa.int64())}
+                {
+                    "term": pa.array(term, pa.string()),
+                    "k": pa.array(k, pa.int64()),
+                    "n": pa.array(list(total.values()), pa.int64()),
+                }
             )
 
     return emit
@@ -195,17 +209,26 @@ def disclosures(
     docs: DataFrame, text: Column, reach: int = 10, support: int = 3, threshold: float = 0.8
 ) -> DataFrame:
     """``term, disclosure`` of the terms that reach the threshold for some entity."""
-    body = docs.select(text.cast("string").alias("t"))
+    context = docs.sparkSession.sparkContext
+    body = docs.select(text.cast("string").alias("t"), text_hash(text.cast("string")).alias("k"))
     pairs = via_table(
-        body.mapInArrow(_pairs(reach), "entity string, place bigint, term string").distinct(), "surroundings"
+        body.select("t").mapInArrow(_pairs(reach), "entity string, place bigint, term string").distinct(), "surroundings"
     )
     counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
     candidates = via_table(counted, "candidates")
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("disclosure"))
     hashed = candidates.select("term").distinct().select(_term_hash_column(F.col("term")).alias("h"))
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(hashed, "h", FILTER_BITS))
-    frequency = body.mapInArrow(_frequencies(shared), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+    shared = context.broadcast(bitmap(hashed, "h", FILTER_BITS))
+    copies = body.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    copied = context.broadcast(bitmap(copies, "k", FILTER_BITS))
+    frequency = (
+        body.mapInArrow(_frequencies(shared, copied), "term string, k bigint, n bigint")
+        .groupBy("term", "k")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("term")
+        .agg(F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(1)).alias("n"))
+    )
     entities = pairs.groupBy("entity").agg(F.count_distinct("place").alias("mentions"))
     size = docs.count()
     information = F.log(F.lit(float(max(size, 2))) / F.col("mentions"))

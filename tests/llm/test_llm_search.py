@@ -116,6 +116,20 @@ def test_disclosing_terms(spark):
     assert out[301].private.text == "[EMAIL] Once"
 
 
+def test_copies_of_a_disclosing_text(spark):
+    rng = random.Random(5)
+
+    def words(n):
+        return " ".join(f"w{rng.randrange(200)}" for _ in range(n))
+
+    own = [f"{words(30)} zorblax {words(3)} anna@site.org {words(5)}" for _ in range(4)]
+    rows = [(i, t) for i, t in enumerate(own)] + [(10 + i, own[0]) for i in range(300)] + [(1000 + i, words(40)) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.term: r.disclosure for r in disclosures(docs, F.col("text")).collect()}
+    assert found == {"zorblax": 1.0}
+    assert all("zorblax" not in r.private.text for r in protect(docs).collect())
+
+
 def test_private_of_hard_rows(hard, none):
     rows = protect(hard, out="score").collect()
     for r in rows:
