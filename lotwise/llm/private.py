@@ -8,7 +8,9 @@ corpus says how much a term ``t`` reveals of an entity ``e``:
 
 the share of the entity's information that the term carries: 1 if the term occurs only with the entity,
 0 if it tells nothing. Counted are different surroundings of the entity and different texts with the term, so
-copies of a text count once on both sides; an estimate needs ``support`` surroundings. The size of the corpus
+copies of a text count once on both sides. From ``support`` surroundings on ``p(e | t)`` is the plain share,
+below it is the lower 95 % confidence bound of the share (Wilson), so an entity mentioned once or twice has
+terms too where the corpus is large enough to tell. The size of the corpus
 is that of all its rows: copies make an entity look rarer, which only raises a disclosure below 1. A term whose disclosure
 reaches ``generalise`` is replaced by its class wherever it occurs, from ``remove`` on it is taken out.
 The spans of the patterns always stay.
@@ -38,6 +40,7 @@ from lotwise.session import via_table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 FILTER_BITS = 24
+Z = 1.645  # one-sided 95 %
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 CLEANED = f"struct<base:{SPANS},terms:array<struct<term:string,start:int,end:int,disclosure:double>>,text:string>"
 
@@ -205,6 +208,13 @@ def _occurrences(shared):
     return emit
 
 
+def likely(both: Column, n: Column, support: int) -> Column:
+    """``both / n``, or its lower confidence bound where ``both`` is below ``support``."""
+    p, z2 = both / n, Z * Z
+    bound = (p + z2 / (2 * n) - Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+    return F.when(both >= support, p).otherwise(bound)
+
+
 def disclosures(
     docs: DataFrame, text: Column, reach: int = 10, support: int = 3, threshold: float = 0.8
 ) -> DataFrame:
@@ -214,7 +224,7 @@ def disclosures(
     pairs = via_table(
         body.select("t").mapInArrow(_pairs(reach), "entity string, place bigint, term string").distinct(), "surroundings"
     )
-    counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
+    counted = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both"))
     candidates = via_table(counted, "candidates")
     if candidates.isEmpty():
         return candidates.select("term", F.lit(0.0).alias("disclosure"))
@@ -233,7 +243,7 @@ def disclosures(
     size = docs.count()
     information = F.log(F.lit(float(max(size, 2))) / F.col("mentions"))
     # Surroundings can outnumber documents when an entity is mentioned often in one.
-    given = F.least(F.col("both") / F.greatest("n", "both"), F.lit(1.0))
+    given = likely(F.col("both"), F.greatest("n", "both"), support)
     scored = (
         candidates.join(entities, "entity")
         .join(frequency, "term")

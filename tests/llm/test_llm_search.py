@@ -130,6 +130,16 @@ def test_copies_of_a_disclosing_text(spark):
     assert all("zorblax" not in r.private.text for r in protect(docs).collect())
 
 
+def test_entities_mentioned_once(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"w{rng.randrange(200)}" for _ in range(30))) for i in range(3000)]
+    rows += [(5000, f"{rows[0][1]} zorblax anna@site.org w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {r.term: r.disclosure for r in disclosures(docs, F.col("text")).collect()}
+    assert set(found) == {"zorblax"}
+    assert math.isclose(found["zorblax"], 1 + math.log(1 / (1 + 1.645**2)) / math.log(3001))
+
+
 def test_private_of_hard_rows(hard, none):
     rows = protect(hard, out="score").collect()
     for r in rows:
