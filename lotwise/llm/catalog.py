@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import find_items, hit_words
+from lotwise.llm.jaccard import jaccard_classes
 from lotwise.llm.language import fit_languages, identify
 from lotwise.llm.lines import COMMON_WORDS, OFTEN, WORDS, remove_repeated_lines, removed_lines
 from lotwise.llm.mixing import mix_sources
@@ -263,3 +264,23 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 @query("op3_top_inner_products", TOP_SQL)
 def op3_top_inner_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+JACCARD_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS (SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [w]
+        ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: list_slice(w, i, i + 2))) END AS x FROM d),
+e AS MATERIALIZED (SELECT r, len(x) AS n, md5(array_to_string(unnest(x), ' ')) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b FROM e a JOIN e b ON a.g = b.g AND a.r < b.r AND 10 * a.n >= 9 * b.n AND 10 * b.n >= 9 * a.n
+      GROUP BY a.r, b.r HAVING 190 * count(*) >= 90 * (any_value(a.n) + any_value(b.n))),
+l AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL SELECT r, r FROM s),
+c AS (WITH RECURSIVE t(r, root) AS (SELECT r, r FROM s UNION SELECT l.b, t.root FROM t JOIN l ON l.a = t.r) SELECT r, root FROM t)
+SELECT s.doc_id, len(s.x)::BIGINT AS n_shingles, min(o.doc_id) AS component_id
+FROM s JOIN c ON c.r = s.r JOIN s o ON o.r = c.root GROUP BY s.r, s.doc_id, s.x
+"""
+
+
+@query("op11_jaccard", JACCARD_SQL)
+def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
