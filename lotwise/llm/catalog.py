@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lotwise.llm.conversations import repair
 from lotwise.llm.decontamination import find_items, hit_words
 from lotwise.llm.jaccard import jaccard_classes
 from lotwise.llm.language import fit_languages, identify
 from lotwise.llm.lines import COMMON_WORDS, OFTEN, WORDS, remove_repeated_lines, removed_lines
+from lotwise.llm.merkle import manifest
 from lotwise.llm.mixing import mix_sources
 from lotwise.llm.private import count_kind, protect, span_text
 from lotwise.llm.simhash import simhash_classes
@@ -284,3 +286,153 @@ FROM s JOIN c ON c.r = s.r JOIN s o ON o.r = c.root GROUP BY s.r, s.doc_id, s.x
 @query("op11_jaccard", JACCARD_SQL)
 def op11_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+# Unsigned CRC-32 of ASCII text: the table of 256 remainders, then a step per character.
+CRC_TABLE = """(SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    step = f"lambda c, b: xor(c >> 8, {{t}}[xor(c & 255, b) + 1])".format(t="crc.t")
+    return f"xor(list_reduce(list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT), {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+def _merkle_sql(levels: int, top_levels: int) -> str:
+    """Levels are unrolled: enough for ``8 ** levels`` rows of a language and ``8 ** top_levels`` languages."""
+
+    def lower(text: str) -> str:
+        return f"translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def leaf(text: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f})::VARCHAR || ':' || {f}, '-')" for f in fields) + ")"
+
+    def climb(name: str, first: str, key: str, count: int) -> list[str]:
+        steps = [f"{name}0 AS ({first})"]
+        for k in range(count):
+            run = f"PARTITION BY {key}, p // 8 ORDER BY p ROWS BETWEEN"
+            steps += [
+                f"{name}{k}s AS (SELECT *, CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} UNBOUNDED PRECEDING AND 1 PRECEDING), '') END AS l,"
+                f" CASE WHEN n > 1 THEN coalesce(string_agg(h, '') OVER ({run} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') END AS r FROM {name}{k})",
+                f"{name}{k + 1} AS (SELECT {key}, p // 8 AS p, any_value((n + 7) // 8) AS n, CASE WHEN any_value(n) > 1"
+                f" THEN sha256(string_agg(h, '' ORDER BY p)) ELSE any_value(h) END AS h FROM {name}{k} GROUP BY {key}, p // 8)",
+            ]
+        return steps
+
+    def fold(name: str, key: str, count: int, first: str) -> list[str]:
+        steps = [f"{name}f0 AS ({first})"]
+        for k in range(count):
+            steps.append(
+                f"{name}f{k + 1} AS (SELECT f.* EXCLUDE (p, proof, folded), f.p // 8 AS p, proof || coalesce(l || r, '') AS proof,"
+                f" CASE WHEN l IS NULL THEN folded ELSE sha256(l || folded || r) END AS folded"
+                f" FROM {name}f{k} f JOIN {name}{k}s s ON s.p = f.p AND s.{key} IS NOT DISTINCT FROM f.{key})"
+            )
+        return steps
+
+    steps = [
+        f"crc AS {CRC_TABLE}",
+        f"d AS (SELECT doc_id, lang, {leaf('text')} AS leaf, CASE WHEN {crc_sql('doc_id::VARCHAR')} % 3 = 0"
+        f" THEN {leaf(lower('text'))} ELSE {leaf('text')} END AS tampered FROM documents, crc)",
+        "o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM d)",
+        *climb("a", "SELECT lang, p, n, leaf AS h FROM o", "lang", levels),
+        f"u AS (SELECT 0 AS one, lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM a{levels})",
+        *climb("b", "SELECT one, p, n, h FROM u", "one", top_levels),
+        *fold("a", "lang", levels, "SELECT doc_id, lang, leaf, p, '' AS proof, tampered AS folded FROM o"),
+        *fold("b", "one", top_levels, f"SELECT f.* EXCLUDE (p), u.one, u.p, u.h AS subroot FROM af{levels} f JOIN u ON u.lang IS NOT DISTINCT FROM f.lang"),
+    ]
+    return (
+        "WITH " + ",\n".join(steps) + f"""
+SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h AS verified
+FROM bf{top_levels}, b{top_levels}"""
+    )
+
+
+MERKLE_SQL = _merkle_sql(levels=6, top_levels=2)
+
+
+@query("op12_merkle", MERKLE_SQL)
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One in three documents (by a checksum of the id) makes a version with its capitals lowered."""
+    docs = table(spark, sf_dir, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest(docs, fields, [*[F.col(f) for f in fields[:-1]], lowered], tampered)
+
+
+def _edits_sql(table: str) -> str:
+    """Costs and audits by state (start, system, user, assistant), with insertions before the next row."""
+    add = lambda s, n: f"{{'c': {s}.c + {2 * n}, 'a': {s}.a || '{'I' * n}'}}"
+    return (
+        f"SELECT * REPLACE (least(s2, {add('s0', 1)}, {add('s1', 1)}, {add('s3', 1)}) AS s2,"
+        f" least(s3, {add('s2', 1)}, {add('s0', 2)}, {add('s1', 2)}) AS s3) FROM {table}"
+    )
+
+
+def _repair_sql() -> str:
+    def edit(state: str, cost: str, initial: str) -> str:
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || {initial}}}"
+
+    def match(state: str, initial: str) -> str:
+        kept = f"CASE WHEN initial = '{initial}' THEN 0 ELSE 2 END + late + stop"
+        return edit(state, kept, f"CASE WHEN initial = '{initial}' THEN 'K' ELSE 'R' END")
+
+    none = "{'c': 1000000000::BIGINT, 'a': ''}"
+    same = "t.conv_id IS NOT DISTINCT FROM r.conv_id"
+    return f"""
+WITH RECURSIVE crc AS {CRC_TABLE},
+h AS (SELECT conv_id, turn, role, text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h
+      FROM conversations, crc),
+x AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, CASE WHEN h = 1 THEN ''
+        WHEN h = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+        unnest(range(CASE h WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM h),
+i AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS body, role[1] AS initial FROM x),
+f AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN body[-1] NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+        lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS two FROM i),
+r AS (SELECT *, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS late,
+        CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 ELSE 0 END AS stop FROM f),
+n AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps,
+        (count(*) FILTER (fault = 'blank'))::BIGINT AS blank, (count(*) FILTER (fault = 'duplicate'))::BIGINT AS duplicate,
+        (count(*) FILTER (fault = 'truncated'))::BIGINT AS truncated,
+        (count(*) FILTER (two NOT IN ('su', 'ua', 'au')))::BIGINT AS illegal, count(*) AS size FROM r GROUP BY conv_id),
+t(conv_id, i, s0, s1, s2, s3) AS (
+  SELECT conv_id, 0::BIGINT, {{'c': 0::BIGINT, 'a': ''}}, {none}, {none}, {none} FROM n
+  UNION ALL SELECT t.conv_id, r.i, {edit('s0', '3', "'D'")},
+    least({edit('s1', '3', "'D'")}, {edit('s0', "CASE WHEN initial = 's' THEN late + stop ELSE 1000000 END", "'K'")}),
+    least({edit('s2', '3', "'D'")}, {match('s0', 'u')}, {match('s1', 'u')}, {match('s3', 'u')}),
+    least({edit('s3', '3', "'D'")}, {match('s2', 'a')})
+  FROM ({_edits_sql('t')}) t JOIN r ON {same} AND r.i = t.i + 1),
+b AS (SELECT t.conv_id, least(s0, s3) AS best FROM ({_edits_sql('t')}) t JOIN n r ON {same} AND r.size = t.i),
+o AS (SELECT conv_id, unnest(string_split(best.a, '')) AS op, unnest(range(len(best.a))) AS k FROM b),
+p AS (SELECT *, count(*) FILTER (op <> 'I') OVER w AS i, count(*) FILTER (op <> 'D') OVER w AS place,
+        count(*) FILTER (op <> 'D') OVER (PARTITION BY conv_id) % 2 AS sys FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY k)),
+q AS (SELECT t.conv_id, sha256(string_agg(CASE op WHEN 'K' THEN role || ':' || text
+        WHEN 'R' THEN CASE (place - 1 - sys) % 2 WHEN 0 THEN 'user:' ELSE 'assistant:' END || text
+        WHEN 'I' THEN CASE (place - 1 - sys) % 2 WHEN 0 THEN 'user:' ELSE 'assistant:' END END, chr(10) ORDER BY k)) AS sha
+      FROM p t LEFT JOIN r ON {same} AND r.i = t.i AND op <> 'I' GROUP BY t.conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+  coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN b ON b.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
+@query("op13_repair", _repair_sql())
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damages one row in four by a checksum of its key, then repairs every conversation."""
+    rows = table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    rows = rows.withColumn("damage", F.crc32(key.cast("binary")) % 20)
+    how, text = F.col("damage"), F.coalesce("text", F.lit(" "))
+    damaged = rows.select(
+        "conv_id",
+        "turn",
+        F.when(how == 4, F.lit("user")).otherwise(F.col("role")).alias("role"),
+        F.when(how == 1, F.lit("")).when(how == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(how == 0, 0).when(how == 3, 2).otherwise(1).alias("times"),
+    )
+    return repair(damaged, times=F.col("times"))

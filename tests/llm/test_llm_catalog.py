@@ -17,7 +17,7 @@ from lotwise.session import via_table
 
 def test_every_operator_has_a_query():
     numbers = {int(re.match(r"op(\d+)_", name)[1]) for name in QUERIES}
-    assert numbers == set(range(1, 11))
+    assert numbers == set(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
     assert set(SQL) <= set(__spark_entry__.oracle_sql())
 
@@ -26,7 +26,7 @@ def test_every_operator_has_a_query():
 def test_equal_to_sql(spark, sf, name):
     frame = QUERIES[name](spark, sf)
     db = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     found = db.execute(SQL[name])
     names = [d[0] for d in found.description]
