@@ -1,24 +1,27 @@
 """Classes of texts whose sets of word n-grams are similar: an exact Jaccard self-join behind prefix filters.
 
 A document is the set of its distinct ``shingle``-word runs, as 64-bit hashes; fewer words are one shingle.
-Equal sets collapse to one before anything is compared. Two sets with ``percent`` % in common share an
-entry among the first ``n - ceil(percent * n / 100) + 1`` of each, in any fixed order; with rare entries
-first, few sets share one. Rarity is the count of an entry's slot in a table of ``2 ** slots`` counters over
-all documents: slots make ties, never errors, since any order is right.
+Two sets with ``percent`` % in common share an entry among the first ``n - ceil(percent * n / 100) + 1`` of each,
+in any fixed order. Entries stand in the order of the number of documents that have them, rare ones first, so
+most prefixes consist of entries that no other document has, and such a document is settled.
 
-Prefix entries that stand in one set only go after a grouped count. The rest are compared in rounds:
+The numbers are exact and cost two narrow shuffles: a slice of documents sends its entries, 32 bits each, to the
+part of the hash space they belong to; a part counts them and answers with those that stand elsewhere too. Parts
+hold ``PART_BYTES`` of text at any size of the corpus. The slice then knows the first entries of its documents
+and their positions, and shared prefix entries are compared in rounds:
 
 * In a leader round the members of an entry meet its leader, the set with the fewest rarer entries (among
   copies with edits of their own that is the least edited one), so a round has a row per member, not per
-  pair. Pairs that fail the length or positional filter go; the others are verified, each once.
-* Sets that verified links connect are one class. An entry whose members are all in one class is settled.
-* When little is left, or rounds no longer help, every remaining pair of an entry whose sets are in different
-  classes meets in an equality join on the entry and two length classes, behind the length and positional
-  filters and not yet verified. An entry with very many members is cut into blocks that meet two by two.
+  pair. Pairs that fail the length, positional or suffix filter go; the others are verified, each once.
+* Sets around the same middle of verified links are one class. An entry whose members are all in one is settled.
+* When little is left, or a round has not halved the pairs between classes, every remaining pair of an entry whose sets are in different
+  classes meets in an equality join on the entry and two length classes, behind the filters and not yet
+  verified. An entry with very many members is cut into blocks that meet two by two.
 
 So pairs inside a class are never all formed, and no pair that could connect two classes is left out.
-Verification fetches both sets (hot ones are dealt into parts), bounds the overlap by the sizes of their
-sixteen hash ranges (the suffix filter) and counts it only where that bound suffices.
+The suffix filter compares the parities of sizes in ``WIDTH`` hash ranges: no two sets differ in fewer entries than
+in parities. Verification fetches both sets, bounds the overlap by their sizes in sixteen hash ranges and counts it
+only where that bound suffices.
 
 Defined cases: a missing or wordless text has no shingles and links with nothing, its class is its own id; a
 missing ``doc_id`` has a class but never names it; repeated rows are all kept; no rows give no rows; other
@@ -32,25 +35,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.joins import lookup_join
 from lotwise.llm.components import components
 from lotwise.llm.substrings import bitmap
 from lotwise.llm.text import FIRST, LOWER, SECOND, THIRD, Words, mixed, rolling, slices
 from lotwise.session import via_table
 
-SLOTS = 22
+PART_BYTES = 8 << 20
 FILTER_BITS = 26
 LEADER_ROUNDS = 4
 BLOCK = 512
-_PAGE = 1 << 12
+WIDTH = 512
 _LOWER = np.frombuffer(LOWER, np.uint8)
-
-
-def _least_shared(n: int, percent: int) -> int:
-    return -(-percent * n // 100)
+_DOCUMENT, _SLICE, _ENTRIES = range(3)
 
 
 def shingle_sets(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,98 +76,141 @@ def _set_id(own: np.ndarray) -> int:
     return int(mixed(total).view(np.int64)[0])
 
 
-def _pages(counts: np.ndarray) -> pa.RecordBatch:
-    """Counters as rows of a page each, in the narrowest type that holds them; empty pages are left out."""
-    own = counts.reshape(-1, _PAGE)
-    used = np.flatnonzero(own.any(axis=1))
-    packed = [own[p].astype(np.min_scalar_type(int(own[p].max()))) for p in used]
-    return pa.RecordBatch.from_pydict(
-        {
-            "page": pa.array(used.astype(np.int32)),
-            "width": pa.array([x.itemsize for x in packed], pa.int32()),
-            "cells": pa.array([x.tobytes() for x in packed], pa.binary()),
-        }
+def _rows(kind: int, schema: pa.Schema, size: int, **columns) -> pa.RecordBatch:
+    """A batch of one kind of rows; columns that are not given are missing."""
+    columns["kind"] = pa.array(np.full(size, kind, np.int32))
+    return pa.RecordBatch.from_arrays(
+        [columns[f.name].cast(f.type) if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema
     )
 
 
-_COUNTS = "page int, width int, cells binary"
-
-
-def _added(total: np.ndarray, batch: pa.RecordBatch) -> None:
-    pages = total.reshape(-1, _PAGE)
-    for page, width, cells in zip(*(batch.column(c).to_pylist() for c in ("page", "width", "cells"))):
-        pages[page] += np.frombuffer(cells, f"u{width}")
-
-
-def rarity(docs: DataFrame, text: Column, shingle: int, slots: int = SLOTS) -> np.ndarray:
-    """Documents per slot of the shingle hashes, over all documents; a fixed ``2 ** slots`` counters."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, waiting, size = np.zeros(1 << slots, np.int64), [], 0
-        for batch in batches:
-            for _, own in shingle_sets(batch.column("t"), shingle):
-                waiting.append((own >> np.uint64(64 - slots)).astype(np.int64))
-                size += len(own)
-                if size > 1 << 20:
-                    total += np.bincount(np.concatenate(waiting), minlength=1 << slots)
-                    waiting, size = [], 0
-        if waiting:
-            total += np.bincount(np.concatenate(waiting), minlength=1 << slots)
-        yield _pages(total)
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << slots, np.int64)
-        for batch in batches:
-            _added(total, batch)
-        yield _pages(total)
-
-    parts = docs.select(text.cast("string").alias("t")).mapInArrow(count, _COUNTS)
-    total = np.zeros(1 << slots, np.int64)
-    for batch in parts.repartition("page").mapInArrow(merge, _COUNTS).toArrow().to_batches():
-        _added(total, batch)
-    return np.minimum(total, (1 << 32) - 1).astype(np.uint32)
-
-
-def _prints(docs: DataFrame, text: Column, doc_id: Column, shingle: int, percent: int, slots: int, counts) -> DataFrame:
-    """``doc_id, id, n, prefix`` for every document; the prefix is empty where no different set can be similar."""
+def _sent(docs: DataFrame, text: Column, doc_id: Column, shingle: int, percent: int, parts: int) -> DataFrame:
+    """Rows of three kinds: every document with the id and size of its set; every slice of documents with the ids
+    and sizes of its different sets; and for every slice and part the entries that belong there, with their number
+    per set."""
     kept = docs.select(doc_id.alias("doc_id"), text.cast("string").alias("t"))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rare = counts.value
+        number, schema = TaskContext.get().partitionId() << 32, None
         for batch in batches:
-            ids, sizes, prefixes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64), [None] * batch.num_rows
-            for row, own in shingle_sets(batch.column("t"), shingle):
-                n = sizes[row] = len(own)
-                ids[row] = _set_id(own)
-                if n * (100 - percent) >= percent:
-                    order = np.argsort(rare[(own >> np.uint64(64 - slots)).astype(np.int64)], kind="stable")
-                    prefixes[row] = own[order[: n - _least_shared(n, percent) + 1]].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids), pa.array(sizes), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "id", "n", "prefix"],
-            )
+            if schema is None:
+                schema = pa.schema([("kind", pa.int32()), ("doc_id", batch.schema.field("doc_id").type), *_SENT])
+            ids, sizes = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for first, sets in _sliced(batch.column("t"), shingle):
+                own: dict[int, np.ndarray] = {}
+                for row, entries in enumerate(sets, first):
+                    n = sizes[row] = len(entries)
+                    ids[row] = _set_id(entries)
+                    if n * (100 - percent) >= percent:
+                        own[ids[row]] = entries
+                if not own:
+                    continue
+                number += 1
+                lengths = np.array([len(x) for x in own.values()], np.int64)
+                names = np.array(list(own), np.int64)
+                yield _rows(
+                    _SLICE, schema, 1, slice=pa.array([number]), part=pa.array([number % parts]),
+                    sets=pa.array([names.tobytes()]), entries=pa.array([lengths.tobytes()]),
+                )
+                entries, of = np.concatenate(list(own.values())), np.repeat(np.arange(len(own)), lengths)
+                part = ((entries >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                low, of = entries[order].astype(np.uint32), of[order].astype(np.uint32)
+                used, begins = np.unique(part[order], return_index=True)
+                ends = [*begins[1:].tolist(), len(part)]
+                cut = list(zip(begins.tolist(), ends))
+                yield _rows(
+                    _ENTRIES, schema, len(used), slice=pa.array(np.full(len(used), number)), part=pa.array(used),
+                    sets=pa.array([np.bincount(of[a:b], minlength=len(own)).astype(np.uint32).tobytes() for a, b in cut]),
+                    entries=pa.array([low[a:b].tobytes() for a, b in cut]),
+                )
+            if batch.num_rows:
+                yield _rows(
+                    _DOCUMENT, schema, batch.num_rows, doc_id=batch.column("doc_id"), id=pa.array(ids), n=pa.array(sizes),
+                    part=pa.array(np.arange(batch.num_rows) % parts),
+                )
+
+    return kept.mapInArrow(emit, f"kind int, doc_id {kept.schema['doc_id'].dataType.simpleString()}, {_SENT_DDL}")
+
+
+_SENT = [
+    ("id", pa.int64()), ("n", pa.int64()), ("slice", pa.int64()), ("part", pa.int64()),
+    ("sets", pa.binary()), ("entries", pa.binary()), ("counts", pa.binary()),
+]
+_SENT_DDL = "id bigint, n bigint, slice bigint, part bigint, sets binary, entries binary, counts binary"
+
+
+def _sliced(column: pa.Array, shingle: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """``(first row, sets)`` of consecutive rows with a bounded number of entries."""
+    first, sets, size = 0, [], 0
+    for row, own in shingle_sets(column, shingle):
+        sets.append(own)
+        size += len(own)
+        if size > 1 << 19:
+            yield first, sets
+            first, sets, size = row + 1, [], 0
+    if sets:
+        yield first, sets
+
+
+def _counted(sent: DataFrame, parts: int) -> DataFrame:
+    """The same rows, with the entries cut down to those that several sets or slices have, and their numbers."""
 
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return kept.mapInArrow(emit, f"doc_id {kind}, id bigint, n bigint, prefix array<bigint>")
-
-
-def _entries(sets: DataFrame, known=None) -> DataFrame:
-    """``token, pos, id, n``: the prefix entries, those in the bitmap if there is one."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            lists = batch.column("prefix")
-            lengths = np.asarray(lists.value_lengths())
-            token = np.asarray(lists.flatten())
-            row = np.repeat(np.arange(len(lengths)), lengths)
-            pos = np.arange(len(token)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            at = np.arange(len(token)) if known is None else np.flatnonzero(known.value.has(token.view(np.uint64)))
-            ids, sizes = np.asarray(batch.column("id")), np.asarray(batch.column("n"))
-            yield pa.RecordBatch.from_pydict(
-                {"token": pa.array(token[at]), "pos": pa.array(pos[at]), "id": pa.array(ids[row[at]]), "n": pa.array(sizes[row[at]])}
-            )
-
-    return sets.mapInArrow(emit, "token bigint, pos bigint, id bigint, n bigint")
+            schema = batch.schema
+            kind = np.asarray(batch.column("kind"))
+            rest = batch.filter(pa.array(kind != _ENTRIES))
+            if rest.num_rows:
+                yield rest
+            found = batch.filter(pa.array(kind == _ENTRIES))
+            for number, part, sets, entries in zip(*(found.column(c).to_pylist() for c in ("slice", "part", "sets", "entries"))):
+                held.setdefault(part, []).append((number, np.frombuffer(sets, np.uint32), np.frombuffer(entries, np.uint32)))
+        for part, messages in held.items():
+            every, numbers = np.unique(np.concatenate([m[2] for m in messages]), return_counts=True)
+            numbers = np.minimum(numbers, (1 << 32) - 1).astype(np.uint32)
+            out = []
+            for number, sizes, entries in messages:
+                times = numbers[np.searchsorted(every, entries)]
+                at = np.flatnonzero(times > 1)
+                if len(at):
+                    of = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+                    out.append((number, of[at].tobytes(), entries[at].tobytes(), times[at].tobytes()))
+            if out:
+                columns = [pa.array(c) for c in zip(*out)]
+                yield _rows(
+                    _ENTRIES, schema, len(out), slice=columns[0], part=pa.array(np.full(len(out), part)),
+                    sets=columns[1], entries=columns[2], counts=columns[3],
+                )
+
+    return sent.repartition(parts, "part").mapInArrow(count, sent.schema)
+
+
+def _prefixes(counted: DataFrame, percent: int) -> DataFrame:
+    """``token, pos, id, n``: the prefix entries that stand in other documents too."""
+
+    def first(table: pa.Table) -> pa.Table:
+        ids = sizes = np.empty(0, np.int64)
+        of, token, times = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for kind, part, sets, entries, counts in zip(*(table.column(c).to_pylist() for c in ("kind", "part", "sets", "entries", "counts"))):
+            if kind == _SLICE:
+                ids, sizes = np.frombuffer(sets, np.int64), np.frombuffer(entries, np.int64)
+            else:
+                of.append(np.frombuffer(sets, np.uint32).astype(np.int64))
+                token.append(np.frombuffer(entries, np.uint32).astype(np.int64) | (part << 32))
+                times.append(np.frombuffer(counts, np.uint32).astype(np.int64))
+        of, token, times = map(np.concatenate, (of, token, times))
+        order = np.lexsort((token, times, of))
+        of, token = of[order], token[order]
+        shared = np.bincount(of, minlength=len(sizes))
+        # Entries of no other document come first; they take places but can meet nobody.
+        pos = np.arange(len(of)) - (np.cumsum(shared) - shared)[of] + (sizes - shared)[of]
+        prefix = sizes - -(-percent * sizes // 100) + 1
+        at = np.flatnonzero(pos < prefix[of])
+        return pa.table({"token": token[at], "pos": pos[at], "id": ids[of[at]], "n": sizes[of[at]]})
+
+    return counted.groupBy("slice").applyInArrow(first, "token bigint, pos bigint, id bigint, n bigint")
 
 
 def _needed(percent: int) -> Column:
@@ -176,28 +219,44 @@ def _needed(percent: int) -> Column:
 
 
 def _possible(percent: int) -> Column:
-    """Length filter, and positional filter at a shared entry (``pos`` of ``n``, ``at`` of ``m``)."""
+    """Length filter, positional filter at a shared entry (``pos`` of ``n``, ``at`` of ``m``), and suffix filter: the
+    sets differ in at least as many entries as their ``WIDTH`` parities (``s0 ..``, ``t0 ..``) do."""
     length = F.expr(f"100 * least(n, m) >= {percent} * greatest(n, m)")
-    return length & (F.expr("least(pos, at) + 1 + least(n - pos - 1, m - at - 1)") >= _needed(percent))
+    place = F.expr("least(pos, at) + 1 + least(n - pos - 1, m - at - 1)") >= _needed(percent)
+    apart = F.expr(" + ".join(f"bit_count(s{k} ^ t{k})" for k in range(WIDTH // 64)))
+    return length & place & (apart <= F.expr("n + m") - 2 * _needed(percent))
+
+
+def _parities(own: np.ndarray) -> np.ndarray:
+    """For each of ``WIDTH`` hash ranges whether it holds an odd number of entries, as 64-bit words."""
+    slots = (own >> np.uint64(64 - WIDTH.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(slots, minlength=WIDTH).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+_BITS = [f"s{k}" for k in range(WIDTH // 64)]
+_OTHER_BITS = [f"t{k}" for k in range(WIDTH // 64)]
 
 
 def _wanted_sets(docs: DataFrame, text: Column, shingle: int, ids: DataFrame) -> DataFrame:
-    """``id, own``: the sorted hashes of the sets named in ``ids`` (a column ``id``), a row per set."""
+    """``id, own, s0 ..``: sorted hashes and parities of the sets named in ``ids`` (a column ``id``), a row per set."""
     known = docs.sparkSession.sparkContext.broadcast(bitmap(ids, "id", FILTER_BITS))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[int] = set()  # copies in one task come out once
         for batch in batches:
-            names, sets = [], []
+            names, sets, bits = [], [], [np.empty((0, len(_BITS)), np.int64)]
             for _, own in shingle_sets(batch.column("t"), shingle):
                 name = _set_id(own)
                 if name not in done and known.value.has(np.array([name]).view(np.uint64))[0]:
                     done.add(name)
                     names.append(name)
                     sets.append(own.tobytes())
-            yield pa.RecordBatch.from_pydict({"id": pa.array(names, pa.int64()), "own": pa.array(sets, pa.binary())})
+                    bits.append(_parities(own)[None])
+            columns = dict(zip(_BITS, map(pa.array, np.concatenate(bits).T.copy())))
+            yield pa.RecordBatch.from_pydict({"id": pa.array(names, pa.int64()), "own": pa.array(sets, pa.binary()), **columns})
 
-    found = docs.select(text.cast("string").alias("t")).mapInArrow(emit, "id bigint, own binary")
+    schema = "id bigint, own binary, " + ", ".join(f"{c} bigint" for c in _BITS)
+    found = docs.select(text.cast("string").alias("t")).mapInArrow(emit, schema)
     return found.join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
 
 
@@ -222,66 +281,36 @@ def _linked(percent: int):
     return similar
 
 
-def _attach(pairs: DataFrame, sets: DataFrame, key: str) -> DataFrame:
-    """``pairs`` with the set of ``key``; a key in many pairs is dealt into parts, its set goes to each."""
-    other = "b" if key == "a" else "a"
-    keys = pairs.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
-    keys = via_table(keys, "keys")
-    own = sets.select(F.col("id").alias(key), F.col("own").alias(f"own_{key}"))
-    own = lookup_join(own, keys, [key], "inner", spread_by=F.xxhash64(key))
-    own = own.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    crowded = keys.where("parts > 1").withColumnRenamed("parts", "_of")
-    part = F.pmod(F.xxhash64(other), F.coalesce("_of", F.lit(1))).cast("int")
-    dealt = lookup_join(pairs, crowded, [key], spread_by=F.xxhash64(other)).withColumn("part", part).drop("_of")
-    return dealt.join(own, [key, "part"]).drop("part")
-
-
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``a, b, linked`` of distinct pairs."""
-    both = _attach(_attach(pairs, sets, "a"), sets, "b")
-    return both.select("a", "b", _linked(percent)("own_a", "own_b").alias("linked"))
-
-
-def _unled(members: DataFrame, leaders: DataFrame | None, classes: DataFrame | None) -> DataFrame:
-    """The members whose class has not led their entry yet."""
-    if leaders is None or classes is None:
-        return members
-    led = lookup_join(leaders, classes.withColumnRenamed("node", "id"), ["id"])
-    led = led.select("token", F.coalesce("root", "id").alias("root")).distinct().withColumn("led", F.lit(True))
-    return lookup_join(members, led, ["token", "root"], spread_by=F.xxhash64("id")).where("led IS NULL").drop("led")
+    first, then = (sets.select(F.col("id").alias(k), F.col("own").alias(f"own_{k}")) for k in "ab")
+    return pairs.join(first, "a").join(then, "b").select("a", "b", _linked(percent)("own_a", "own_b").alias("linked"))
 
 
 def _leaders(members: DataFrame) -> DataFrame:
-    """``token, id, at, m, lead_root``: the member of each entry with the fewest rarer entries."""
-    best = members.groupBy("token").agg(F.min(F.struct("pos", "n", "id", "root")).alias("best"))
-    return best.select(
-        "token", F.col("best.id").alias("id"), F.col("best.pos").alias("at"), F.col("best.n").alias("m"), F.col("best.root").alias("lead_root")
-    )
+    """``token, lead, at, m, lead_root, t0 ..``: the member of each entry with the fewest rarer entries."""
+    best = members.groupBy("token").agg(F.min(F.struct("pos", "n", "id", "root", *_BITS)).alias("best"))
+    names = dict(zip(["id", "pos", "n", "root", *_BITS], ["lead", "at", "m", "lead_root", *_OTHER_BITS]))
+    return best.select("token", *[F.col(f"best.{c}").alias(name) for c, name in names.items()])
 
 
 def _pair(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _led(members: DataFrame, leaders: DataFrame, percent: int) -> DataFrame:
-    """Each member with its entry's leader, if that is of another class and passes the filters."""
-    met = lookup_join(members, leaders.withColumnRenamed("id", "lead"), ["token"], "inner", spread_by=F.xxhash64("id"))
-    return met.where("root <> lead_root").where(_possible(percent)).select(*_pair("id", "lead")).distinct()
-
-
 def _crossing(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """All pairs of an entry whose sets are in different classes, behind the filters: an equality join by entry,
     length class (a set also visits the class below its own) and, in large entries, pairs of blocks."""
     # Sets that are similar enough differ by one length class at most.
     step = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.lit(0)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = lookup_join(members, sizes.select("token", "size"), ["token"], spread_by=F.xxhash64("id"))
+    rows = members.join(sizes.select("token", "size"), "token")
     rows = rows.withColumn("step", step).withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = rows.select("token", "id", "n", "pos", "root", F.col("step").alias("meet"), F.col("own").alias("x"), every.alias("y"))
+    left = rows.select("token", "id", "n", "pos", "root", *_BITS, F.col("step").alias("meet"), F.col("own").alias("x"), every.alias("y"))
     right = rows.select(
         "token", "step", F.col("id").alias("other"), F.col("n").alias("m"), F.col("pos").alias("at"),
-        F.col("root").alias("other_root"), every.alias("x"), F.col("own").alias("y"),
+        F.col("root").alias("other_root"), *[F.col(a).alias(b) for a, b in zip(_BITS, _OTHER_BITS)], every.alias("x"), F.col("own").alias("y"),
     )
     right = right.withColumn("meet", F.explode(F.array("step", F.col("step") - 1))).drop("step")
     return (
@@ -292,28 +321,35 @@ def _crossing(members: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _near_classes(links: DataFrame) -> DataFrame:
+    """``id, root``: sets with one root are connected; it need not be all of a class. Each set goes to the
+    neighbour with most links (itself counts), then that one's choice: two steps that end in the middle of a crowd."""
+    nodes = links.select(F.explode(F.array("a", "b")).alias("a")).distinct()
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(nodes.withColumn("b", F.col("a")))
+    both = via_table(both.distinct(), "both")
+    degree = both.groupBy("b").agg(F.count(F.lit(1)).alias("degree"))
+    best = both.join(degree, "b").groupBy("a").agg(F.max(F.struct("degree", "b"))["b"].alias("first"))
+    best = via_table(best, "first")
+    then = best.select(F.col("a").alias("first"), F.col("first").alias("root"))
+    return best.join(then, "first").select(F.col("a").alias("id"), "root")
+
+
 def jaccard_links(
-    docs: DataFrame, prints: DataFrame, text: Column, shingle: int, percent: int, rounds: int = LEADER_ROUNDS
+    docs: DataFrame, entries: DataFrame, text: Column, shingle: int, percent: int, rounds: int = LEADER_ROUNDS
 ) -> DataFrame:
-    """Verified links ``a, b`` between different sets (``id`` of ``prints``) that connect every class."""
+    """Verified links ``a, b`` between the ids of different sets that connect every class (``entries``: their prefixes)."""
     spark = docs.sparkSession
-    sets = via_table(
-        prints.where("prefix IS NOT NULL").groupBy("id").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")), "sets"
-    )
-    shared = via_table(_entries(sets).groupBy("token").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "tokens")
-    known = spark.sparkContext.broadcast(bitmap(shared, "token", FILTER_BITS))
-    # The bitmap lets a few entries of one member pass; they have one class and are settled at once.
-    members = via_table(_entries(sets, known), "members")
-    full = via_table(_wanted_sets(docs, text, shingle, via_table(members.select("id").distinct(), "wanted")), "full")
+    met = entries.groupBy("token").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x < y").select("token")
+    members = via_table(entries.join(met, "token").distinct(), "members")
+    full = via_table(_wanted_sets(docs, text, shingle, members.select("id").distinct()), "full")
+    members = via_table(members.join(full.drop("own"), "id"), "members")
     tried = spark.createDataFrame([], "a bigint, b bigint, linked boolean")
-    classes = leaders = None
+    classes, led, before = None, None, None
     for turn in range(rounds + 1):
-        root = F.col("id")
-        rooted = members
-        if classes is not None:
-            rooted = lookup_join(members, classes.withColumnRenamed("node", "id"), ["id"])
-            root = F.coalesce("root", "id")
-        rooted = via_table(rooted.withColumn("root", root), "rooted")
+        if classes is None:
+            rooted = members.withColumn("root", F.col("id"))
+        else:
+            rooted = via_table(members.join(classes, "id", "left").withColumn("root", F.coalesce("root", "id")), "rooted")
         # What is left: the entries whose members are in several classes.
         by_class = rooted.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
         sizes = by_class.groupBy("token").agg(F.sum("k").alias("size"), F.sum(F.expr("k * k")).alias("inside"))
@@ -321,24 +357,30 @@ def jaccard_links(
         pairs, rows = sizes.agg(F.sum(F.expr("(size * size - inside) div 2")), F.sum("size")).first()
         if not pairs:
             break
-        left = lookup_join(rooted, sizes.select("token"), ["token"], "inner", spread_by=F.xxhash64("id"))
-        last = turn == rounds or pairs <= 2 * rows
+        left = rooted.join(sizes.select("token"), "token")
+        last = turn == rounds or pairs <= 2 * rows or (before is not None and 2 * pairs > before)
+        before = pairs
         if last:
             found = _crossing(left, sizes, percent)
         else:
-            now = via_table(_leaders(_unled(left, leaders, classes)), "leaders")
-            found = _led(left, now, percent)
-            leaders = now.select("token", "id") if leaders is None else leaders.unionByName(now.select("token", "id"))
-        found = via_table(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+            free = left
+            if led is not None:
+                # Classes that have led an entry do not lead it again.
+                done = led.join(classes.withColumnRenamed("id", "lead"), "lead", "left")
+                free = left.join(done.select("token", F.coalesce("root", "lead").alias("root")).distinct(), ["token", "root"], "left_anti")
+            now = via_table(_leaders(free), "leaders")
+            led = now.select("token", "lead") if led is None else led.unionByName(now.select("token", "lead"))
+            found = left.join(now, "token").where(F.expr("root <> lead_root") & _possible(percent)).select(*_pair("id", "lead")).distinct()
+        found = found.join(tried, ["a", "b"], "left_anti") if turn else found
         tried = via_table(tried.unionByName(_verified(found, full, percent)), "verified")
         if last:
             break
-        classes = components(tried.where("linked").select("a", "b"))
+        classes = via_table(_near_classes(tried.where("linked").select("a", "b")), "near")
     return tried.where("linked").select("a", "b")
 
 
 def jaccard_classes(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, percent: int = 90, slots: int = SLOTS
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3, percent: int = 90
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id``: one row per document, the smallest id reachable by links.
 
@@ -347,10 +389,11 @@ def jaccard_classes(
     if not 1 <= percent <= 100:
         raise ValueError("percent must be 1 to 100")
     body = F.col(f"`{text}`")
-    counts = docs.sparkSession.sparkContext.broadcast(rarity(docs, body, shingle, slots))
-    prints = via_table(_prints(docs, body, F.col(f"`{doc_id}`"), shingle, percent, slots, counts), "prints")
-    links = jaccard_links(docs, prints, body, shingle, percent)
-    found = components(links)
+    parts = 1 + (docs.agg(F.sum(F.octet_length(body.cast("string")))).first()[0] or 0) // PART_BYTES
+    counted = via_table(_counted(_sent(docs, body, F.col(f"`{doc_id}`"), shingle, percent, parts), parts), "counted")
+    entries = via_table(_prefixes(counted.where(f"kind <> {_DOCUMENT}"), percent), "entries")
+    prints = counted.where(f"kind = {_DOCUMENT}").select("doc_id", "id", "n")
+    found = components(jaccard_links(docs, entries, body, shingle, percent))
     least = prints.where("n > 0").groupBy("id").agg(F.min("doc_id").alias("least"))
     rooted = via_table(
         least.join(found, F.col("id") == F.col("node"), "left").select("id", "least", F.coalesce("root", "id").alias("root")), "roots"
