@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from lotwise.functions import quantiles
 from lotwise.functions.quantiles import exact_quantiles, grouped_quantiles, ranks
 
 
@@ -72,3 +73,24 @@ def test_grouped_with_a_hot_group(spark):
 def test_empty_and_all_missing(spark):
     df = spark.createDataFrame([(None,), (None,)], "v double")
     assert exact_quantiles(df, ["v"], [0.5]) == {"v": [None]}
+
+
+@pytest.mark.parametrize("setting,value", [("MANY", 10), ("MARGIN", 0.0), ("SKETCH", 16)])
+def test_any_sketch_leads_to_the_same_values(spark, monkeypatch, setting, value):
+    """Bins first, brackets that miss their rank, a coarse sketch: only the work differs."""
+    monkeypatch.setattr(quantiles, setting, value)
+    for kind in ("uniform", "ties", "skewed"):
+        df, rows = frame(spark, kind)
+        probs = [0.0, 0.25, 0.5, 0.993, 1.0]
+        want = np.quantile([v for _, v in rows if v is not None], probs)
+        assert np.allclose(exact_quantiles(df, ["v"], probs)["v"], want, rtol=1e-12)
+
+
+@pytest.mark.parametrize("many", [10, 1 << 22])
+def test_three_passes_at_most(spark, monkeypatch, many):
+    """The search by bins, which passes over the rows as often as it takes, has nothing left to do."""
+    monkeypatch.setattr(quantiles, "MANY", many)
+    monkeypatch.setattr(quantiles, "bin_of", None)
+    df, rows = frame(spark, "skewed", 30000)
+    want = np.quantile([v for _, v in rows if v is not None], [0.1, 0.5, 0.9])
+    assert np.allclose(exact_quantiles(df, ["v"], [0.1, 0.5, 0.9])["v"], want, rtol=1e-12)
