@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark import keyword_only
-from pyspark.ml import Estimator, PipelineModel, Transformer
+from pyspark.ml import Estimator, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.param import Param, Params, TypeConverters
-from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasOutputCol, HasPredictionCol
+from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasPredictionCol
 from pyspark.ml.regression import (
     DecisionTreeRegressor,
     GBTRegressor,
@@ -25,7 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalar import col, hash_bucket
+from lotwise.operators.boosting import BoostedTrees
 from lotwise.operators.encoding import FEATURES
+from lotwise.operators.extra_trees import ExtraTrees
+from lotwise.operators.kernel import KernelRegressor
 from lotwise.operators.knn import KnnRegressor
 from lotwise.operators.splits import LOG_TARGET
 from lotwise.schema import ID
@@ -64,15 +64,20 @@ class PenalizedLinear(Estimator, _Columns, DefaultParamsReadable, DefaultParamsW
         self._setDefault(alpha=1.0, l1Ratio=0.0, summed=False, maxIter=1000)
         self._set(**self._input_kwargs)
 
+    def penalties(self, n: float) -> tuple[float, float]:
+        """The absolute and the squared penalty per row."""
+        alpha = self.getOrDefault(self.alpha) / (n if self.getOrDefault(self.summed) else 1)
+        ratio = self.getOrDefault(self.l1Ratio)
+        return alpha * ratio, alpha * (1 - ratio)
+
     def _fit(self, df: DataFrame) -> LinearRegressionModel:
         label = col(self.getLabelCol())
         # A dense vector's length is not in the schema of a parquet table: read one row.
         size = F.first(F.size(vector_to_array(self.getFeaturesCol())))
         n, pop, samp, p = df.agg(F.count(label), F.stddev_pop(label), F.stddev_samp(label), size).first()
-        alpha = self.getOrDefault(self.alpha) / (n if self.getOrDefault(self.summed) else 1)
-        ratio = self.getOrDefault(self.l1Ratio)
         normal = p <= NORMAL_SOLVER_LIMIT
-        l1, l2 = alpha * ratio, alpha * (1 - ratio) * (pop if normal else samp)
+        l1, l2 = self.penalties(n)
+        l2 *= pop if normal else samp
         penalty = l1 + l2
         return LinearRegression(
             **self._columns(),
@@ -85,75 +90,6 @@ class PenalizedLinear(Estimator, _Columns, DefaultParamsReadable, DefaultParamsW
         ).fit(df)
 
 
-class RandomFourier(Transformer, HasOutputCol, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
-    """``cos(w x + b)`` columns that approximate an RBF kernel. The weights follow from the seed."""
-
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-    size = Param(Params._dummy(), "size", "output columns", TypeConverters.toInt)
-    gamma = Param(Params._dummy(), "gamma", "kernel width", TypeConverters.toFloat)
-    inputs = Param(Params._dummy(), "inputs", "input columns", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, featuresCol=FEATURES, outputCol="fourier", seed=42, size=256, gamma=1.0, inputs=1):
-        super().__init__()
-        self._setDefault(featuresCol=FEATURES, outputCol="fourier", seed=42, size=256, gamma=1.0, inputs=1)
-        self._set(**self._input_kwargs)
-
-    def _transform(self, df: DataFrame) -> DataFrame:
-        rng = np.random.default_rng(self.getOrDefault(self.seed))
-        size = self.getOrDefault(self.size)
-        w = rng.normal(0, math.sqrt(2 * self.getOrDefault(self.gamma)), (self.getOrDefault(self.inputs), size))
-        b = rng.uniform(0, 2 * math.pi, size)
-        scale = math.sqrt(2 / size)
-
-        @F.pandas_udf("array<double>")
-        def waves(x: pd.Series) -> pd.Series:
-            return pd.Series(list(scale * np.cos(np.stack(x.to_list()) @ w + b))) if len(x) else pd.Series([], dtype=object)
-
-        return df.withColumn(self.getOutputCol(), array_to_vector(waves(vector_to_array(self.getFeaturesCol()))))
-
-
-class KernelRegressor(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
-    """Stand-in for an epsilon-insensitive RBF machine: random Fourier columns and a Huber loss."""
-
-    seed = Param(Params._dummy(), "seed", "seed", TypeConverters.toInt)
-    C = Param(Params._dummy(), "C", "inverse penalty", TypeConverters.toFloat)
-    size = Param(Params._dummy(), "size", "Fourier columns", TypeConverters.toInt)
-
-    @keyword_only
-    def __init__(self, *, C=10.0, size=256, seed=42):
-        super().__init__()
-        self._setDefault(C=10.0, size=256, seed=42)
-        self._set(**self._input_kwargs)
-
-    def _fit(self, df: DataFrame) -> PipelineModel:
-        x = vector_to_array(self.getFeaturesCol())
-        # Width rule: 1 / (columns * variance of all cells), from sums in one pass.
-        rows = df.select(
-            F.size(x).alias("p"),
-            F.aggregate(x, F.lit(0.0), lambda a, v: a + v).alias("s"),
-            F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v).alias("ss"),
-        )
-        n, p, s, ss = rows.agg(F.count("p"), F.max("p"), F.sum("s"), F.sum("ss")).first()
-        variance = max(ss / (n * p) - (s / (n * p)) ** 2, 1e-12)
-        waves = RandomFourier(
-            featuresCol=self.getFeaturesCol(),
-            seed=self.getOrDefault(self.seed),
-            size=self.getOrDefault(self.size),
-            gamma=1.0 / (p * variance),
-            inputs=int(p),
-        )
-        line = LinearRegression(
-            featuresCol="fourier",
-            labelCol=self.getLabelCol(),
-            predictionCol=self.getPredictionCol(),
-            loss="huber",
-            regParam=1.0 / (self.getOrDefault(self.C) * n),
-            maxIter=100,
-        )
-        return PipelineModel([waves, line.fit(waves.transform(df))])
-
-
 def _renamed(estimator: Estimator, prediction: str, features: str, label: str) -> Estimator:
     copy = estimator.copy()
     return copy._set(predictionCol=prediction, featuresCol=features, labelCol=label)
@@ -210,7 +146,7 @@ class Voting(Estimator, _Columns):
 
 
 # ---------------------------------------------------------------- fixed values
-# Settings of the zoo. Those of the three boosting presets stand for libraries that are not here.
+# Settings of the zoo. Penalties, bins and leaf sizes of the three boosting presets are their libraries' defaults.
 SETTINGS: dict[str, dict] = {
     "linear_regression": {},
     "ridge": {"alpha": 10.0},
@@ -222,10 +158,16 @@ SETTINGS: dict[str, dict] = {
     "gradient_boosting": {"n_estimators": 200, "max_depth": 3, "learning_rate": 0.05},
     "svr": {"C": 10.0, "epsilon": 0.01},
     "knn": {"n_neighbors": 10, "weights": "distance"},
-    "xgboost": {"n_estimators": 400, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.8, "colsample": 0.8},
-    "lightgbm": {"n_estimators": 400, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample": 0.8},
-    "catboost": {"n_estimators": 400, "max_depth": 6, "learning_rate": 0.05},
-}
+    "xgboost": {
+        "n_estimators": 400, "max_depth": 5, "learning_rate": 0.05, "subsample": 0.8, "colsample": 0.8,
+        "reg_lambda": 1.0, "reg_alpha": 0.0, "gamma": 0.0, "max_bins": 256,
+    },
+    "lightgbm": {
+        "n_estimators": 400, "max_depth": 6, "learning_rate": 0.05, "subsample": 0.8, "colsample": 0.8,
+        "reg_lambda": 0.0, "reg_alpha": 0.0, "num_leaves": 31, "min_child_samples": 20, "max_bins": 255,
+    },
+    "catboost": {"n_estimators": 400, "max_depth": 6, "learning_rate": 0.05, "reg_lambda": 3.0, "max_bins": 254},
+}
 ENSEMBLE_PREFERENCE = ["xgboost", "lightgbm", "catboost", "random_forest", "extra_trees", "gradient_boosting"]
 # ------------------------------------------------------------ end fixed values
 
@@ -267,15 +209,7 @@ def _forest(s: dict, seed: int) -> Estimator:
 
 
 def _extra(s: dict, seed: int) -> Estimator:
-    # Random thresholds are approximated by few bins and a random third of the columns per split.
-    return RandomForestRegressor(
-        numTrees=s["n_estimators"],
-        maxDepth=_depth(s),
-        bootstrap=False,
-        featureSubsetStrategy="onethird",
-        maxBins=16,
-        seed=seed,
-    )
+    return ExtraTrees(trees=s["n_estimators"], maxDepth=_depth(s), leastSplit=s.get("min_samples_split", 2), seed=seed)
 
 
 def _boost(s: dict, seed: int) -> Estimator:
@@ -289,8 +223,31 @@ def _boost(s: dict, seed: int) -> Estimator:
     )
 
 
+def _second_order(how: str):
+    def build(s: dict, seed: int) -> Estimator:
+        # Only trees grown leaf by leaf end by themselves without a depth.
+        free = how == "leaf" and s["max_depth"] is None
+        return BoostedTrees(
+            how=how,
+            rounds=s["n_estimators"],
+            maxDepth=-1 if free else _depth(s),
+            learningRate=s["learning_rate"],
+            subsample=s.get("subsample", 1.0),
+            colsample=s.get("colsample", 1.0),
+            regLambda=s["reg_lambda"],
+            regAlpha=s.get("reg_alpha", 0.0),
+            gamma=s.get("gamma", 0.0),
+            leastRows=float(s.get("min_child_samples", 1)),
+            numLeaves=s.get("num_leaves", 31),
+            maxBins=s["max_bins"],
+            seed=seed,
+        )
+
+    return build
+
+
 def _svr(s: dict, seed: int) -> Estimator:
-    return KernelRegressor(C=float(s["C"]), seed=seed)
+    return KernelRegressor(C=float(s["C"]), epsilon=float(s["epsilon"]), seed=seed)
 
 
 def _knn(s: dict, seed: int) -> Estimator:
@@ -308,9 +265,9 @@ BUILDERS: dict[str, Callable[[dict, int], Estimator]] = {
     "gradient_boosting": _boost,
     "svr": _svr,
     "knn": _knn,
-    "xgboost": _boost,
-    "lightgbm": _boost,
-    "catboost": _boost,
+    "xgboost": _second_order("level"),
+    "lightgbm": _second_order("leaf"),
+    "catboost": _second_order("oblivious"),
 }
 
 

@@ -1,7 +1,8 @@
 """Cross-validation, random search and the two error curves.
 
-Folds are a hash of the row key, models run on one encoded table. The loops below run over model
-settings and folds, never over rows; jobs of different folds overlap through a small thread pool.
+Folds are a hash of the row key, models run on one encoded table. Linear models are scored for all settings, folds
+and training shares from one pass (``fold_sums``). For others the loops below run over model settings and folds,
+never over rows; jobs of different folds overlap through a small thread pool.
 """
 
 from __future__ import annotations
@@ -14,11 +15,14 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.functions.scalar import col, hash_bucket
-from lotwise.operators.models import DEEPEST, build_model
+from lotwise.operators import fold_sums
+from lotwise.operators.fold_sums import FoldSums
+from lotwise.operators.models import DEEPEST, PenalizedLinear, build_model
 from lotwise.operators.splits import FOLD_SEED, LOG_TARGET
 from lotwise.schema import ID
 
@@ -67,6 +71,8 @@ BOOSTING_RANGES = {
     "learning_rate": ("log", 0.01, 0.2),
     "subsample": ("float", 0.6, 1.0),
     "colsample": ("float", 0.6, 1.0),
+    "reg_alpha": ("log", 1e-4, 10.0),
+    "reg_lambda": ("log", 1e-4, 10.0),
 }
 LEARNING_SHARES = [0.1, 0.28, 0.46, 0.64, 0.82, 1.0]
 # ------------------------------------------------------------ end fixed values
@@ -79,6 +85,36 @@ def _rmse(model, rows: DataFrame, label: str) -> float:
     return model.transform(rows).agg(F.sqrt(F.avg(error * error))).first()[0]
 
 
+def linear_scores(
+    estimators: Sequence[Estimator],
+    rows: DataFrame,
+    folds: int,
+    label: str = LOG_TARGET,
+    key: str = ID,
+    seed: int = FOLD_SEED,
+    shares: Sequence[float] = (1.0,),
+) -> dict[tuple[int, float], list[tuple[int, float, float]]] | None:
+    """``{(estimator, share): [(fold, train rmse, validation rmse)]}`` of linear models from one pass over the rows.
+
+    ``None`` where they are not all linear on the same columns, or there are too many columns for that.
+    """
+    if not all(isinstance(e, PenalizedLinear) for e in estimators) or len({e.getFeaturesCol() for e in estimators}) != 1:
+        return None
+    features = estimators[0].getFeaturesCol()
+    first = rows.select(F.size(vector_to_array(features))).first()
+    if first is None or not fold_sums.fits(first[0], folds * (len(set(shares)) + 1)):
+        return None
+    sums = FoldSums.of(rows, folds, features, label, key, seed, shares)
+    out: dict[tuple[int, float], list[tuple[int, float, float]]] = {}
+    for share in shares:
+        for f in range(folds):
+            train, held = sums.training(f, share), sums.held(f)
+            for i, e in enumerate(estimators):
+                fit = fold_sums.solve(train, *e.penalties(train[0, 0]))
+                out.setdefault((i, share), []).append((f, fold_sums.rmse(train, fit), fold_sums.rmse(held, fit)))
+    return out
+
+
 def fold_scores(
     estimator: Estimator | Callable[[], Estimator],
     rows: DataFrame,
@@ -94,6 +130,9 @@ def fold_scores(
 
     ``share`` trains on the part of the other folds whose key hash lies below it.
     """
+    linear = None if callable(estimator) else linear_scores([estimator], rows, folds, label, key, seed, (share or 1.0,))
+    if linear is not None:
+        return [(f, tr if with_train else None, va) for f, tr, va in linear[0, share or 1.0]]
     fold = hash_bucket(col(key), folds, seed)
 
     def one(f: int):
@@ -120,13 +159,14 @@ def mean_std(values: Sequence[float]) -> tuple[float, float]:
 
 
 # Settings without a counterpart here: they would repeat the same fit under another name.
-VOID = {"random_forest": ["min_samples_split"], "extra_trees": ["min_samples_split"], "svr": ["epsilon"]}
+VOID = {"random_forest": ["min_samples_split"]}
 
 
 def effective(name: str, point: dict) -> dict:
-    """What a point means here: no void settings, and an unlimited depth is the deepest there is."""
+    """What a point means here: no void settings, and an unlimited depth is the deepest there is (trees that
+    are grown leaf by leaf need none)."""
     known = {k: v for k, v in point.items() if k not in VOID.get(name, ())}
-    if "max_depth" in known and known["max_depth"] is None:
+    if name != "lightgbm" and "max_depth" in known and known["max_depth"] is None:
         known["max_depth"] = DEEPEST
     return known
 
@@ -143,8 +183,9 @@ def distinct_points(name: str, points: Sequence[dict]) -> list[dict]:
 
 def _search(name: str, points: list[dict], rows: DataFrame, folds: int, seed: int) -> DataFrame:
     out = []
+    linear = linear_scores([build_model(name, seed, **p) for p in points], rows, folds) if points else None
     for i, point in enumerate(points):
-        scores = fold_scores(lambda: build_model(name, seed, **point), rows, folds)
+        scores = linear[i, 1.0] if linear else fold_scores(lambda: build_model(name, seed, **point), rows, folds)
         mean, std = mean_std([s[2] for s in scores])
         out.append((i, {k: str(v) for k, v in point.items()}, VOID.get(name, []), mean, std))
     trials = rows.sparkSession.createDataFrame(
@@ -210,8 +251,9 @@ def learning_curve(
 ) -> DataFrame:
     """``share, train_rmse, validation_rmse`` (means over the folds)."""
     out = []
+    linear = linear_scores([make()], rows, folds, shares=shares)
     for share in shares:
-        scores = fold_scores(make, rows, folds, with_train=True, share=share)
+        scores = linear[0, share] if linear else fold_scores(make, rows, folds, with_train=True, share=share)
         out.append((share, mean_std([s[1] for s in scores])[0], mean_std([s[2] for s in scores])[0]))
     return rows.sparkSession.createDataFrame(out, "share double, train_rmse double, validation_rmse double")
 
@@ -221,7 +263,9 @@ def validation_curve(
 ) -> DataFrame:
     """``value, train_rmse, validation_rmse`` (means over the folds)."""
     out = []
-    for value in values:
-        scores = fold_scores(lambda: build_model(name, seed, **{param: value}), rows, folds, with_train=True)
+    linear = linear_scores([build_model(name, seed, **{param: v}) for v in values], rows, folds) if values else None
+    for i, value in enumerate(values):
+        made = lambda: build_model(name, seed, **{param: value})  # noqa: B023, E731
+        scores = linear[i, 1.0] if linear else fold_scores(made, rows, folds, with_train=True)
         out.append((float(value), mean_std([s[1] for s in scores])[0], mean_std([s[2] for s in scores])[0]))
     return rows.sparkSession.createDataFrame(out, "value double, train_rmse double, validation_rmse double")

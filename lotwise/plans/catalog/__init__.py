@@ -3,6 +3,7 @@ from lotwise.plans.catalog import (  # noqa: F401
     comparing,
     deriving,
     explaining,
+    growing,
     profiling,
     scoring,
     storing,

@@ -56,7 +56,7 @@ def test_elastic_net_meets_its_conditions(prepared):
 
 @pytest.mark.parametrize("name", ["decision_tree", "random_forest", "extra_trees", "gradient_boosting", "svr"])
 def test_models_beat_the_mean_and_repeat(prepared, name):
-    few = {"random_forest": {"n_estimators": 10, "max_depth": 6}, "extra_trees": {"n_estimators": 10, "max_depth": 6}}
+    few = {"random_forest": {"n_estimators": 10, "max_depth": 6}, "extra_trees": {"n_estimators": 10, "max_depth": 8}}
     few["gradient_boosting"] = {"n_estimators": 15, "learning_rate": 0.2}
     runs = []
     for _ in range(2):
@@ -177,21 +177,24 @@ def test_knn_for_any_keys(spark):
 
 def test_search_fits_each_meaning_once(prepared):
     grid = {"C": [1.0, 10.0], "epsilon": [0.001, 0.01, 0.1]}
-    points = tuning.distinct_points("svr", tuning.grid_points(grid))
-    assert points == [{"C": 1.0}, {"C": 10.0}]
+    assert len(tuning.distinct_points("svr", tuning.grid_points(grid))) == 6
+    forest = {"max_depth": [2, 3], "min_samples_split": [2, 5, 10]}
+    assert tuning.distinct_points("random_forest", tuning.grid_points(forest)) == [{"max_depth": 2}, {"max_depth": 3}]
     deep = tuning.distinct_points("lightgbm", tuning.grid_points(tuning.GRIDS["lightgbm"]))
-    assert len(deep) == len(tuning.grid_points(tuning.GRIDS["lightgbm"])) and all(p["max_depth"] > 0 for p in deep)
+    assert len(deep) == len(tuning.grid_points(tuning.GRIDS["lightgbm"])) and {p["max_depth"] for p in deep} == {3, 4, 6, 8, None}
     trials = tuning.random_search("random_forest", prepared.train, 30, 2, grid={"n_estimators": [2], "max_depth": [2, 3], "min_samples_split": [2, 5]}).collect()
     assert len(trials) == 2 and all(t["void"] == ["min_samples_split"] for t in trials)
 
 
 def test_no_tree_without_depth(prepared):
-    with pytest.raises(ValueError, match="max_depth"):
-        models.build_model("lightgbm", max_depth=None)
-    point = tuning.effective("lightgbm", {"max_depth": None, "n_estimators": 1})
-    assert point["max_depth"] == models.DEEPEST
-    model = models.build_model("lightgbm", **{**point, "max_depth": 6}).fit(prepared.train)
-    assert all(t.depth > 0 for t in model.trees)
+    for name in ("xgboost", "catboost", "extra_trees", "random_forest"):
+        with pytest.raises(ValueError, match="max_depth"):
+            models.build_model(name, max_depth=None)
+        assert tuning.effective(name, {"max_depth": None})["max_depth"] == models.DEEPEST
+    # Trees grown leaf by leaf end by their number of leaves.
+    assert tuning.effective("lightgbm", {"max_depth": None, "n_estimators": 1})["max_depth"] is None
+    model = models.build_model("lightgbm", max_depth=None, n_estimators=1).fit(prepared.train)
+    assert sum(f < 0 for f in model.trees[0].feature) <= 31
 
 
 def test_boosting_ranges_are_run(prepared):
