@@ -5,15 +5,19 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lotwise.functions.scalar import col, hash_number
 from lotwise.operators.encoding import FEATURES
 from lotwise.operators.profile import sample_rows
+from lotwise.operators.tree_values import tree_cells, tree_sum_of
 from lotwise.schema import ID
 from lotwise.session import cut_lineage, via_table
 
@@ -139,6 +143,14 @@ def sampled_contributions(
     return phi, totals.where(F.col("at") == -1).select(col(key), F.col("v").alias("base_value"))
 
 
+def row_cells(model: Transformer, sample: DataFrame, names: Sequence[str]) -> tuple[Column, float] | None:
+    """Exact cells as an expression over the row, and the base value: for linear models and sums of trees."""
+    if getattr(model, "coefficients", None) is not None:
+        return vector_cells(model, sample, names), linear_base_value(model, sample)
+    trees = tree_sum_of(model)
+    return None if trees is None else tree_cells(trees, sample, list(names))
+
+
 @dataclass
 class Explainer:
     """What explains the prices of a winner: its model stages, background rows and slot names."""
@@ -148,20 +160,14 @@ class Explainer:
     names: Sequence[str]
     permutations: int = 20
 
-    @property
-    def linear(self) -> bool:
-        return getattr(self.model, "coefficients", None) is not None
-
     def explain(self, priced: DataFrame, wanted: Column) -> DataFrame:
         """``priced`` (it has ``features``) with ``explanation``: ``base_value`` and the contributions to the
         prediction, largest first; missing where not wanted."""
         asked = F.coalesce(wanted, F.lit(False))
-        if self.linear:
-            base = F.lit(linear_base_value(self.model, self.sample))
-            cells = F.transform(
-                vector_cells(self.model, self.sample, self.names),
-                lambda c: F.struct(c["feature"].alias("feature"), c["contribution"].alias("value")),
-            )
+        found = row_cells(self.model, self.sample, self.names)
+        if found is not None:
+            base = F.lit(found[1])
+            cells = F.transform(found[0], lambda c: F.struct(c["feature"].alias("feature"), c["contribution"].alias("value")))
             entry = F.struct(base.alias("base_value"), F.array_sort(cells, _largest_first).alias("contributions"))
             return priced.withColumn("explanation", F.when(asked, entry))
         # Rows may share a key: each gets a number of its own, stored so that it stays.
@@ -216,31 +222,44 @@ def widest_feature(contributions: DataFrame) -> str:
     return spread.orderBy(F.desc_nulls_last("v"), "feature").first()["feature"]
 
 
-def _running(ordered: Column, base: float) -> Column:
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _totals(values: pa.Array, base: pa.Array) -> pa.Array:
+    """The running totals of every list, each from its own base."""
+    lengths = np.asarray(values.value_lengths().fill_null(0))
+    flat = np.asarray(values.flatten(), np.float64)
+    ends = np.cumsum(lengths)
+    out = np.concatenate([[0.0], *(b + np.cumsum(flat[e - n : e]) for b, n, e in zip(np.asarray(base), lengths, ends))])[1:]
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(out))
+
+
+def _running(ordered: Column, base: Column) -> Column:
     """Entries ``feature, value`` with their position and the total up to them."""
-    empty = F.array().cast("array<struct<position:int,feature:string,contribution:double,running_total:double>>")
-
-    def step(state: Column, e: Column) -> Column:
-        total = state["total"] + e["value"]
-        entry = F.struct(
-            (F.size(state["out"]) + 1).alias("position"),
-            e["feature"].alias("feature"),
-            e["value"].alias("contribution"),
-            total.alias("running_total"),
-        )
-        return F.struct(total.alias("total"), F.concat(state["out"], F.array(entry)).alias("out"))
+    totals = _totals(F.transform(ordered, lambda e: e["value"]), base)
+    listed = F.zip_with(ordered, totals, lambda e, t: F.struct(e["feature"].alias("feature"), e["value"].alias("value"), t.alias("total")))
+    return F.transform(
+        listed,
+        lambda e, i: F.struct(
+            (i + 1).alias("position"), e["feature"].alias("feature"), e["value"].alias("contribution"), e["total"].alias("running_total")
+        ),
+    )
+
 
-    start = F.struct(F.lit(float(base)).alias("total"), empty.alias("out"))
-    return F.aggregate(ordered, start, step, lambda s: s["out"])
+def _base(base: float | Column) -> Column:
+    return base if isinstance(base, Column) else F.lit(float(base))
 
 
-def waterfall(cells: DataFrame, base: float, key: str = ID) -> DataFrame:
-    """Contributions, largest first, with a running total: one row per feature, no shuffle."""
-    listed = explanations(cells, F.lit(float(base)), key)
-    return listed.select(col(key), F.inline(_running(F.col("contributions"), base)))
+def waterfall(cells: DataFrame, base: float | Column, key: str = ID) -> DataFrame:
+    """Contributions, largest first, with a running total: one row per feature, no shuffle.
+
+    ``base`` is one number, or a column where each row has its own.
+    """
+    listed = cells.withColumn("_base", _base(base))
+    pairs = F.transform("cells", lambda c: F.struct(c["feature"].alias("feature"), c["contribution"].alias("value")))
+    listed = listed.select(col(key), F.array_sort(pairs, _largest_first).alias("listed"), "_base")
+    return listed.select(col(key), F.inline(_running(F.col("listed"), F.col("_base"))))
 
 
-def decision_paths(cells: DataFrame, base: float, key: str = ID) -> DataFrame:
+def decision_paths(cells: DataFrame, base: float | Column, key: str = ID) -> DataFrame:
     """Running totals from the base, features in the order of their global importance (least first)."""
     ranks = global_summary(long_form(cells, key)).orderBy("importance", F.desc("feature"))
     place = F.create_map(*[F.lit(v) for i, r in enumerate(ranks.collect()) for v in (r["feature"], i)])  # one row per feature
@@ -248,5 +267,5 @@ def decision_paths(cells: DataFrame, base: float, key: str = ID) -> DataFrame:
         "cells",
         lambda c: F.struct(place[c["feature"]].alias("at"), c["feature"].alias("feature"), c["contribution"].alias("value")),
     )
-    paths = cells.select(col(key), F.inline(_running(F.array_sort(placed), base)))
-    return paths.drop("contribution")
+    listed = cells.select(col(key), F.array_sort(placed).alias("listed"), _base(base).alias("_base"))
+    return listed.select(col(key), F.inline(_running(F.col("listed"), F.col("_base")))).drop("contribution")

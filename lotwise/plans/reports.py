@@ -74,18 +74,20 @@ def explanation_tables(
     """Contributions of a winner of any kind on a sample of the test rows, and their chart tables."""
     sample = explain.background(data.train)
     rows = profile.sample_rows(data.test, explained)
-    base = explain.linear_base_value(model, sample)
-    if getattr(model, "coefficients", None) is not None:
-        cells = rows.select(col(ID), explain.vector_cells(model, sample, data.slots).alias("cells"))
+    exact = explain.row_cells(model, sample, data.slots)
+    if exact is not None:
+        cells = rows.select(col(ID), exact[0].alias("cells"), F.lit(exact[1]).alias("base_value"))
+        if getattr(model, "coefficients", None) is None:
+            cells = via_table(cells, "cells")  # every chart reads them
     else:
         phi, own_base = explain.sampled_contributions(rows, model, data.train, data.slots, permutations)
         slots = F.posexplode(vector_to_array(FEATURES)).alias("at", "x")
         names = F.array(*[F.lit(n) for n in data.slots])
         values = rows.select(col(ID), slots).select(col(ID), names[F.col("at")].alias("feature"), "x")
-        cells = via_table(
-            phi.join(values, [ID, "feature"]).groupBy(col(ID)).agg(F.collect_list(F.struct("feature", "x", "contribution")).alias("cells")),
-            "cells",
-        )
+        listed = phi.join(values, [ID, "feature"]).groupBy(col(ID))
+        listed = listed.agg(F.collect_list(F.struct("feature", "x", "contribution")).alias("cells"))  # one per feature
+        cells = via_table(listed.join(own_base, ID), "cells")
+    base = F.col("base_value")  # each row starts where its own contributions do
     phi = explain.long_form(cells)
     return {
         "global_summary": explain.global_summary(phi),
