@@ -41,11 +41,20 @@ def _converted(df: DataFrame, field: T.StructField) -> tuple[Column, Column]:
     ok = F.lit(None).cast("string")
     if field.name not in df.columns:
         return F.lit(None).cast(field.dataType), ok
-    cell = col(field.name)
+    cell, kind = col(field.name), df.schema[field.name].dataType
     if isinstance(field.dataType, T.StringType):
         return cell.cast("string"), ok
-    if isinstance(df.schema[field.name].dataType, (T.DoubleType, T.FloatType)):
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType)):
+        return cell.cast(field.dataType), ok  # every value fits
+    if isinstance(kind, T.LongType) and isinstance(field.dataType, T.IntegralType):
+        whole = cell.try_cast(field.dataType)
+        return whole, F.when(cell.isNotNull() & whole.isNull(), F.lit("out of range"))
+    if isinstance(kind, T.IntegralType):
+        return cell.cast(field.dataType), ok
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
         cell = no_nan(cell)  # a missing number, not a wrong one
+        if not isinstance(field.dataType, T.IntegralType):
+            return cell.cast(field.dataType), ok
     number = no_nan(cell.try_cast("double"))
     wrong = F.when(cell.isNotNull() & number.isNull(), F.lit("not a number"))
     if not isinstance(field.dataType, T.IntegralType):
@@ -61,7 +70,8 @@ def _converted(df: DataFrame, field: T.StructField) -> tuple[Column, Column]:
 def to_request(df: DataFrame) -> DataFrame:
     """Other columns first, then the 48 request fields in their types; absent ones are NULL.
 
-    A cell that cannot be read becomes NULL; ``_faults`` says why, field by field.
+    A cell that cannot be read becomes NULL; the array ``_faults`` says why, a place per field. (An array is one
+    column to the code generator, which gives up beyond a hundred.)
     """
     out = apply_aliases(df)
     fields = request_schema()
@@ -70,10 +80,14 @@ def to_request(df: DataFrame) -> DataFrame:
     return out.select(
         *rest,
         *[cell.alias(name) for name, (cell, _) in cells.items()],
-        F.struct(*[fault.alias(name) for name, (_, fault) in cells.items()]).alias(FAULTS),
+        F.array(*[fault for _, fault in cells.values()]).alias(FAULTS),
     )
 
 
+def _fault(name: str) -> Column:
+    return col(FAULTS)[request_schema().names.index(name)]
+
+
 def fill_defaults(df: DataFrame) -> DataFrame:
     """Defaults of absent fields. Where the request names its fields (``_given``), an explicit null stays."""
     names = {name: [name, *(a for a, n in REQUEST_ALIASES.items() if n == name)] for name in REQUEST_DEFAULTS}
@@ -92,7 +106,7 @@ def rule_errors() -> Column:
     checks = []
     fields = request_schema().names
     for name in fields:
-        fault = col(FAULTS)[name]
+        fault = _fault(name)
         checks.append(F.when(fault.isNotNull(), F.concat(F.lit(f"{name}: "), fault)))
         if name in REQUEST_REQUIRED:
             checks.append(F.when(col(name).isNull() & fault.isNull(), F.lit(f"{name}: missing")))
@@ -114,7 +128,7 @@ def validated(df: DataFrame) -> DataFrame:
     (``corrupt``) has that one error."""
     typed = to_request(df)
     # A default never stands in for a cell that was given but cannot be read.
-    unread = {c: col(FAULTS)[c] for c in REQUEST_DEFAULTS}
+    unread = {c: _fault(c) for c in REQUEST_DEFAULTS}
     filled = fill_defaults(typed)
     filled = filled.withColumns({c: F.when(fault.isNull(), col(c)) for c, fault in unread.items()})
     errors = rule_errors()
