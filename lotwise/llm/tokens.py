@@ -12,13 +12,15 @@ boundary goes by an explicit rule:
 
 Defined cases: a missing text has no tokens and no sections; a section that is empty, missing or beyond
 the text counts 0; tokens outside all sections are counted as outside; where sections overlap, each counts
-its tokens (``largest`` excepted, which picks one).
+its tokens (``largest`` excepted, which picks one). White space of any length is encoded as the pattern cuts it, though
+the pattern itself cannot be matched against runs of about a million characters: long runs are cut out beforehand.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Sequence
+import re
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from pathlib import Path
 
@@ -33,6 +35,8 @@ from lotwise.llm.text import keep_columns
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenisation that belongs to the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+# The white space of that pattern, in runs that are cut out beforehand.
+LONG_BLANK = re.compile("[\t\n\v\f\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 RULES = ("first", "last", "largest", "share")
 SECTION = "array<struct<name:string,start:int,end:int>>"
 COUNTED = (
@@ -52,9 +56,31 @@ def _encoder(ranks: bytes, pattern: str) -> tuple[tiktoken.Encoding, np.ndarray]
     return tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=tokens, special_tokens={}), sizes
 
 
+def _pieces(text: str) -> Iterator[tuple[str, bool]]:
+    """Parts that are encoded one by one, and whether a part is a single piece of the pattern: of a run of white space
+    all but the character before a following text, which may belong to that."""
+    at = 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        yield text[at : run.start()], False
+        yield text[run.start() : end], True
+        at = end
+    yield text[at:], False
+
+
+def encoded(text: str, encoder: tiktoken.Encoding) -> list[int]:
+    """The tokens of a text. The pattern of :data:`PATTERN` overflows its stack on very long white space."""
+    if encoder._pat_str != PATTERN or not LONG_BLANK.search(text):
+        return encoder.encode_ordinary(text)
+    out: list[int] = []
+    for part, whole in _pieces(text):
+        out += encoder._encode_single_piece(part.encode()) if whole else encoder.encode_ordinary(part)
+    return out
+
+
 def token_spans(text: str, encoder: tiktoken.Encoding, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last character of each token."""
-    ids = np.asarray(encoder.encode_ordinary(text), np.int64)
+    ids = np.asarray(encoded(text, encoder), np.int64)
     ends = np.cumsum(sizes[ids])
     data = np.frombuffer(text.encode(), np.uint8)
     if len(data) == len(text):

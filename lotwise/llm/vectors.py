@@ -18,11 +18,14 @@ any query besides itself.
 
 Defined cases: rows without an id, without a vector, or with a missing or non-finite component take no
 part; shorter vectors count as filled up with zeros; of rows that share an id the smallest vector counts;
-with fewer than ``k`` candidates all are returned; ties go to the smaller id.
+with fewer than ``k`` candidates all are returned; ties go to the smaller id. Blocks whose products could pass
+2^53 are scored with whole numbers of any size; a component or a score beyond a long counts as the largest (or
+smallest) long.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -167,6 +170,24 @@ def _plan(shared, width: int, first: int | None):
     return emit
 
 
+def _large_scores(own, q, floor, ids, x, k: int) -> Iterator[pa.RecordBatch]:
+    """The same with Python's integers; scores beyond a long count as the largest or smallest one."""
+    rows = [[int(v) for v in row] for row in x]
+    out: list[tuple[int, int, int]] = []
+    for query, t, values in zip(own.tolist(), floor.tolist(), q):
+        whole = [int(v) for v in values]
+        scores = (
+            (max(min(sum(a * b for a, b in zip(whole, row)), (1 << 63) - 1), -(1 << 63)), -i)
+            for i, row in zip(ids.tolist(), rows)
+            if i != query
+        )
+        # A threshold is a score rounded to a double: what rounds to it may reach it.
+        out += [(query, -i, score) for score, i in heapq.nlargest(k, scores) if float(score) >= t]
+    names = ["query_id", "vec_id", "score"]
+    columns = zip(*out) if out else ([], [], [])
+    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+
 def _score(width: int, k: int):
     """The best ``k`` of each block for the queries that open it (ties: smaller id), above their thresholds."""
 
@@ -181,10 +202,13 @@ def _score(width: int, k: int):
                 own = np.asarray(queries.field("query"))
                 floor = np.asarray(queries.field("t"))
                 q = _matrix(queries.field("v"), width)
-                if np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1).max()) >= EXACT:
-                    raise ValueError("inner products beyond 2^53 are not exact in doubles")
+                # Where doubles do not hold the products, whole numbers of any size do.
+                large = not np.sqrt((x * x).sum(axis=1).max()) * np.sqrt((q * q).sum(axis=1).max()) < EXACT
                 for a in range(0, len(own), QUERIES_PER_BLOCK):
                     part = slice(a, a + QUERIES_PER_BLOCK)
+                    if large:
+                        yield from _large_scores(own[part], q[part], floor[part], ids, x, k)
+                        continue
                     scores = q[part] @ x.T
                     scores[own[part][:, None] == ids[None]] = -np.inf
                     best = np.argsort(-scores, axis=1, kind="stable")[:, :k]

@@ -185,8 +185,8 @@ def test_top_of_hard_rows(spark):
     assert top(spark, rows) == plain_top(rows, 5, 50)
     assert top(spark, rows[:1]) == [] and top(spark, []) == [] and top(spark, [(None, None)]) == []
     assert top(spark, [(0, []), (1, []), (2, [])]) == [(0, 1, 1, 0), (0, 2, 2, 0)]
-    with pytest.raises(Exception, match="beyond 2"):
-        top(spark, [(0, [3e38]), (1, [1e30])])
+    # One large vector no longer ends the search: a score beyond a long counts as the largest.
+    assert top(spark, [(0, [3e38]), (1, [1e30])]) == [(0, 1, 1, (1 << 63) - 1)]
 
 
 def test_tokens_of_documents(spark, sf):
@@ -272,3 +272,34 @@ def test_every_token_has_its_bytes():
         first, last = t.token_spans(text, encoder, sizes)
         assert (first <= last).all() and (not text or (first[0], last[-1]) == (0, len(text) - 1))
         assert (first[1:] <= last[:-1] + 1).all()
+
+
+def test_long_white_space(spark):
+    """Runs that the pattern cannot be matched against, and shorter ones where both ways can be compared."""
+    import lotwise.llm.tokens as t
+
+    ranks = open(t.VOCABULARY, "rb").read()
+    encoder, _ = t._encoder(ranks, t.PATTERN)
+    for blank in (" ", "\n", " \n", "\u00a0"):
+        for text in (f"one{blank * 12000}two", blank * 12000, f"{blank * 12000}x", f"a {blank * 12000} b{blank * 15000}"):
+            assert t.encoded(text, encoder) == encoder.encode_ordinary(text)
+    text = "one" + " " * 1_500_000 + "two" + "\n" * 1_200_000
+    rows = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
+    counted = {r["doc_id"]: r["tokens"] for r in t.attribute_tokens(rows, F.col("text")).collect()}
+    ids = t.encoded(text, encoder)
+    assert counted[1]["n_tokens"] == len(ids) and encoder.decode(ids) == text and counted[2]["n_tokens"] == len(encoder.encode_ordinary("short"))
+
+
+def test_large_components(spark):
+    """Products beyond 2^53 and beyond a long: exact where a long holds them."""
+    values = {0: [4e5, 3.0], 1: [4e5, 5.0], 2: [1e9, -1.0], 3: [-1e9, 2.0], 4: [1e300, 0.0], 5: [0.25, 0.5]}
+    rows = spark.createDataFrame(list(values.items()), "vec_id long, embedding array<double>")
+    top = (1 << 63) - 1
+    whole = {i: [max(min(math.floor(256 * x), top), -top - 1) for x in v] for i, v in values.items()}
+    want = []
+    for q in values:
+        scores = {i: max(min(sum(a * b for a, b in zip(whole[q], whole[i])), top), -top - 1) for i in values if i != q}
+        order = sorted(scores, key=lambda i: (-scores[i], i))[:3]
+        want += [(q, rank, i, scores[i]) for rank, i in enumerate(order, 1)]
+    got = [tuple(r) for r in top_inner_products(rows, F.lit(True), 3).orderBy("query_id", "rank").collect()]
+    assert got == want
