@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 
 from lotwise.operators import explain, models, profile
 from lotwise.operators.scoring import score
-from lotwise.operators.splits import SPLIT_SEED, train_test_split
+from lotwise.operators.splits import FOLD_SEED, SPLIT_SEED, train_test_split
+from lotwise.operators.tuning import GRIDS, LEARNING_SHARES
 from lotwise.plans import reports
-from lotwise.plans.catalog.comparing import OLS, POINTS, encoded, one_column
+from lotwise.plans.catalog.comparing import OLS, POINTS, RIDGE, SXX, SXY, encoded, one_column
 from lotwise.plans.catalog.registry import bucket, query, r, with_listing
 from lotwise.plans.training import Prepared
 from lotwise.session import work_path
@@ -164,14 +165,15 @@ def score_explained(spark, sf):
     )
 
 
-def _written(spark, tables: dict) -> DataFrame:
-    """Row counts of the tables as they are read back."""
+def _written(spark, tables: dict, checks: dict[str, list]) -> DataFrame:
+    """The tables as they are read back: ``name, rows`` and two sums of values of each (``a``, ``b``)."""
     path = work_path(spark, "report")
     reports.write_report(tables, path)
-    counts = [spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows")) for n in tables]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
+    out = None
+    for n in tables:
+        a, b = (F.round(F.sum(x) if x is not None else F.lit(0.0), 3).cast("double") for x in checks[n])
+        own = spark.read.parquet(f"{path}/{n}").agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("rows"), a.alias("a"), b.alias("b"))
+        out = own if out is None else out.unionByName(own)
     return out
 
 
@@ -181,14 +183,37 @@ def one_column_data(spark, sf) -> Prepared:
 
 
 TEST_SHARE = f"{bucket('Id', 100, SPLIT_SEED)} < 20"
+TRAIN = f", tr AS (SELECT * FROM pts WHERE NOT {TEST_SHARE})"
+PARTS = f""", folded AS (SELECT *, {bucket('Id', 3, FOLD_SEED)} AS fold, {bucket('Id', 10000, FOLD_SEED + 1)} AS u FROM tr)"""
+ERROR = "(y - m - w * x) * (y - m - w * x)"
+CURVES = f""", steps AS (SELECT unnest([{', '.join(f'{s}::DOUBLE' for s in LEARNING_SHARES)}]) AS share, 10.0::DOUBLE AS alpha, 'learning_curve' AS name
+  UNION ALL SELECT 1.0, unnest([{', '.join(f'{a}::DOUBLE' for a in GRIDS['ridge']['alpha'])}]), 'validation_curve'),
+fits AS (SELECT name, share, alpha, f, {SXY} * count(*) / ({SXX} * count(*) + alpha) AS w,
+  avg(y) - {SXY} * count(*) / ({SXX} * count(*) + alpha) * avg(x) AS m
+  FROM folded, range(3) t(f), steps WHERE fold <> f AND u < floor(share * 10000) GROUP BY name, share, alpha, f),
+curves AS (SELECT name, share, alpha, avg(tr) AS tr, avg(va) AS va FROM (SELECT name, share, alpha, f,
+  sqrt(avg({ERROR}) FILTER (WHERE fold <> f AND u < floor(share * 10000))) AS tr, sqrt(avg({ERROR}) FILTER (WHERE fold = f)) AS va
+  FROM folded, fits GROUP BY name, share, alpha, f) GROUP BY name, share, alpha)"""
+PRICED = f""", line AS (SELECT {RIDGE} AS w, avg(y) - ({RIDGE}) * avg(x) AS m FROM tr),
+priced AS (SELECT Id, SalePrice AS v, greatest(exp(m + w * x) - 1, 0) AS p FROM pts, line WHERE {TEST_SHARE}),
+spread AS (SELECT min(v - p) AS low, (max(v - p) - min(v - p)) / 40 AS step FROM priced)"""
 
 
 @query(
     "evaluation_report",
     with_listing(
-        f"""SELECT name, rows FROM (SELECT 'residuals' AS name, count(*) FILTER (WHERE {TEST_SHARE}) AS rows FROM listing
-        UNION ALL SELECT 'learning_curve', 6 UNION ALL SELECT 'validation_curve', 8 UNION ALL SELECT 'error_limits', 1
-        UNION ALL SELECT 'leaderboard', 1)"""
+        """SELECT name, rows, round(a, 3) AS a, round(b, 3) AS b FROM (
+        SELECT 'residuals' AS name, count(*) AS rows, sum(p) / 1e6 AS a, sum(abs(v - p)) / 1e6 AS b FROM priced
+        UNION ALL SELECT 'residual_histogram', count(*), sum(n), sum(n * bin) FROM (
+          SELECT least(floor((v - p - low) / step), 39) AS bin, count(*) AS n FROM priced, spread GROUP BY 1)
+        UNION ALL SELECT 'error_limits', 1, least(min(v), min(p)) / 1e6, greatest(max(v), max(p)) / 1e6 FROM priced
+        UNION ALL SELECT name, count(*), sum(tr), sum(va) FROM curves GROUP BY name
+        UNION ALL SELECT 'leaderboard', 1, 1.0, 0.0)""",
+        POINTS,
+        TRAIN,
+        PARTS,
+        CURVES,
+        PRICED,
     ),
 )
 def evaluation_report(spark, sf):
@@ -196,30 +221,96 @@ def evaluation_report(spark, sf):
     data = one_column_data(spark, sf)
     board = spark.createDataFrame([("ridge", 1.0)], "name string, rmse double")
     tables = reports.evaluation_tables(data, models.build_model("ridge").fit(data.train), "ridge", board)
-    return _written(spark, tables).where("name <> 'residual_histogram'")
+    c, million = F.col, 1e6
+    return _written(
+        spark,
+        tables,
+        {
+            "leaderboard": [c("rmse"), None],
+            "residuals": [c("predicted") / million, F.abs("residual") / million],
+            "residual_histogram": [c("count"), c("count") * c("bin")],
+            "error_limits": [c("low") / million, c("high") / million],
+            "learning_curve": [c("train_rmse"), c("validation_rmse")],
+            "validation_curve": [c("train_rmse"), c("validation_rmse")],
+        },
+    )
+
+
+# The explained rows, and the background whose mean is the base.
+EXPLAINED = f""", shown AS (SELECT * FROM pts WHERE {TEST_SHARE} ORDER BY {bucket('Id', 4294967296, 42)}, Id LIMIT 300),
+ground AS (SELECT * FROM tr ORDER BY {bucket('Id', 4294967296, 42)}, Id LIMIT 100)"""
+CHARTS = """SELECT name, rows, round(a, 3) AS a, round(b, 3) AS b FROM (SELECT count(*) AS n, sum(p) AS p, sum(p - base) AS c,
+  sum(abs(p - base)) AS z, sum(x) AS x FROM phi), LATERAL (SELECT unnest(['global_summary', 'waterfall', 'dependence', 'decision']) AS name,
+  unnest([1, n, n, n]) AS rows, unnest([z / n, c, x, p]) AS a, unnest([0, p, c, n]) AS b)"""
+
+
+def _charts(spark, sf, model: str, **settings):
+    data = one_column_data(spark, sf)
+    fitted = models.build_model(model, **settings).fit(data.train)
+    c = F.col
+    return _written(
+        spark,
+        reports.explanation_tables(data, fitted),
+        {
+            "global_summary": [c("importance"), None],
+            "waterfall": [c("contribution"), c("running_total")],
+            "dependence": [c("x"), c("contribution")],
+            "decision": [c("running_total"), c("position")],
+        },
+    )
 
 
 @query(
     "explanation_report",
     with_listing(
-        f"""SELECT name, rows FROM (SELECT unnest(['waterfall', 'dependence', 'decision']) AS name,
-        least(300, count(*) FILTER (WHERE {TEST_SHARE})) AS rows FROM listing UNION ALL SELECT 'global_summary', 1)"""
+        CHARTS,
+        POINTS,
+        TRAIN,
+        EXPLAINED,
+        f", line AS (SELECT {OLS} AS w, avg(y) - ({OLS}) * avg(x) AS m FROM tr)",
+        ", phi AS (SELECT x, m + w * x AS p, (SELECT avg(m + w * x) FROM ground, line) AS base FROM shown, line)",
     ),
 )
 def explanation_report(spark, sf):
-    """The explanation tables of a linear winner, written and read back."""
-    data = one_column_data(spark, sf)
-    return _written(spark, reports.explanation_tables(data, models.build_model("linear_regression").fit(data.train)))
+    """The explanation tables of a linear winner, written and read back. With one feature its contribution is what
+    the prediction differs from the base by, and every path ends at the prediction."""
+    return _charts(spark, sf, "linear_regression")
+
+
+# A tree with one split at the quantile of sixteen that divides the labels best.
+STUMP = f""", cuts AS (SELECT DISTINCT v FROM (SELECT unnest(quantile_disc(x, [{', '.join(f'{k / 16}::DOUBLE' for k in range(1, 16))}])) AS v,
+  max(x) AS top FROM tr) WHERE v < top),
+stump AS (SELECT v, a, b FROM (SELECT v, avg(y) FILTER (x <= v) AS a, avg(y) FILTER (x > v) AS b, count(*) FILTER (x <= v) AS na,
+  count(*) FILTER (x > v) AS nb FROM tr, cuts GROUP BY v) ORDER BY round(na * a * a + nb * b * b, 6) DESC, v LIMIT 1),
+phi AS (SELECT x, CASE WHEN x <= v THEN a ELSE b END AS p, (SELECT avg(CASE WHEN x <= v THEN a ELSE b END) FROM ground, stump) AS base
+  FROM shown, stump)"""
+
+
+@query("explanation_report_tree", with_listing(CHARTS, POINTS, TRAIN, EXPLAINED, STUMP))
+def explanation_report_tree(spark, sf):
+    """The same of a tree: one split, so that SQL can find it."""
+    return _charts(
+        spark, sf, "xgboost", n_estimators=1, max_depth=1, learning_rate=1.0, reg_lambda=0.0, max_bins=16, subsample=1.0, colsample=1.0
+    )
 
 
 @query(
-    "explanation_report_tree",
+    "explanation_report_deep_tree",
     with_listing(
-        f"""SELECT name, rows FROM (SELECT unnest(['waterfall', 'dependence', 'decision']) AS name,
-        least(300, count(*) FILTER (WHERE {TEST_SHARE})) AS rows FROM listing UNION ALL SELECT 'global_summary', 1)"""
+        f"""SELECT unnest(['waterfall', 'decision']) AS name, least(300, count(*) FILTER (WHERE {TEST_SHARE})) AS rows,
+        0.0::DOUBLE AS gap FROM listing"""
     ),
 )
-def explanation_report_tree(spark, sf):
-    """The same of a winner that is not linear."""
-    data = one_column_data(spark, sf)
-    return _written(spark, reports.explanation_tables(data, models.build_model("decision_tree").fit(data.train)))
+def explanation_report_deep_tree(spark, sf):
+    """How far the paths of a deep tree end from its predictions (nothing but rounding)."""
+    train, test = encoded(spark, sf)
+    model = models.build_model("decision_tree").fit(train)
+    slots = [str(i) for i in range(model.numFeatures)]
+    tables = reports.explanation_tables(Prepared(train, test, slots, slots, PipelineModel([])), model)
+    ends = model.transform(test).select("Id", "prediction")
+    out = None
+    for name in ("waterfall", "decision"):
+        last = tables[name].groupBy("Id").agg(F.max_by("running_total", "position").alias("end")).join(ends, "Id")
+        own = last.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"), r(F.max(F.abs(F.col("end") - F.col("prediction")))).alias("gap"))
+        out = own if out is None else out.unionByName(own)
+    return out
