@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import keep_columns
 
 # Words are maximal runs of ASCII letters, digits and any character beyond ASCII; A-Z are lower-cased.
@@ -120,6 +121,7 @@ def item_index(
     return index
 
 
+@sheltered
 def find_items(
     docs: DataFrame,
     items: DataFrame,
@@ -188,6 +190,7 @@ def hit_words(found: Column) -> Column:
     return F.aggregate(found["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+@sheltered
 def drop_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents in which no window of an item occurs."""
     name = "_found"

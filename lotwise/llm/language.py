@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import keep_columns, slices
 from lotwise.session import via_table
 
@@ -206,6 +207,7 @@ def fit_languages(
     return model
 
 
+@sheltered
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with a struct ``out``: ``lang``, ``score`` (0 to 1) and ``bits`` (the shortest code length)."""
     kind = "struct<lang:string,score:double,bits:double>"

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.joins import lookup_join
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.substrings import LAST, bitmap
 from lotwise.llm.text import SECOND, SEPARATORS, keep_columns, mixed, rolling, text_hash
 from lotwise.session import via_table
@@ -247,6 +248,7 @@ def cut_lines(text: bytes, starts: np.ndarray, run: int | np.ndarray) -> tuple[i
     return len(counted), list(zip(edges[0::2].tolist(), edges[1::2].tolist())), kept
 
 
+@sheltered
 def remove_repeated_lines(
     docs: DataFrame,
     text: str = "text",
@@ -299,6 +301,7 @@ def removed_lines(lines: Column) -> Column:
     return F.aggregate(lines["spans"], F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
 
 
+@sheltered
 def deduplicate_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
     """``docs`` with the repeated lines taken out of ``text``."""
     name = "_lines"

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import keep_columns
 from lotwise.session import via_table
 
@@ -60,6 +61,7 @@ def source_targets(sources: DataFrame, weights: Sequence[float], budget: float,
     )
 
 
+@sheltered
 def mix_sources(
     docs: DataFrame,
     size: Column,

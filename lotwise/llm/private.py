@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.substrings import LAST, Bitmap, bitmap
 from lotwise.llm.text import keep_columns, text_hash
 from lotwise.session import via_table
@@ -282,6 +283,7 @@ def general(term: str) -> str:
     return "[NUMBER]" if any(c.isdigit() for c in term) else "[NAME]" if term[:1].isupper() else "[WORD]"
 
 
+@sheltered
 def protect(
     docs: DataFrame,
     text: str = "text",

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lotwise.llm.components import components
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import LOWER, text_hash
 from lotwise.session import via_table
 
@@ -150,6 +151,7 @@ def simhash_classes(
     )
 
 
+@sheltered
 def drop_near_copies(
     docs: DataFrame,
     text: str = "text",

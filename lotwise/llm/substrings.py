@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import SECOND, Words, keep_columns, mixed, rolling, slices, text_hash
 
 LAST = (1 << 63) - 1
@@ -226,10 +227,11 @@ def repeated_runs(
         .withColumn("least", F.min("o").over(Window.partitionBy("h", "g")))
         .where("g IS NULL OR o > least")
         .groupBy("o", "k")
-        .agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        .agg(F.collect_set(F.struct("start", "end")).alias("spans"))
     )
 
 
+@sheltered
 def remove_repeats(
     docs: DataFrame,
     text: str = "text",

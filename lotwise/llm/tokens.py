@@ -30,6 +30,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import keep_columns
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -159,6 +160,7 @@ def line_sections(text: str) -> tuple[np.ndarray, np.ndarray]:
     return starts, ends
 
 
+@sheltered
 def attribute_tokens(
     docs: DataFrame,
     text: Column,

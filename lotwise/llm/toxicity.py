@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lotwise.llm.shelter import sheltered
 from lotwise.llm.text import keep_columns
 from lotwise.session import via_table
 
@@ -277,6 +278,7 @@ def _calibrated(model: ToxicityModel, marked: DataFrame, bad: int, good: int) ->
     return model
 
 
+@sheltered
 def judge_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with a struct ``out``: ``score`` (0 to 1), ``evidence``, and the significant ``passages``
     (characters, end exclusive)."""
@@ -313,6 +315,7 @@ def judge_toxicity(docs: DataFrame, model: ToxicityModel, text: str = "text", ou
     return docs.select(*kept, judge.asNondeterministic()(F.col(f"`{text}`").cast("string")).alias(out))
 
 
+@sheltered
 def drop_toxic(docs: DataFrame, model: ToxicityModel, text: str = "text", threshold: float = 0.5) -> DataFrame:
     name = "_toxicity"
     judged = judge_toxicity(docs, model, text, name)

@@ -5,13 +5,14 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 from test_llm_mixing import check
-from test_llm_repeats import cut
+from test_llm_repeats import cut_content
 from test_llm_search import plain_items, plain_matches
 from test_llm_simhash import classes, plain_fingerprint
 
 import __spark_entry__
 import corpus_pipeline
 from lotwise.llm.catalog import QUERIES, SQL
+from lotwise.llm.lines import COMMON_WORDS, OFTEN, WORDS
 from lotwise.session import via_table
 
 
@@ -89,7 +90,7 @@ def test_pipeline_stage_by_stage(spark, sf):
     lines = do("line_dedup", calm)
     rows = calm.withColumn("h", F.xxhash64("text")).collect()
     assert {(r.doc_id, r.text, r.n_chars) for r in lines.collect()} == {
-        (r.doc_id, k, len(k)) for r, (_, _, k) in zip(rows, cut(rows, 3))
+        (r.doc_id, k, len(k)) for r, (_, _, k) in zip(rows, cut_content(rows, 3, WORDS, COMMON_WORDS, OFTEN))
     }
 
     single = do("near_dedup", lines)
@@ -162,3 +163,42 @@ def test_mix_check_is_strict(spark, sf):
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     check(mix_sources(docs, word_count(F.col("text")), ["doc_id"]).collect())
+
+
+CLASHING = ("_found", "_lines", "_toxicity", "_k1", "_k2", "_mix", "_mix_key", "_letter", "_run_a", "_terms", "_own_o", "_own_k", "_text", "_id", "_rest")
+
+
+def test_clashing_names(spark, sf, hard):
+    """Every stage and operator keeps a caller's columns, whatever they are called."""
+    from lotwise.llm.decontamination import find_items
+    from lotwise.llm.language import fit_languages, identify
+    from lotwise.llm.mixing import mix_sources
+    from lotwise.llm.private import protect
+    from lotwise.llm.substrings import remove_repeats
+    from lotwise.llm.tokens import attribute_tokens
+
+    plain = hard.select("doc_id", "text", "lang", "source", "n_chars").where("length(text) < 3000")
+    docs = plain.withColumns({c: F.lit(i) for i, c in enumerate(CLASHING)})
+    want = tuple(range(len(CLASHING)))
+    here, there = docs, plain
+    for name, stage in corpus_pipeline.STAGES:
+        here, there = via_table(stage(spark, here, sf), name), via_table(stage(spark, there, sf), name)
+        assert set(CLASHING) <= set(here.columns) and here.select(*CLASHING).distinct().collect() in ([want], [])
+        assert sorted(map(repr, here.select(*there.columns).collect())) == sorted(map(repr, there.collect()))
+    benchmark = spark.read.parquet(f"{sf}/benchmark.parquet")
+    model = fit_languages(plain.where("lang IS NOT NULL"))
+    body = docs.withColumnRenamed("text", "_body")
+    for made in (
+        lambda d, t: identify(d, model, text=t),
+        lambda d, t: protect(d, text=t),
+        lambda d, t: remove_repeats(d, text=t),
+        lambda d, t: find_items(d, benchmark, text=t),
+        lambda d, t: attribute_tokens(d, F.col(t)),
+        lambda d, t: mix_sources(d, F.length(t), ["doc_id", t]),
+    ):
+        out, alone = made(body, "_body"), made(plain, "text")
+        result = [c for c in alone.columns if c not in plain.columns]
+        assert set(body.columns) < set(out.columns) and out.select(*CLASHING).distinct().collect() == [want]
+        if result != ["mix"]:  # the keys of a mix are the texts, whatever their column is called
+            pairs = [[repr(tuple(r)) for r in d.select(t, *result).collect()] for d, t in ((out, "_body"), (alone, "text"))]
+            assert sorted(pairs[0]) == sorted(pairs[1])
