@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lotwise.llm.decontamination import drop_contaminated
-from lotwise.llm.lines import deduplicate_lines
+from lotwise.llm.lines import COMMON_WORDS, OFTEN, WORDS, deduplicate_lines
 from lotwise.llm.mixing import mix_sources
+from lotwise.llm.shelter import free_name
 from lotwise.llm.simhash import drop_near_copies
 from lotwise.llm.text import training_part, word_count
 from lotwise.llm.toxicity import drop_toxic, fit_toxicity
@@ -26,8 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes repeated runs of lines out of the texts; ``n_chars`` follows the text."""
-    cut = deduplicate_lines(docs)
+    """Takes repeated runs of lines out of the texts: of three lines, of one or two with enough words, and single lines
+    that stand in very many documents; ``n_chars`` follows the text."""
+    cut = deduplicate_lines(docs, words=WORDS, common_words=COMMON_WORDS, often=OFTEN)
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else cut
 
 
@@ -45,8 +47,9 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents of the mix with ``size``, ``source_size``, ``target`` and ``taken`` (words, repeats counted)."""
     added = ("size", "source_size", "target", "taken")
     kept = [c for c in docs.columns if c not in added]
-    mixed = mix_sources(docs.select(*kept), word_count(F.col("text")), key=["doc_id", "n_chars"], out="_mix")
-    return mixed.select(*kept, *[F.col("_mix")[c].alias(c) for c in added]).where(F.col("taken") > 0)
+    out = free_name(docs.columns, "mix")
+    mixed = mix_sources(docs.select(*kept), word_count(F.col("text")), key=["doc_id", "n_chars"], out=out)
+    return mixed.select(*kept, *[F.col(out)[c].alias(c) for c in added]).where(F.col("taken") > 0)
 
 
 STAGES = [
