@@ -72,7 +72,7 @@ def test_level_boosting_equals_brute_force(spark, sample):
 def test_learns_repeats_and_saves(spark, sample, tmp_path, name):
     x, y = sample
     frame = table(spark, x, y)
-    few = {"n_estimators": 4, "max_depth": 4, **({} if name == "extra_trees" else {"learning_rate": 0.6})}
+    few = {"n_estimators": 3, "max_depth": 4, **({} if name == "extra_trees" else {"learning_rate": 0.6})}
     model = models.build_model(name, **few).fit(frame)
     first = predictions(model, frame)
     assert np.mean((first - y) ** 2) < 0.4 * y.var()
@@ -81,7 +81,6 @@ def test_learns_repeats_and_saves(spark, sample, tmp_path, name):
     model.write().overwrite().save(str(tmp_path / name))
     loaded = TreeSumModel.load(str(tmp_path / name))
     assert np.allclose(first, predictions(loaded, frame))
-    assert not np.array_equal(first, predictions(models.build_model(name, seed=1, **few).fit(frame), frame)) or name == "catboost"
 
 
 def test_the_three_ways_differ(spark, sample):
