@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from lotwise.operators import models
+from lotwise.operators import explain, models, profile
 from lotwise.operators.splits import LOG_TARGET, SPLIT_SEED, to_log_target, train_test_split
 from lotwise.plans.catalog.registry import bucket, query, r, with_listing
 from lotwise.sources.listing import listing
@@ -18,18 +18,27 @@ FEATURES = ("GrLivArea", "OverallQual", "LotArea", "TotalBsmtSF")
 BINS = 16
 ROWS = f""", r0 AS (SELECT Id, ln(1 + SalePrice) AS y, {bucket('Id', 100, SPLIT_SEED)} < 20 AS test,
   {', '.join(f'{f}::DOUBLE AS f{j}' for j, f in enumerate(FEATURES))} FROM listing)"""
-CUTS = ", cuts AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(
-    f"SELECT {j} AS j, unnest(quantile_disc(f{j}, [{', '.join(f'{k / BINS}::DOUBLE' for k in range(1, BINS))}])) AS v, max(f{j}) AS top FROM r0 WHERE NOT test"
-    for j in range(len(FEATURES))
-) + ") WHERE v < top)"
+LAST = "SELECT Id, round(now, 5) AS prediction FROM t{rounds} WHERE test"
 
 
-def cell(j: str) -> str:
-    return f"CASE {j} " + " ".join(f"WHEN {k} THEN f{k}" for k in range(len(FEATURES))) + " END"
+def cuts_sql(features: int) -> str:
+    probs = ", ".join(f"{k / BINS}::DOUBLE" for k in range(1, BINS))
+    one = (
+        f"SELECT {j} AS j, unnest(quantile_disc(f{j}, [{probs}])) AS v, max(f{j}) AS top FROM r0 WHERE NOT test" for j in range(features)
+    )
+    return ", cuts AS (SELECT DISTINCT * FROM (" + " UNION ALL ".join(one) + ") WHERE v < top)"
+
+
+def cell(j: str, features: int = len(FEATURES)) -> str:
+    return f"CASE {j} " + " ".join(f"WHEN {k} THEN f{k}" for k in range(features)) + " END"
 
 
-def boosted_sql(how: str, rounds: int, steps: int, rate: float, reg_lambda: float, reg_alpha: float, gamma: float, least: int) -> str:
+def boosted_sql(
+    how: str, rounds: int, steps: int, rate: float, reg_lambda: float, reg_alpha: float, gamma: float, least: int,
+    rows: str = ROWS, features: int = len(FEATURES), last: str = LAST,
+) -> str:
     """``steps`` are levels, or splits where one leaf splits at a time."""
+    own = cell("j", features)
 
     def score(g: str, h: str) -> str:
         return f"(pow(greatest(abs({g}) - {reg_alpha}::DOUBLE, 0), 2) / nullif({h} + {reg_lambda}::DOUBLE, 0))"
@@ -42,7 +51,7 @@ def boosted_sql(how: str, rounds: int, steps: int, rate: float, reg_lambda: floa
             gain = f"coalesce({score('gl', 'hl')}, 0) + coalesce({score('g - gl', 'h - hl')}, 0) - coalesce({score('g', 'h')}, 0)"
             parts.append(
                 f""", c{name} AS (SELECT *, {gain} AS gain FROM (SELECT node, j, v, sum(g) AS g, count(*) AS h,
-                  coalesce(sum(g) FILTER ({cell('j')} <= v), 0) AS gl, count(*) FILTER ({cell('j')} <= v) AS hl
+                  coalesce(sum(g) FILTER ({own} <= v), 0) AS gl, count(*) FILTER ({own} <= v) AS hl
                   FROM n{name} n, cuts WHERE NOT test GROUP BY node, j, v))"""
             )
             if how == "oblivious":
@@ -54,7 +63,7 @@ def boosted_sql(how: str, rounds: int, steps: int, rate: float, reg_lambda: floa
                   FROM c{name} WHERE hl >= {least} AND h - hl >= {least} AND gain > {max(gamma, 1e-6)}) WHERE place = 1"""
             parts.append(
                 f""", b{name} AS ({pick}), n{k}_{s + 1} AS (SELECT n.* REPLACE (CASE WHEN b.node IS NULL THEN n.node
-                  WHEN {cell('b.j')} <= b.v THEN 2 * n.node ELSE 2 * n.node + 1 END AS node) FROM n{name} n LEFT JOIN b{name} b ON b.node = n.node)"""
+                  WHEN {cell('b.j', features)} <= b.v THEN 2 * n.node ELSE 2 * n.node + 1 END AS node) FROM n{name} n LEFT JOIN b{name} b ON b.node = n.node)"""
             )
         parts.append(
             f""", w{k} AS (SELECT node, -sign(sum(g)) * greatest(abs(sum(g)) - {reg_alpha}::DOUBLE, 0) / (count(*) + {reg_lambda}::DOUBLE) AS w
@@ -62,11 +71,11 @@ def boosted_sql(how: str, rounds: int, steps: int, rate: float, reg_lambda: floa
               t{k + 1} AS (SELECT n.* EXCLUDE (node, g) REPLACE (now + {rate}::DOUBLE * coalesce(w, 0) AS now)
               FROM n{k}_{steps} n LEFT JOIN w{k} w ON w.node = n.node)"""
         )
-    return with_listing(f"SELECT Id, round(now, 5) AS prediction FROM t{rounds} WHERE test", ROWS, CUTS, *parts)
+    return with_listing(last.format(rounds=rounds), rows, cuts_sql(features), *parts)
 
 
-def feature_rows(spark, sf):
-    x = F.array(*[F.col(c).cast("double") for c in FEATURES])
+def feature_rows(spark, sf, features=FEATURES):
+    x = F.array(*[F.col(c).cast("double") for c in features])
     return to_log_target(listing(spark, sf)).select("Id", LOG_TARGET, array_to_vector(x).alias("features"))
 
 
@@ -136,3 +145,29 @@ def drawn_sql(seed: int, trees: int, depth: int) -> str:
 def extra_trees_drawn(spark, sf):
     """Three trees of depth 3 whose thresholds SQL draws again."""
     return predicted(spark, sf, "extra_trees", n_estimators=3, max_depth=3)
+
+
+# Shapley values by their definition: with two features, the mean over the background of what a feature adds alone and
+# to the other. Every mixture of an explained and a background row goes down the tree that SQL has grown.
+MIXED = f""", pts AS (SELECT Id, ln(1 + SalePrice) AS y, {bucket('Id', 100, SPLIT_SEED)} < 20 AS test, {bucket('Id', 4294967296, 42)} AS place,
+  GrLivArea::DOUBLE AS f0, OverallQual::DOUBLE AS f1 FROM listing),
+shown AS (SELECT * FROM pts WHERE test ORDER BY place, Id LIMIT 300), ground AS (SELECT * FROM pts WHERE NOT test ORDER BY place, Id LIMIT 100),
+r0 AS (SELECT Id, y, test, 0 AS mask, f0, f1 FROM pts WHERE NOT test UNION ALL
+  SELECT x.Id, NULL, true, mask, CASE WHEN mask % 2 = 1 THEN x.f0 ELSE z.f0 END, CASE WHEN mask >= 2 THEN x.f1 ELSE z.f1 END
+  FROM shown x, ground z, range(4) m(mask))"""
+SHARES = """SELECT Id, feature, x, round(c, 5) AS contribution FROM (
+  SELECT v.Id, unnest(['GrLivArea', 'OverallQual']) AS feature, unnest([f0, f1]) AS x,
+    unnest([(a3 - a2 + a1 - a0) / 2, (a3 - a1 + a2 - a0) / 2]) AS c
+  FROM (SELECT Id, avg(now) FILTER (mask = 0) AS a0, avg(now) FILTER (mask = 1) AS a1, avg(now) FILTER (mask = 2) AS a2,
+    avg(now) FILTER (mask = 3) AS a3 FROM t{rounds} WHERE test GROUP BY Id) v JOIN shown ON shown.Id = v.Id)"""
+
+
+@query("tree_values", boosted_sql("level", 2, 2, 0.5, 1.0, 0.0, 0.0, 1, MIXED, 2, SHARES))
+def tree_values(spark, sf):
+    """Exact contributions of a sum of trees, next to the definition."""
+    names = ["GrLivArea", "OverallQual"]
+    train, test = train_test_split(feature_rows(spark, sf, names))
+    model = models.build_model("xgboost", n_estimators=2, max_depth=2, learning_rate=0.5, **WHOLE).fit(train)
+    cells, _ = explain.row_cells(model, explain.background(train), names)
+    rows = profile.sample_rows(test, explain.EXPLAINED_ROWS).select("Id", cells.alias("cells"))
+    return explain.long_form(rows).withColumn("contribution", r("contribution", 5))
