@@ -3,8 +3,8 @@
 ``cos(w x + b)`` columns with normal ``w`` approximate a radial kernel. On them the machine is linear: it minimises
 ``|v|^2 / 2 + C * sum(max(|e| - epsilon, 0))`` over all rows. The corner of the loss is rounded off by a parabola of
 width ``delta``, which shrinks in stages. A pass over the rows sums objective, gradient and Hessian at the weights that
-a whole step leads to; where the objective has not fallen enough, another one tries several lengths of the step. A
-task sends one set of sums, cut into blocks of Hessian rows that are added up side by side; the driver solves a system
+a whole step leads to, and the objective at shorter steps; where the whole one does not lower it enough, the best of
+those is taken and looked at in a pass of its own. A task sends one set of sums, cut into blocks of Hessian rows that are added up side by side; the driver solves a system
 as large as the columns. The Fourier columns are made inside a pass and never stored.
 """
 
@@ -29,7 +29,7 @@ from lotwise.operators.boosting import matrix
 from lotwise.session import via_table
 
 BLOCK_BYTES = 256 << 10  # of rows of the Hessian that travel together
-STAGES = (0.3, 0.1, 0.03, 0.01)  # widths of the rounded corner, as shares of the label's deviation
+STAGES = (1.0, 0.3, 0.1, 0.03, 0.01)  # widths of the rounded corner, as shares of the label's deviation
 STEPS = (1.0, 0.7, 0.5, 0.35, 0.25, 0.15, 0.1, 0.06, 0.03, 0.01, 0.003, 0.001, 0.0)
 TURNS = 25
 
@@ -141,51 +141,45 @@ class KernelRegressor(Estimator, _Shape, DefaultParamsReadable, DefaultParamsWri
                 if len(x):
                     yield np.column_stack([waves(x, seed, size, gamma), np.ones(len(x))]), np.asarray(batch.column("y"))
 
-        def bend(v: np.ndarray, delta: float) -> tuple[float, np.ndarray, np.ndarray]:
+        flat = np.append(np.ones(size), 0.0)  # the intercept is free
+
+        def bend(v: np.ndarray, delta: float, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """The objective at each of ``STEPS`` (the first ends at ``v``), gradient and Hessian at ``v``."""
+
             def sums(batches) -> dict[int, np.ndarray]:
-                total, g, h = 0.0, np.zeros(size + 1), np.zeros((size + 1, size + 1))
+                totals, g, h = np.zeros(len(STEPS)), np.zeros(size + 1), np.zeros((size + 1, size + 1))
                 for z, y in batches_of(batches):
-                    value, slope, curve = loss(y - z @ v, epsilon, delta)
-                    total += value.sum()
+                    e, along = y - z @ v, z @ step
+                    value, slope, curve = loss(e, epsilon, delta)
+                    totals[0] += value.sum()
+                    totals[1:] += [loss(e + (1 - t) * along, epsilon, delta)[0].sum() for t in STEPS[1:]]
                     g -= slope @ z
                     own = z[curve > 0]
                     h += own.T @ own / delta
-                return {-1: np.append(g, total), **{k: h[k * block : (k + 1) * block] for k in range(blocks)}}
+                return {-1: np.append(g, totals), **{k: h[k * block : (k + 1) * block] for k in range(blocks)}}
 
             found = added(rows, min(tasks, blocks), sums)
             h = np.concatenate([found[k].reshape(-1, size + 1) for k in range(blocks)])
-            flat = np.append(np.ones(size), 0.0)  # the intercept is free
-            objective = 0.5 * float(v[:-1] @ v[:-1]) + cost * found[-1][-1]
-            return objective, cost * found[-1][:-1] + flat * v, cost * h + np.diag(flat)
-
-        def best_step(v: np.ndarray, d: np.ndarray, delta: float) -> float:
-            def sums(batches) -> dict[int, np.ndarray]:
-                total = np.zeros(len(STEPS))
-                for z, y in batches_of(batches):
-                    e, along = y - z @ v, z @ d
-                    total += [loss(e - t * along, epsilon, delta)[0].sum() for t in STEPS]
-                return {0: total}
-
-            totals = added(rows, 1, sums)[0]
-            ends = [0.5 * float((v + t * d)[:-1] @ (v + t * d)[:-1]) + cost * x for t, x in zip(STEPS, totals)]
-            return STEPS[int(np.argmin(ends))]
+            ends = [(v - (1 - t) * step)[:-1] for t in STEPS]
+            objective = np.array([0.5 * float(w @ w) for w in ends]) + cost * found[-1][size + 1 :]
+            return objective, cost * found[-1][: size + 1] + flat * v, cost * h + np.diag(flat)
 
-        v = np.zeros(size + 1)
+        v, still = np.zeros(size + 1), np.zeros(size + 1)
         for share in STAGES:
             delta = share * spread
-            now, g, h = bend(v, delta)
+            now, g, h = bend(v, delta, still)
+            # What a whole step would still gain; the wide corners only lead to the narrow one.
+            enough = (1e-8 if share == STAGES[-1] else 1e-3) * max(float(now[0]), cost)
             for _ in range(TURNS):
                 d = -np.linalg.lstsq(h + 1e-9 * np.trace(h) / len(h) * np.eye(len(h)), g, rcond=None)[0]
-                # What a whole step would gain, against the size of the objective.
-                if -g @ d <= 1e-9 * (1.0 + cost):
+                if -g @ d <= enough:
                     break
-                found = bend(v + d, delta)
-                if found[0] > now + 1e-3 * (g @ d):
-                    t = best_step(v, d, delta)
+                found = bend(v + d, delta, d)
+                if found[0][0] > now[0] + 1e-3 * (g @ d):
+                    t = STEPS[int(np.argmin(found[0]))]
                     if t == 0.0:
                         break
                     d = t * d
-                    found = bend(v + d, delta)
-                v = v + d
-                now, g, h = found
+                    found = bend(v + d, delta, still)
+                v, (now, g, h) = v + d, found
         return v
