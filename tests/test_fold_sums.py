@@ -24,8 +24,8 @@ def test_a_search_and_a_curve_are_one_pass(prepared, monkeypatch):
         return of(cls, *args, **named)
 
     monkeypatch.setattr(FoldSums, "of", classmethod(counted))
-    trials = tuning.random_search("elasticnet", prepared.train, n_iter=20).collect()
-    assert len(trials) == 20 and len(passes) == 1
+    trials = tuning.random_search("elasticnet", prepared.train, n_iter=8).collect()
+    assert len(trials) == 8 and len(passes) == 1
     curve = tuning.learning_curve(lambda: models.build_model("ridge"), prepared.train).collect()
     assert [r["share"] for r in curve] == tuning.LEARNING_SHARES and len(passes) == 2
     assert curve[0]["validation_rmse"] > curve[-1]["validation_rmse"]
