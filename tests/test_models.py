@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
@@ -226,3 +227,27 @@ def test_too_many_labels_are_refused(houses):
 
     with pytest.raises(ValueError, match="Id"):
         fit_encoder(houses.withColumn("Id", F.col("Id").cast("string")), ["LotArea"], ["Id"], max_labels=10)
+
+
+def test_neighbours_of_few_columns_meet_few_rows(spark, monkeypatch):
+    """Boxed leaves: the answer of brute force, with ties, copies and rows that cannot be near, from few pairs."""
+    monkeypatch.setattr(knn, "BLOCK", 64)
+    rng = np.random.default_rng(5)
+    r = np.concatenate([rng.integers(0, 25, (3000, 3)), np.full((400, 3), 7)]).astype(float)
+    q = np.concatenate([rng.integers(-4, 29, (600, 3)), np.full((300, 3), 7)]).astype(float)
+    refs = spark.createDataFrame([(i, x.tolist(), float(i)) for i, x in enumerate(r)], "Id long, x array<double>, y double")
+    odd = spark.createDataFrame([(9000, [math.nan, 0.0, 0.0], 1.0), (9001, [None, 1.0, 1.0], 1.0)], refs.schema)
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)], "Id long, x array<double>")
+    near = knn.nearest_neighbors(rows, refs.unionByName(odd), 10, "Id", "x", ["y"]).collect()
+    found = {(n.query_key, n["rank"]): (n.neighbor_key, n.distance, n.y) for n in near}
+    assert len(found) == len(near) == 10 * len(q)
+    for i, x in enumerate(q):
+        d = np.sqrt(((r - x) ** 2).sum(axis=1))
+        for rank, j in enumerate(np.argsort(d, kind="stable")[:10], 1):
+            key, distance, y = found[i, rank]
+            assert (key, y) == (j, float(j)) and distance == pytest.approx(d[j])
+    few = knn.nearest_neighbors(rows.limit(5), refs.limit(4), 10, "Id", "x")
+    assert few.count() == 20
+    # A row far from the cuts meets its own leaf only, and no leaf holds many distinct rows.
+    even = rng.uniform(0, 1, (20000, 3))
+    assert np.bincount(knn._leaf_udf(*knn._cuts(even, 64)).func(pa.array(list(even))).to_numpy()).max() <= 2 * len(even) // 64
