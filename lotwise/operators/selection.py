@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -13,9 +15,11 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.quantiles import exact_quantiles
 from lotwise.functions.scalar import col, pearson
+from lotwise.operators.boosting import matrix
 from lotwise.operators.cleaning import to_long
 from lotwise.operators.encoding import FEATURES, build_full_preprocessor, encode, encoded_names
 from lotwise.operators.splits import LOG_TARGET, to_log_target
+from lotwise.operators.tree_values import TreeSum, tree_sum_of
 from lotwise.schema import ID, TARGET, numeric_columns
 from lotwise.session import via_table
 
@@ -124,6 +128,63 @@ def permuted_pairs(rows: DataFrame, repeats: int, key: str, seed: int, per_bucke
     return many.withColumn("other", F.coalesce(F.lead(FEATURES).over(ring), F.first(FEATURES).over(whole))).drop("bucket")
 
 
+def _probed(pairs: DataFrame, model, columns: int) -> DataFrame:
+    """``repeat, slot, r2`` with the slot's column from the other row, each such row put to the model."""
+    # Slot -1 is the row as it is: the base score comes from the same job.
+    slots = F.explode(F.sequence(F.lit(-1), F.lit(columns - 1))).alias("slot")
+    swapped = F.transform("x", lambda v, i: F.when(i == F.col("slot"), F.col("z")[i]).otherwise(v))
+    probes = pairs.select(LOG_TARGET, "repeat", "x", "z", slots).select(
+        LOG_TARGET, "repeat", "slot", array_to_vector(swapped).alias(FEATURES)
+    )
+    error = F.col(LOG_TARGET) - F.col("prediction")
+    return (
+        model.transform(probes)
+        .groupBy("repeat", "slot")
+        .agg((1 - F.try_divide(F.avg(error * error), F.var_pop(LOG_TARGET))).alias("r2"))
+    )
+
+
+def _swapped(pairs: DataFrame, trees: TreeSum, columns: int, spread: float | None) -> DataFrame:
+    """The same for a sum of trees and a label of variance ``spread``: a batch is priced once, then a swap prices only the trees that read the column and
+    the rows it changes. A task sends one row per repeat and slot."""
+    readers = {s: [(w, t) for w, t in trees.weighted if s in t.feature] for s in range(columns)}
+
+    def errors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            x, z = matrix(batch.column("x")), matrix(batch.column("z"))
+            y, repeat = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "repeat"))
+            price = trees.base + sum(w * t.predict(x) for w, t in trees.weighted) if len(y) else y
+            for r in np.unique(repeat):
+                own = np.nonzero(repeat == r)[0]
+                off = y[own] - price[own]
+                whole = np.array([len(own), (off**2).sum()])
+                for slot in range(-1, columns):
+                    sums = whole.copy()
+                    at = np.nonzero(x[own, slot] != z[own, slot])[0] if readers.get(slot) else []
+                    if len(at):
+                        was = x[own[at]]
+                        now = was.copy()
+                        now[:, slot] = z[own[at], slot]
+                        moved = off[at] - sum(w * (t.predict(now) - t.predict(was)) for w, t in readers[slot])
+                        sums[1] += (moved**2).sum() - (off[at] ** 2).sum()
+                    total[r, slot] = total.get((r, slot), 0) + sums
+        keys, sums = list(total), np.array(list(total.values())).reshape(-1, 2)
+        yield pa.RecordBatch.from_pydict(
+            {
+                "repeat": pa.array([int(r) for r, _ in keys], pa.int32()),
+                "slot": pa.array([s for _, s in keys], pa.int32()),
+                "n": pa.array(sums[:, 0]),
+                "squares": pa.array(sums[:, 1]),
+            }
+        )
+
+    known = pairs.where(F.col(LOG_TARGET).isNotNull()).select(F.col(LOG_TARGET).alias("y"), "repeat", "x", "z")
+    found = known.mapInArrow(errors, "repeat int, slot int, n double, squares double").groupBy("repeat", "slot")
+    error = F.sum("squares") / F.sum("n")
+    return found.agg((1 - F.try_divide(error, F.lit(spread))).alias("r2"))
+
+
 def permutation_importance(
     df: DataFrame,
     target: str = TARGET,
@@ -141,18 +202,11 @@ def permutation_importance(
     pairs = permuted_pairs(rows, repeats, key, seed).select(
         LOG_TARGET, "repeat", x.alias("x"), other.alias("z")
     )
-    # Slot -1 is the row as it is: the base score comes from the same job.
-    slots = F.explode(F.sequence(F.lit(-1), F.lit(len(names) - 1))).alias("slot")
-    swapped = F.transform("x", lambda v, i: F.when(i == F.col("slot"), F.col("z")[i]).otherwise(v))
-    probes = pairs.select(LOG_TARGET, "repeat", "x", "z", slots).select(
-        LOG_TARGET, "repeat", "slot", array_to_vector(swapped).alias(FEATURES)
-    )
-    error = F.col(LOG_TARGET) - F.col("prediction")
-    scores = (
-        model.transform(probes)
-        .groupBy("repeat", "slot")
-        .agg((1 - F.try_divide(F.avg(error * error), F.var_pop(LOG_TARGET))).alias("r2"))
-    )
+    trees = tree_sum_of(model)
+    if trees is None:
+        scores = _probed(pairs, model, len(names))
+    else:
+        scores = _swapped(pairs, trees, len(names), rows.agg(F.var_pop(LOG_TARGET)).first()[0])
     # repeats x (features + 1) rows from here on.
     base = F.max(F.when(F.col("slot") == -1, F.col("r2"))).over(Window.partitionBy("repeat"))
     names_of = F.array(*[F.lit(n) for n in names])

@@ -251,3 +251,20 @@ def test_neighbours_of_few_columns_meet_few_rows(spark, monkeypatch):
     # A row far from the cuts meets its own leaf only, and no leaf holds many distinct rows.
     even = rng.uniform(0, 1, (20000, 3))
     assert np.bincount(knn._leaf_udf(*knn._cuts(even, 64)).func(pa.array(list(even))).to_numpy()).max() <= 2 * len(even) // 64
+
+
+def test_swapped_columns_are_priced_like_probes(spark):
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.normal(size=800), rng.integers(0, 2, 800), rng.normal(size=800), np.zeros(800)])
+    y = 2 * x[:, 0] + x[:, 1] + 0.1 * rng.normal(size=800)
+    table = spark.createDataFrame([(i, float(b), a.tolist()) for i, (a, b) in enumerate(zip(x, y))], "Id long, log_target double, x array<double>")
+    rows = table.select("Id", "log_target", array_to_vector("x").alias("features"))
+    model = selection._forest(5, 4, 1).fit(rows)
+    pairs = selection.permuted_pairs(rows, 2, "Id", 42, per_bucket=100)
+    pairs = pairs.select("log_target", "repeat", vector_to_array("features").alias("x"), vector_to_array("other").alias("z"))
+    plain = {(r["repeat"], r["slot"]): r["r2"] for r in selection._probed(pairs, model, 4).collect()}
+    spread = rows.agg(F.var_pop("log_target")).first()[0]
+    fast = {(r["repeat"], r["slot"]): r["r2"] for r in selection._swapped(pairs, selection.tree_sum_of(model), 4, spread).collect()}
+    assert fast.keys() == plain.keys() and len(fast) == 10
+    assert all(fast[k] == pytest.approx(plain[k], abs=1e-9) for k in fast)
+    assert fast[0, 3] == fast[0, -1] and fast[0, 0] < fast[0, -1] - 0.1
