@@ -273,9 +273,10 @@ def score_as_stream(spark, sf):
     """JSON request files through the stream; prices must equal those of the batch."""
     arriving, out = work_path(spark, "requests"), work_path(spark, "scored")
     rows = stored_listing(spark, sf)
-    requests(spark, sf, rows).repartition(3).write.json(arriving)
+    files = max(3, spark.sparkContext.defaultParallelism)
+    requests(spark, sf, rows).repartition(files).write.json(arriving)
     stream = score_stream(
-        read_request_stream(spark, arriving, files_per_trigger=2),
+        read_request_stream(spark, arriving, files_per_trigger=-(-files * 2 // 3)),  # two batches
         formula(rows),
         "formula",
         40000.0,

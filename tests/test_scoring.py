@@ -155,3 +155,14 @@ def test_csv_quotes_tokens_and_column_order(spark, tmp_path):
     (folder / "b.csv").write_text("Fence,Id\ny,2\n")
     with pytest.raises(Exception, match="(?i)header"):
         files.read_house_csv(spark, str(folder)).collect()
+
+
+def test_request_files_use_all_cores(spark, sf, tmp_path, monkeypatch):
+    from lotwise.plans.catalog import scoring as queries
+
+    monkeypatch.setattr(queries, "work_path", lambda _, name: str(tmp_path / name))
+    scored = queries.score_as_stream(spark, sf)
+    files = [f for f in (tmp_path / "requests").iterdir() if f.name.endswith(".json")]
+    assert len(files) >= spark.sparkContext.defaultParallelism
+    assert len([d for d in (tmp_path / "scored").iterdir() if d.name.startswith("batch=")]) == 2
+    assert scored.count() > 0
