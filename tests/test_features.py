@@ -68,3 +68,14 @@ def test_lookup_join_beyond_the_broadcast_bound(spark):
     a = lookup_join(rows, lookup, ["k"]).orderBy("id").collect()
     b = lookup_join(rows, lookup, ["k"], max_bytes=0).orderBy("id").collect()
     assert a == b and len(a) == 1000
+
+
+def test_rows_to_learn_from_are_joined_once(spark, sf):
+    """Fills, encoders and models read the rows some ten times: those are scans of a table, not joins."""
+    from lotwise.plans.catalog.deriving import cleaned as filled
+    from lotwise.sources.listing import listing
+
+    rows = filled(spark, sf, "Id", "LotFrontage", "GarageArea")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
+    assert rows.columns == ["Id", "LotFrontage", "GarageArea"] and rows.count() == listing(spark, sf).count()
