@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.functions.scalar import col
+from lotwise.functions.scalar import col, pearson
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -56,3 +56,20 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
             names[F.col("at.i")].alias("a"), names[F.col("at.j")].alias("b"), "correlation"
         )
     )
+
+
+def target_correlations(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
+    """``feature, correlation`` of every column with the target; NULL for a constant or empty one.
+
+    The cells of a row become rows and share one short aggregate: an aggregate per column, side by side, is a method
+    that the JVM does not compile. A task sends on one row per column.
+    """
+    cells = F.array(*[F.struct(F.lit(i).alias("at"), col(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+    pairs = df.select(F.inline(cells), col(target).cast("double").alias("y"))
+    found = pairs.groupBy("at").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    by_place = found.agg(F.map_from_entries(F.collect_list(F.struct("at", "r"))).alias("by_place"))  # one row
+    named = [
+        F.struct(F.lit(c).alias("feature"), F.try_element_at("by_place", F.lit(i)).alias("correlation"))
+        for i, c in enumerate(columns)
+    ]
+    return by_place.select(F.inline(F.array(*named)))

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.quantiles import exact_quantiles
-from lotwise.functions.scalar import col, pearson
+from lotwise.functions.scalar import col
 from lotwise.operators.boosting import matrix
 from lotwise.operators.cleaning import to_long
 from lotwise.operators.encoding import FEATURES, build_full_preprocessor, encode, encoded_names
+from lotwise.operators.gram import target_correlations
 from lotwise.operators.splits import LOG_TARGET, to_log_target
 from lotwise.operators.tree_values import TreeSum, tree_sum_of
 from lotwise.schema import ID, TARGET, numeric_columns
@@ -25,10 +26,10 @@ from lotwise.session import via_table
 
 
 def correlation_ranking(df: DataFrame, target: str = TARGET, skip: Sequence[str] = ()) -> DataFrame:
-    """``feature, score``: |correlation with the target|, one aggregate for all columns."""
+    """``feature, score``: |correlation with the target|, one pass for all columns."""
     columns = numeric_columns(df.schema, (target, *skip))
-    row = df.agg(*[F.abs(pearson(col(c), col(target))).alias(c) for c in columns])
-    return to_long(row, "feature", "score").orderBy(F.desc_nulls_last("score"), "feature")
+    found = target_correlations(df, columns, target)
+    return found.select("feature", F.abs("correlation").alias("score")).orderBy(F.desc_nulls_last("score"), "feature")
 
 
 def mutual_information_ranking(

@@ -2,8 +2,10 @@ import math
 
 from pyspark.sql import functions as F
 
+from lotwise.functions.scalar import col, pearson
 from lotwise.operators import metrics, profile
-from lotwise.operators.gram import correlation_matrix
+from lotwise.operators.gram import correlation_matrix, target_correlations
+from lotwise.schema import numeric_columns
 
 
 def test_histogram_counts_every_row(houses):
@@ -19,6 +21,27 @@ def test_constant_columns(spark):
     assert profile.histograms(df, ["b"], 4).first()["count"] == 3
 
 
+def test_target_correlations_share_one_aggregate(spark, houses):
+    columns = numeric_columns(houses.schema)
+    found = target_correlations(houses, columns, "SalePrice")
+    want = houses.agg(*[pearson(col(c), col("SalePrice")).alias(c) for c in columns]).first()
+    got = {r["feature"]: r["correlation"] for r in found.collect()}
+    assert list(got) == columns
+    for c in columns:
+        assert (got[c] is None) == (want[c] is None) and (got[c] is None or math.isclose(got[c], want[c], abs_tol=1e-12))
+    # The aggregate is as long for one column as for all of them.
+    plans = [target_correlations(houses, cs, "SalePrice")._jdf.queryExecution().optimizedPlan().toString() for cs in (columns[:1], columns)]
+    assert plans[0].count("covar_pop(") == plans[1].count("covar_pop(") == 1
+
+
+def test_target_correlations_without_values(spark):
+    df = spark.createDataFrame([(1.0, 5.0, None, 2.0), (2.0, 5.0, None, 4.0), (None, 5.0, 1.0, 7.0)], "a double, b double, c double, y double")
+    got = {r["feature"]: r["correlation"] for r in target_correlations(df, ["a", "b", "c"], "y").collect()}
+    assert math.isclose(got["a"], 1.0) and got["b"] is None and got["c"] is None
+    empty = target_correlations(df.where("false"), ["a", "b"], "y").collect()
+    assert [(r["feature"], r["correlation"]) for r in empty] == [("a", None), ("b", None)]
+
+
 def test_profile_of_copies(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "x")], "a int, b string")
     got = {r["metric"]: r["value"] for r in profile.table_profile(df).collect()}
