@@ -119,6 +119,7 @@ def saved_winner_scores(spark, sf):
     from lotwise.plans.training import load_scorer
 
     path = work_path(spark, "winner")
-    best, _ = run_training(stored_listing(spark, sf), path, {"ridge": models.build_model("ridge")}, folds=2)
+    houses = stored_listing(spark, sf)
+    best, _ = run_training(houses, path, {"ridge": models.build_model("ridge")}, folds=2)
     pipeline, board = load_scorer(spark, path)
-    return score(listing(spark, sf).drop("SalePrice"), pipeline, best, best_rmse(board, best), "Id")
+    return score(houses.drop("SalePrice"), pipeline, best, best_rmse(board, best), "Id")

@@ -166,3 +166,19 @@ def test_request_files_use_all_cores(spark, sf, tmp_path, monkeypatch):
     assert len(files) >= spark.sparkContext.defaultParallelism
     assert len([d for d in (tmp_path / "scored").iterdir() if d.name.startswith("batch=")]) == 2
     assert scored.count() > 0
+
+
+def test_saved_winner_scores_joins_the_rows_once(spark, sf, monkeypatch):
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import SQLTransformer
+
+    from lotwise.plans import training
+    from lotwise.plans.catalog import storing
+
+    board = spark.createDataFrame([("ridge", 1.0)], "name string, rmse double")
+    pipeline = PipelineModel([SQLTransformer(statement="SELECT *, 12.0D AS prediction FROM __THIS__")])
+    monkeypatch.setattr(storing, "run_training", lambda *a, **k: ("ridge", board))
+    monkeypatch.setattr(training, "load_scorer", lambda *a: (pipeline, board))
+    out = storing.saved_winner_scores(spark, sf)
+    assert out.count() == spark.read.parquet(f"{sf}/orders.parquet").count()
+    assert not [f for f in out.inputFiles() if f.endswith(("orders.parquet", "lineitem.parquet"))]
