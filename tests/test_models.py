@@ -28,6 +28,31 @@ def test_scaling_uses_the_population_deviation(engineered):
     assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0), 1)
 
 
+def test_linear_models_share_the_pass_of_their_folds(prepared, monkeypatch):
+    from lotwise.operators.fold_sums import FoldSums
+    from lotwise.plans.training import train_and_evaluate
+
+    zoo = {n: models.build_model(n) for n in ("ridge", "elasticnet", "lasso")}
+    alone = {n: tuning.mean_std([s[2] for s in tuning.fold_scores(e, prepared.train, 2)]) for n, e in zoo.items()}
+    passes, of = [], FoldSums.of
+    monkeypatch.setattr(FoldSums, "of", lambda *args: passes.append(args) or of(*args))
+    _, board, failures = train_and_evaluate(prepared, zoo, folds=2)
+    assert len(passes) == 1 and not failures
+    for row in board.collect():
+        assert (row["cv_rmse_mean"], row["cv_rmse_std"]) == pytest.approx(alone[row["name"]], rel=1e-9, abs=1e-12)
+
+
+def test_a_failed_shared_pass_leaves_every_model_its_own(prepared, monkeypatch):
+    from lotwise.plans import training
+
+    def fail(*_):
+        raise RuntimeError("no")
+
+    monkeypatch.setattr(training, "shared_fold_scores", fail)
+    _, board, failures = training.train_and_evaluate(prepared, {"ridge": models.build_model("ridge")}, folds=2)
+    assert not failures and math.isfinite(board.first()["cv_rmse_mean"])
+
+
 def test_registry():
     assert len(models.model_names()) == 15
     assert models.build_model("ridge").getOrDefault("alpha") == 10.0
