@@ -42,6 +42,16 @@ def test_linear_models_share_the_pass_of_their_folds(prepared, monkeypatch):
         assert (row["cv_rmse_mean"], row["cv_rmse_std"]) == pytest.approx(alone[row["name"]], rel=1e-9, abs=1e-12)
 
 
+def test_folds_of_prepared_rows_need_no_digest(prepared):
+    def plan(c):
+        return prepared.train.select(c.alias("f"))._jdf.queryExecution().optimizedPlan().toString()
+
+    own, digest = splits.fold_of(prepared.train, 3), splits.hash_bucket(F.col("Id"), 3, splits.FOLD_SEED)
+    assert "md5" not in plan(own) and "md5" in plan(digest)
+    assert prepared.train.where(~own.eqNullSafe(digest)).isEmpty()
+    assert "md5" in plan(splits.fold_of(prepared.train, 3, seed=7))
+
+
 def test_a_failed_shared_pass_leaves_every_model_its_own(prepared, monkeypatch):
     from lotwise.plans import training
 
