@@ -63,6 +63,43 @@ def test_a_failed_shared_pass_leaves_every_model_its_own(prepared, monkeypatch):
     assert not failures and math.isfinite(board.first()["cv_rmse_mean"])
 
 
+class Broken(models.PenalizedLinear):
+    """Fails to learn from ``most`` rows or fewer."""
+
+    most = 10**9
+
+    def copy(self, extra=None):
+        out = super().copy(extra)
+        out.most = self.most
+        return out
+
+    def _fit(self, df):
+        if df.count() <= self.most:
+            raise RuntimeError("no memory left")
+        return super()._fit(df)
+
+
+@pytest.mark.parametrize("where", ["fit", "folds", "numbers"])
+def test_a_failure_is_no_result(prepared, monkeypatch, tmp_path, where):
+    from lotwise.plans import training
+
+    broken = Broken(alpha=1.0)._set(featuresCol="features", labelCol=splits.LOG_TARGET)
+    if where == "folds":
+        broken.most = prepared.train.count() - 1  # the whole table can be learned from, its folds cannot
+        monkeypatch.setattr(tuning, "linear_scores", lambda *args: None)
+    if where == "numbers":
+        broken.most = -1
+        monkeypatch.setattr(training, "shared_fold_scores", lambda *args: {"broken": [(0, None, math.nan), (1, None, 0.1)]})
+    zoo = {"broken": broken, "decision_tree": models.build_model("decision_tree", max_depth=2)}
+    fitted, board, failures = training.train_and_evaluate(prepared, zoo, folds=2)
+    assert [r["name"] for r in board.collect()] == [*fitted] == ["decision_tree"]
+    assert len(failures) == 1 and "broken" in [*failures][0]
+    monkeypatch.setattr(training, "prepare", lambda *args: prepared)
+    with pytest.raises(RuntimeError, match="broken"):
+        training.run_training(None, str(tmp_path / "saved"), zoo, folds=2)
+    assert not (tmp_path / "saved").exists()
+
+
 def test_registry():
     assert len(models.model_names()) == 15
     assert models.build_model("ridge").getOrDefault("alpha") == 10.0
