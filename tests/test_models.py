@@ -100,6 +100,26 @@ def test_a_failure_is_no_result(prepared, monkeypatch, tmp_path, where):
     assert not (tmp_path / "saved").exists()
 
 
+def test_the_comparison_is_of_the_whole_zoo(prepared, monkeypatch):
+    from lotwise.plans.catalog import comparing
+
+    asked = []
+
+    def recorded(data, zoo, folds=5):
+        asked.append((zoo, folds))
+        return {}, data.spark.createDataFrame([("a", 1.0)], "name string, train_time_seconds double"), {}
+
+    monkeypatch.setattr(comparing, "stored_listing", lambda *args: None)
+    monkeypatch.setattr(comparing, "prepare", lambda *args: prepared)
+    monkeypatch.setattr(comparing, "train_and_evaluate", recorded)
+    comparing.compare_models(None, "")
+    [(zoo, folds)] = asked
+    assert [*zoo] == models.model_names() and folds == 5
+    for name, settings in models.SETTINGS.items():
+        own = {p.name: v for p, v in zoo[name].extractParamMap().items()}
+        assert own == {p.name: v for p, v in models.build_model(name, **settings).extractParamMap().items()}
+
+
 def test_registry():
     assert len(models.model_names()) == 15
     assert models.build_model("ridge").getOrDefault("alpha") == 10.0
