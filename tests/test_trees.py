@@ -110,6 +110,72 @@ def test_leaf_queue_takes_the_largest_gains(spark, sample):
     assert errors[1] < errors[0]
 
 
+def test_models_that_grow_together_equal_those_alone(spark, sample, monkeypatch):
+    monkeypatch.setattr(boosting, "REBASE", 2)
+    frame = table(spark, *sample).withColumn("part", F.when(F.col("Id") % 50 > 0, F.col("Id") % 3))
+    few = {"xgboost": {"n_estimators": 3}, "lightgbm": {"n_estimators": 5, "max_depth": None}, "catboost": {"n_estimators": 4, "max_depth": 3}}
+    made = [models.build_model(n, max_bins=9 + i, **{"max_depth": 4, **c}) for i, (n, c) in enumerate(few.items())]
+    wanted = [(m, held) for held in (0, 1, 2, None) for m in made]
+    together, passes = boosting.fit_together(wanted, frame, F.col("part"))
+    held_out = sorted(tuple(r) for r in passes.held_out(["a", "b", "c"]).collect())
+    alone = [m.fit(frame if held is None else frame.where(F.col("part") != held)) for m, held in wanted]
+    for one, two in zip(together, alone):
+        for a, b in zip(one.trees, two.trees, strict=True):
+            assert (a.feature, a.threshold, a.low, a.high, a.cover) == (b.feature, b.threshold, b.low, b.high, b.cover)
+            assert np.allclose(a.value, b.value, rtol=1e-6, atol=1e-9)
+    want = []
+    for held in range(3):
+        rows = frame.where(F.col("part") == held)
+        found = [predictions(m, rows) for m in alone[3 * held : 3 * held + 3]]
+        want += zip([r[0] for r in rows.orderBy("Id").select("log_target").collect()], *found)
+    assert len(held_out) == 588 and np.allclose(held_out, sorted(want), atol=1e-9)
+
+
+def test_stacked_boosting_shares_its_passes(spark, sample, monkeypatch):
+    frame = table(spark, *sample)
+    bases = [models.build_model(n, n_estimators=2, max_depth=2) for n in models.ENSEMBLE_PREFERENCE[:3]]
+    asked, best = [], boosting.Passes._best_splits
+    monkeypatch.setattr(boosting.Passes, "_best_splits", lambda self, asks: asked.append(len(asks)) or best(self, asks))
+    model = models.Stacking(bases).fit(frame)
+    assert asked[0] == 12 and len(asked) <= 6  # 12 fits of two trees would take 40 passes alone
+    monkeypatch.setattr(models.Stacking, "_boosted", models.Stacking._fitted)
+    assert np.allclose(predictions(model, frame), predictions(models.Stacking(bases).fit(frame), frame), atol=1e-6)
+
+
+def test_few_values_are_counted_and_many_sketched(spark):
+    rng = np.random.default_rng(4)
+    x = np.stack([rng.integers(0, 2, 900), rng.integers(0, 33, 900), rng.integers(0, 30, 900) / 7, np.full(900, np.nan)], axis=1)
+    x[::9, 2] = np.nan
+    frame = table(spark, x, rng.normal(0, 1, 900)).withColumn("_part", F.when(F.col("Id") % 50 > 0, F.col("Id") % 2).cast("int"))
+    cells = frame.select("_part", vector_to_array("features").alias("x"))
+    few = boosting._few_valued(cells, 4, [0, None])
+    assert sorted(few) == [0, 2]
+    part = np.array([i % 2 if i % 50 else -1 for i in range(900)])
+    for j in (0, 2):
+        values, counts = few[j]
+        for held, rows in ((0, x[part == 1, j]), (None, x[:, j])):
+            there, n = np.unique(rows[~np.isnan(rows)], return_counts=True)
+            assert dict(zip(values[counts[held] > 0], counts[held][counts[held] > 0])) == dict(zip(there, n))
+    cuts = boosting.cuts_of_parts(frame, "features", 4, {0: [5, 40], None: [40]})
+    for (held, bins), found in cuts.items():
+        for j in range(4):
+            v = np.sort(x[part == 1, j] if held == 0 else x[:, j])
+            v = v[~np.isnan(v)]
+            want = np.unique(v[[math.ceil(k / bins * len(v)) - 1 for k in range(1, bins)]]) if len(v) else v
+            assert np.array_equal(found[j], want[want < v[-1]] if len(v) else v)
+
+
+def test_rows_are_placed_as_one_by_one(monkeypatch):
+    rng = np.random.default_rng(5)
+    tree, x = random_tree(rng, 6, 7), rng.normal(0, 1, (500, 6))
+    x[::7, 2] = np.nan
+    monkeypatch.setattr(boosting, "MANY_ROWS", 10**9)
+    alone = tree.place(x)
+    for rows in (1, 20, 256):
+        monkeypatch.setattr(boosting, "MANY_ROWS", rows)
+        assert np.array_equal(tree.place(x), alone) and len(tree.place(x[:0])) == 0
+
+
 def test_missing_values_and_no_rows(spark):
     x = np.array([[1.0], [2.0], [np.nan], [np.nan]] * 10)
     y = np.array([0.0, 0.0, 5.0, 5.0] * 10)
